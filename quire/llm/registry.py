@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import minhash
+from . import chat, fingerprint, minhash, packing, url_filter
 
 
 def queries() -> dict[str, Callable]:
-    return {"op1_minhash_near_dedup": minhash.op1_minhash_near_dedup}
+    return {
+        "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
+        "op2_fingerprints": fingerprint.op2_fingerprints,
+        "op4_chat_format": chat.op4_chat_format,
+        "op7_packing": packing.op7_packing,
+        "op10_url_filter": url_filter.op10_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_format": chat.OP4_SQL, "op10_url_filter": url_filter.OP10_SQL}
