@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, fingerprint, minhash, packing, url_filter
+from . import chat, fingerprint, forest, minhash, packing, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
         "op2_fingerprints": fingerprint.op2_fingerprints,
         "op4_chat_format": chat.op4_chat_format,
+        "op6_embedding_near_dedup": forest.op6_embedding_near_dedup,
         "op7_packing": packing.op7_packing,
         "op10_url_filter": url_filter.op10_url_filter,
     }
