@@ -31,9 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: a short lineage that survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written to the shared checkpoint folder: a short lineage that survives lost executors.
+
+    The optimizer also forgets what it derived about the rows: in a loop, the constraints that a checkpointed plan
+    hands on would multiply from round to round.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    plan = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
 
 
 def python_ready(spark: SparkSession) -> None:
