@@ -1,11 +1,358 @@
-"""Every registered query of the layout engine and its SQL twin."""
+"""Every registered query of the layout engine and its SQL twin, on layout tables derived from the test tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry as geo
+from ..functions import text as txt
+from ..operators import images as img
+from ..operators import merge, tables, text
+from ..sources import layout
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+P = """p AS (SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_no, text, string_split(text, chr(10)) AS ls FROM documents)"""
+D1 = f"""{P}, e AS (SELECT doc_id, page_no, len(ls) AS n, unnest(ls) AS t, generate_subscripts(ls, 1) - 1 AS pos FROM p),
+b AS (SELECT * FROM e WHERE trim(t) <> ''),
+l AS (SELECT *, 50.0::DOUBLE AS x0, CAST(50 + 6 * least(length(text), 80) AS DOUBLE) AS x1, y0 + 12 AS y1 FROM (
+ SELECT doc_id, page_no, CAST(pos + 1 AS INT) AS line_no, trim(t) AS text, CAST(20 + (pos * 800) // n AS DOUBLE) AS y0 FROM b
+ UNION ALL SELECT DISTINCT doc_id, page_no, 0, 'Report ' || doc_id, 10.0::DOUBLE FROM b
+ UNION ALL SELECT DISTINCT doc_id, page_no, 100000, CAST(page_no AS VARCHAR), 825.0::DOUBLE FROM b)),
+r AS (SELECT *, CASE WHEN y0 < 842 * 0.15 THEN 'header' WHEN y1 > 842 * 0.85 THEN 'footer' END AS region FROM l),
+c AS (SELECT doc_id, region, text, count(DISTINCT page_no) AS pages FROM r WHERE region IS NOT NULL GROUP BY ALL HAVING count(DISTINCT page_no) >= 2)"""
+D2 = """o AS (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS rn FROM orders),
+t AS (SELECT o_custkey AS doc_id, rn AS table_id, CAST(1 + (rn * 7) // 10 AS INT) AS page_no, CAST(40 + o_orderkey % 60 AS DOUBLE) AS x0, CAST(100 + o_orderkey % 500 AS DOUBLE) AS y0,
+ CAST(440 + o_orderkey % 60 + o_orderkey % 50 - (CASE WHEN o_orderkey % 13 = 0 THEN 390 ELSE 0 END) AS DOUBLE) AS x1, CAST(115 + o_orderkey % 500 + o_orderkey % 97 AS DOUBLE) AS y1,
+ CAST(1 + o_orderkey % 7 AS INT) AS row_count, CAST(1 + o_orderkey % 5 AS INT) AS col_count, o_orderkey % 11 = 0 AS text_between FROM o)"""
+LOOSE = "row_count >= 1 AND x1 - x0 >= 30 AND y1 - y0 >= 10"
+STRICT = "row_count >= 1 AND col_count >= 2 AND x1 - x0 >= 80 AND y1 - y0 >= 20 AND NOT (row_count = 1 AND col_count <= 2 AND x1 - x0 > 400)"
+D2C = f"""{D2}, g AS (SELECT *, coalesce(page_no - lag(page_no) OVER w = 1 AND NOT lag(text_between) OVER w AND abs(x0 - lag(x0) OVER w) <= 20
+ AND least(x1 - x0, lag(x1) OVER w - lag(x0) OVER w) / greatest(x1 - x0, lag(x1) OVER w - lag(x0) OVER w) >= 0.9, false) AS go FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY table_id)),
+k AS (SELECT * EXCLUDE go, CAST(sum(CASE WHEN go THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY table_id) AS BIGINT) AS island FROM g)"""
+D2S = f"""{D2C}, u AS (SELECT doc_id, island, count(*) AS page_count, min(page_no) AS start_page, max(page_no) AS end_page, CAST(sum(row_count) AS BIGINT) AS row_count, min_by(x0, table_id) AS x0, min_by(y0, table_id) AS y0,
+ min_by(x1, table_id) AS x1, min_by(y1, table_id) AS y1, min_by(col_count, table_id) AS col_count, min(table_id) AS table_id FROM k GROUP BY ALL),
+s AS (SELECT * EXCLUDE alone FROM (SELECT *, sum(page_count) OVER (PARTITION BY doc_id) = 1 AS alone FROM u) WHERE page_count > 1 OR alone OR ({STRICT}))"""
+D4 = """q AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INT) AS row_index FROM lineitem),
+z AS (SELECT l_orderkey AS doc_id, row_index, c AS col_index, CASE WHEN c > 0 THEN 100.0 * c + 0.5 * (l_suppkey % 3) ELSE 0.0 END::DOUBLE AS x_start, CASE WHEN c < 3 THEN 100.0 * (c + 1) + 0.5 * (l_suppkey % 3) ELSE 400.0 END::DOUBLE AS x_end,
+ 20.0::DOUBLE * row_index AS y_start, 20.0::DOUBLE * row_index + 20 AS y_end,
+ CASE c WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE l_returnflag END AS text FROM q, (SELECT unnest([0, 1, 2, 3]) AS c))"""
+D5 = """pg AS (SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations WHERE role <> 'assistant'),
+oc AS (SELECT conv_id AS doc_id, turn - 1 AS page_no, string_agg(text, chr(10) ORDER BY text) AS ocr FROM conversations WHERE role = 'assistant' AND coalesce(text, '') <> '' GROUP BY ALL),
+j AS (SELECT pg.*, coalesce(ocr, '') AS ocr FROM pg LEFT JOIN oc USING (doc_id, page_no))"""
+NUM = r"regexp_full_match({0}, '\s*(第\s*\d+\s*页|\d+)\s*')"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("paginate_lines", f"WITH {P} SELECT doc_id, page_no, len(ls) AS n_lines, length(text) AS n_chars FROM p WHERE trim(text) <> ''")
+def paginate_lines(s, d):
+    return layout.page_rows(s, d).filter(txt.trim_py(F.col("text")) != "").select("doc_id", "page_no", F.size(F.split("text", "\n")).alias("n_lines"), F.length("text").alias("n_chars"))
+
+
+@query("line_regions", f"WITH {D1} SELECT doc_id, page_no, line_no, text, y0, y1, region FROM r")
+def line_regions(s, d):
+    return text.line_regions(layout.layout_lines(s, d)).select("doc_id", "page_no", "line_no", "text", "y0", "y1", "region")
+
+
+@query("common_headers_footers", f"WITH {D1} SELECT * FROM c")
+def common_headers_footers(s, d):
+    return text.common_texts(layout.layout_lines(s, d))
+
+
+@query("clean_pages_by_position", f"WITH {D1} SELECT r.doc_id, page_no, string_agg(r.text, chr(10) ORDER BY line_no) AS text FROM r LEFT JOIN c ON r.doc_id = c.doc_id AND r.region = c.region AND r.text = c.text WHERE c.doc_id IS NULL AND NOT (r.region IS NOT NULL AND {NUM.format('r.text')}) GROUP BY ALL")
+def clean_pages_by_position(s, d):
+    return text.clean_pages(layout.layout_lines(s, d))
+
+
+def _numbered(s, d):
+    """Page texts with numbers at the edges and one inside, and blank lines."""
+    return layout.page_rows(s, d).withColumn("text", F.concat(F.col("page_no").cast("string"), F.lit("\n第 3 页\n"), "text", F.lit("\n12\n\n \n\ntail\n"), F.col("page_no").cast("string")))
+
+
+NUMBERED = f"{P}, n AS (SELECT doc_id, page_no, page_no || chr(10) || '第 3 页' || chr(10) || text || chr(10) || '12' || chr(10) || chr(10) || ' ' || chr(10) || chr(10) || 'tail' || chr(10) || page_no AS text FROM p)"
+EDGE = f"{NUMBERED}, x AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls FROM n), y AS (SELECT *, list_filter(range(1, len(ls) + 1), lambda i: NOT {NUM.format('ls[i]')}) AS ok FROM x)"
+
+
+@query("strip_edge_page_numbers", f"WITH {EDGE} SELECT doc_id, page_no, array_to_string(ls[ok[1]:ok[-1]], chr(10)) AS text FROM y")
+def strip_edge_page_numbers(s, d):
+    return _numbered(s, d).select("doc_id", "page_no", txt.strip_edge_page_numbers(F.col("text")).alias("text"))
+
+
+@query("clean_text_lines", f"WITH {EDGE} SELECT doc_id, page_no, trim(array_to_string(list_filter(ls[ok[1]:ok[-1]], lambda v: NOT {NUM.format('v')}), chr(10)), chr(10) || ' ') AS text FROM y")
+def clean_text_lines(s, d):
+    return _numbered(s, d).select("doc_id", "page_no", txt.clean_text(F.col("text")).alias("text"))
+
+
+@query("remove_simple", f"WITH {NUMBERED}, x AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls FROM n) SELECT doc_id, page_no, trim(array_to_string(CASE WHEN regexp_full_match(trim(ls[3]), '\\d{{1,4}}') THEN ls[4:] ELSE ls[3:] END, chr(10)), chr(10) || ' ') AS text FROM x")
+def remove_simple(s, d):
+    return _numbered(s, d).select("doc_id", "page_no", txt.remove_simple(F.col("text")).alias("text"))
+
+
+@query("collapse_blank_lines", f"WITH {NUMBERED}, x AS (SELECT doc_id, page_no, string_split(text, chr(10)) AS ls FROM n) SELECT doc_id, page_no, array_to_string([ls[i] for i in range(1, len(ls) + 1) if trim(ls[i]) <> '' OR i = 1 OR trim(ls[i - 1]) <> ''], chr(10)) AS text FROM x")
+def collapse_blank_lines(s, d):
+    return _numbered(s, d).select("doc_id", "page_no", txt.collapse_blank_lines(F.col("text")).alias("text"))
+
+
+@query("split_page_markers", "SELECT doc_id, 1 AS page_no, trim(text, chr(10) || ' ') AS text FROM documents UNION ALL SELECT doc_id, 2, source FROM documents")
+def split_page_markers(s, d):
+    t = F.concat(F.lit("lead==第1页==\n"), "text", F.lit("\n==第2页==\nold\n==第2页==\n"), "source")
+    return layout.table(s, d, "documents").select("doc_id", F.inline(txt.split_pages(t)))
+
+
+def _typed(s, d):
+    return layout.page_rows(s, d).withColumn("has_image", F.col("page_no") % 3 == 0)
+
+
+D7 = f"{P}, i AS (SELECT doc_id, page_no, text, page_no % 3 = 0 AS has_image FROM p)"
+TYPE = f"{D7}, ty AS (SELECT doc_id, CASE WHEN a > b THEN 'text' WHEN b > a THEN 'scanned' ELSE 'mixed' END AS type FROM (SELECT doc_id, count(*) FILTER (length(trim(text, chr(10) || ' ')) > 100) AS a, count(*) FILTER (length(trim(text, chr(10) || ' ')) <= 100 AND has_image) AS b FROM i WHERE page_no <= 3 GROUP BY 1))"
+STRUCT = "st AS (SELECT doc_id, count(*) AS pages, CAST(sum(length(text)) AS BIGINT) AS chars, bool_or(has_image) AS has_images, count(*) FILTER (has_image) AS image_pages, count(*) FILTER (trim(text, chr(10) || ' ') = '') AS blank_pages FROM i GROUP BY 1)"
+
+
+@query("pdf_type", f"WITH {TYPE} SELECT * FROM ty")
+def pdf_type(s, d):
+    return merge.document_type(_typed(s, d))
+
+
+@query("structure_summary", f"WITH {D7}, {STRUCT} SELECT * FROM st")
+def structure_summary(s, d):
+    return merge.structure(_typed(s, d))
+
+
+@query("recommend_mode", f"WITH {TYPE}, {STRUCT} SELECT doc_id, type, CASE WHEN type = 'text' AND NOT has_images THEN 'coarse' ELSE 'complete' END AS mode FROM ty JOIN st USING (doc_id)")
+def recommend_mode(s, d):
+    return merge.recommended(merge.document_type(_typed(s, d)), merge.structure(_typed(s, d)))
+
+
+_MERGED = {
+    "append": "concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN chr(10) || '[图片OCR结果]' || chr(10) || ocr END)",
+    "replace": "CASE WHEN length(trim(text, chr(10) || ' ')) < 50 AND ocr <> '' THEN '[使用图片OCR结果]' || chr(10) || ocr ELSE concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN ocr END) END",
+    "interleave": "concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN ocr END)",
+}
+for _k, _v in _MERGED.items():
+    query(f"merge_{_k}", f"WITH {D5} SELECT doc_id, page_no, {_v} AS text FROM j")(lambda s, d, k=_k: merge.joined(*layout.ocr_pages(s, d)).select("doc_id", "page_no", merge.merged(k).alias("text")))
+
+
+@query("ocr_left_join", f"WITH {D5} SELECT doc_id, page_no, text, ocr FROM j")
+def ocr_left_join(s, d):
+    return merge.joined(*layout.ocr_pages(s, d))
+
+
+def _boxes(s, d):
+    """Boxes near the tables of each document: shifted by an amount that depends on the table."""
+    t = layout.layout_tables(s, d)
+    move = (F.col("table_id") * 37 % 120).cast("double")
+    return t.select("doc_id", "page_no", (F.col("doc_id") * 1000 + F.col("table_id")).alias("box_id"), (F.col("x0") + move).alias("x0"), (F.col("y0") + move).alias("y0"), (F.col("x1") + move).alias("x1"), (F.col("y1") + move).alias("y1"))
+
+
+BOXES = f"{D2}, bx AS (SELECT doc_id, page_no, doc_id * 1000 + table_id AS box_id, x0 + (table_id * 37 % 120) AS x0, y0 + (table_id * 37 % 120) AS y0, x1 + (table_id * 37 % 120) AS x1, y1 + (table_id * 37 % 120) AS y1 FROM t)"
+OVER = "(CASE WHEN least(a.x1, t.x1) <= greatest(a.x0, t.x0) OR least(a.y1, t.y1) <= greatest(a.y0, t.y0) OR least((a.x1 - a.x0) * (a.y1 - a.y0), (t.x1 - t.x0) * (t.y1 - t.y0)) <= 0 THEN 0.0 ELSE (least(a.x1, t.x1) - greatest(a.x0, t.x0)) * (least(a.y1, t.y1) - greatest(a.y0, t.y0)) / least((a.x1 - a.x0) * (a.y1 - a.y0), (t.x1 - t.x0) * (t.y1 - t.y0)) END)"
+
+
+@query("bbox_overlap", f"WITH {BOXES} SELECT box_id, table_id, round({OVER}, 6) AS ratio FROM bx a JOIN t USING (doc_id, page_no)")
+def bbox_overlap(s, d):
+    t = layout.layout_tables(s, d).select("doc_id", "page_no", "table_id", *[F.col(c).alias(f"t_{c}") for c in geo.BOX])
+    return _boxes(s, d).join(t, ["doc_id", "page_no"]).select("box_id", "table_id", F.round(geo.overlap_ratio(geo.box(), geo.box("t_")), 6).alias("ratio"))
+
+
+@query("box_antijoin", f"WITH {BOXES} SELECT box_id FROM bx a WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = a.doc_id AND t.page_no = a.page_no AND {OVER} > 0.3)")
+def box_antijoin(s, d):
+    return tables.box_antijoin(_boxes(s, d), layout.layout_tables(s, d)).select("box_id")
+
+
+DIST = "sqrt(pow((a.x0 + a.x1) / 2 - (t.x0 + t.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (t.y0 + t.y1) / 2, 2))"
+
+
+@query("nearest_table", f"WITH {BOXES} SELECT box_id, table_id, round(dist, 4) AS distance FROM (SELECT box_id, table_id, {DIST} AS dist FROM bx a JOIN t USING (doc_id, page_no) WHERE {OVER} > 0.3 OR {DIST} < 50) QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY dist, table_id) = 1")
+def nearest_table(s, d):
+    return tables.nearest_table(_boxes(s, d), layout.layout_tables(s, d))
+
+
+@query("valid_tables_loose", f"WITH {D2} SELECT doc_id, table_id FROM t WHERE {LOOSE}")
+def valid_tables_loose(s, d):
+    return tables.valid_tables(layout.layout_tables(s, d), False).select("doc_id", "table_id")
+
+
+@query("valid_tables_strict", f"WITH {D2} SELECT doc_id, table_id FROM t WHERE {STRICT}")
+def valid_tables_strict(s, d):
+    return tables.valid_tables(layout.layout_tables(s, d), True).select("doc_id", "table_id")
+
+
+@query("cross_page_pairs", f"WITH {D2C} SELECT doc_id, table_id FROM g WHERE go")
+def cross_page_pairs(s, d):
+    t = layout.layout_tables(s, d)
+    return t.withColumn("go", tables.follows()).filter("go").select("doc_id", "table_id")
+
+
+@query("cross_page_chains", f"WITH {D2C} SELECT doc_id, table_id, island FROM k")
+def cross_page_chains(s, d):
+    return tables.chains(layout.layout_tables(s, d)).select("doc_id", "table_id", "island")
+
+
+@query("cross_page_summary", f"WITH {D2S} SELECT * FROM s")
+def cross_page_summary(s, d):
+    return tables.chain_summary(tables.chains(layout.layout_tables(s, d)))
+
+
+@query("covered_pages", f"WITH {D2S}, v AS (SELECT doc_id, table_id, unnest(range(start_page + 1, end_page + 1)) AS page_no FROM s WHERE start_page < end_page) SELECT doc_id, CAST(page_no AS INT) AS page_no, max(table_id) AS table_id FROM v GROUP BY ALL")
+def covered_pages(s, d):
+    return tables.covered_pages(tables.chain_summary(tables.chains(layout.layout_tables(s, d))))
+
+
+@query("doc_statistics", f"WITH {D2S} SELECT doc_id, count(*) AS tables, count(*) FILTER (page_count > 1) AS cross_page, count(*) - count(*) FILTER (page_count > 1) AS single FROM s GROUP BY 1")
+def doc_statistics(s, d):
+    n = tables.chain_summary(tables.chains(layout.layout_tables(s, d))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("tables"), F.count_if(F.col("page_count") > 1).alias("cross_page"))
+    return n.withColumn("single", F.col("tables") - F.col("cross_page"))
+
+
+@query("row_col_counts", f"WITH {D4} SELECT doc_id, count(DISTINCT row_index) AS n_rows, count(DISTINCT col_index) AS n_cols, max(x_end) AS x_end, max(y_end) AS y_end FROM z GROUP BY 1")
+def row_col_counts(s, d):
+    return layout.cells(s, d).groupBy("doc_id").agg(F.countDistinct("row_index").alias("n_rows"), F.countDistinct("col_index").alias("n_cols"), F.max("x_end").alias("x_end"), F.max("y_end").alias("y_end"))
+
+
+@query("cell_grid", f"WITH {D4} SELECT doc_id, row_index, max(y_end) AS y_end, max(y_end) - min(y_start) AS height, count(*) AS col_count, string_agg(text, '|' ORDER BY col_index) AS texts FROM z GROUP BY ALL")
+def cell_grid(s, d):
+    g = layout.cells(s, d).groupBy("doc_id", "row_index")
+    return g.agg(F.max("y_end").alias("y_end"), (F.max("y_end") - F.min("y_start")).alias("height"), F.count(F.lit(1)).alias("col_count"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_index", "text"))), lambda c: c["text"]), "|").alias("texts"))
+
+
+_FOLD = "list_reduce([[x] for x in xs], lambda a, b: CASE WHEN b[1] - a[-1] >= 2.0 THEN list_concat(a, b) ELSE list_concat(a[1:len(a) - 1], [(a[-1] + b[1]) / 2]) END)"
+
+
+@query("merged_vertical_lines", f"WITH {D4}, xs AS (SELECT doc_id, list_sort(list_distinct(list(x_start))) AS xs FROM z GROUP BY 1) SELECT doc_id, array_to_string([CAST(CAST(round(v * 1000) AS BIGINT) AS VARCHAR) for v in {_FOLD}], ',') AS lines FROM xs")
+def merged_vertical_lines(s, d):
+    xs = layout.cells(s, d).groupBy("doc_id").agg(F.collect_set("x_start").alias("xs"))
+    return xs.select("doc_id", F.array_join(F.transform(geo.merge_coords(F.col("xs"), 2.0), lambda v: F.round(v * 1000).cast("long").cast("string")), ",").alias("lines"))
+
+
+@query("column_vote", f"WITH {D4}, m AS (SELECT doc_id, row_index AS row_no, 4 - (doc_id + row_index) % 3 AS cols FROM z WHERE col_index = 0), k AS (SELECT doc_id, cols, count(*) AS n, min(row_no) AS f FROM m GROUP BY ALL), a AS (SELECT doc_id, sum(n) AS rows_, count(*) AS kinds, max(cols) AS most, first(cols ORDER BY n DESC, f) AS mode, max(n) AS mode_n, max_by(n, cols) AS most_n FROM k GROUP BY 1) SELECT doc_id, CASE WHEN kinds = 1 THEN most WHEN mode_n / rows_ > 0.6 THEN mode WHEN most_n / rows_ > 0.3 THEN most WHEN most - mode <= 1 THEN most ELSE mode END AS cols FROM a")
+def column_vote(s, d):
+    m = layout.cells(s, d).filter("col_index = 0").select("doc_id", F.col("row_index").alias("row_no"), (4 - (F.col("doc_id") + F.col("row_index")) % 3).alias("cols"))
+    return tables.column_vote(m)
+
+
+def _chars(s, d):
+    """One character near the middle of every cell, and one on its right edge."""
+    c = layout.cells(s, d)
+    at = F.explode(F.array(F.lit(40.0), F.lit(97.0)))
+    return c.withColumn("dx", at).select("doc_id", (F.col("row_index") * 100 + F.col("col_index") * 10 + F.when(F.col("dx") > 50, 1).otherwise(0)).alias("char_no"), F.substring("text", 1, 1).alias("c"), (F.col("x_start") + F.col("dx")).alias("x0"), (F.col("y_start") + 5.0).alias("y0"), (F.col("x_start") + F.col("dx") + 6).alias("x1"), (F.col("y_start") + 15.0).alias("y1"))
+
+
+CHARS = f"{D4}, ch AS (SELECT doc_id, row_index * 100 + col_index * 10 + CASE WHEN dx > 50 THEN 1 ELSE 0 END AS char_no, text[1:1] AS c, x_start + dx AS x0, y_start + 5 AS y0, x_start + dx + 6 AS x1, y_start + 15 AS y1 FROM z, (SELECT unnest([40.0, 97.0])::DOUBLE AS dx))"
+
+
+@query("char_to_cell", f"WITH {CHARS}, near AS (SELECT ch.*, z.row_index, z.col_index, CASE WHEN x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start THEN 0 ELSE 1 END AS prio FROM ch JOIN z USING (doc_id) WHERE (x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start) OR ((x0 + x1) / 2 BETWEEN x_start AND x_end AND (y0 + y1) / 2 BETWEEN y_start AND y_end)) SELECT doc_id, char_no, c, row_index, col_index FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, char_no ORDER BY prio, row_index, col_index) = 1")
+def char_to_cell(s, d):
+    return tables.char_to_cell(_chars(s, d), layout.cells(s, d)).select("doc_id", "char_no", "c", "row_index", "col_index")
+
+
+@query("cell_text", f"WITH {CHARS}, near AS (SELECT ch.*, z.row_index, z.col_index, CASE WHEN x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start THEN 0 ELSE 1 END AS prio FROM ch JOIN z USING (doc_id) WHERE (x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start) OR ((x0 + x1) / 2 BETWEEN x_start AND x_end AND (y0 + y1) / 2 BETWEEN y_start AND y_end)), one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, char_no ORDER BY prio, row_index, col_index) = 1) SELECT doc_id, row_index, col_index, string_agg(c, '' ORDER BY x0, char_no) AS text FROM one GROUP BY ALL")
+def cell_text(s, d):
+    c = tables.char_to_cell(_chars(s, d), layout.cells(s, d))
+    item = F.struct("y0", ((F.col("x0") + F.col("x1")) / 2).alias("xc"), "char_no", "c")
+    g = c.groupBy("doc_id", "row_index", "col_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    ordered = F.array_join(F.transform(F.array_sort(F.transform("items", lambda i: F.struct(i["xc"].alias("xc"), i["char_no"].alias("n"), i["c"].alias("c")))), lambda i: i["c"]), "")
+    return g.select("doc_id", "row_index", "col_index", ordered.alias("text"))
+
+
+@query("colspan_rowspan", f"WITH {D4}, xs AS (SELECT doc_id, list(DISTINCT x_start) AS xs, list(DISTINCT y_start) AS ys FROM z GROUP BY 1), w AS (SELECT doc_id, row_index, col_index, x_start, CASE WHEN col_index = 1 THEN x_end + 100 ELSE x_end END AS x_end, y_start, y_end + 20 * (row_index % 2) AS y_end FROM z) SELECT doc_id, row_index, col_index, CAST(1 + len(list_filter(list_distinct([round(x / 100) * 100 for x in xs]), lambda v: v > x_start + 2 AND v < x_end - 2)) AS INT) AS colspan, CAST(1 + len(list_filter(ys, lambda v: v > y_start + 2 AND v < y_end - 2)) AS INT) AS rowspan FROM w JOIN xs USING (doc_id)")
+def colspan_rowspan(s, d):
+    c = layout.cells(s, d)
+    lines = c.groupBy("doc_id").agg(F.array_distinct(F.transform(F.collect_set("x_start"), lambda x: F.round(x / 100) * 100)).alias("xs"), F.collect_set("y_start").alias("ys"))
+    wide = c.withColumn("x_end", F.when(F.col("col_index") == 1, F.col("x_end") + 100).otherwise(F.col("x_end"))).withColumn("y_end", F.col("y_end") + 20 * (F.col("row_index") % 2)).join(lines, "doc_id")
+    return tables.spans(wide, F.col("xs"), F.col("ys")).select("doc_id", "row_index", "col_index", "colspan", "rowspan")
+
+
+@query("display_columns")
+def display_columns(s, d):
+    c = layout.cells(s, d).select("doc_id", F.col("row_index").alias("row_no"), F.col("col_index").alias("cell_no"), (1 + (F.col("row_index") + F.col("col_index")) % 2).cast("int").alias("colspan"), F.when((F.col("col_index") == 0) & (F.col("row_index") % 2 == 0), 2).otherwise(1).alias("rowspan"))
+    return tables.display_columns_of(c)
+
+
+D3 = "im AS (SELECT p_brand AS doc_id, p_partkey AS img_no, CAST(4 + p_size * 25 AS INT) AS width, CAST(10 + (p_partkey % 40) * 25 AS INT) AS height, (p_partkey % 100) / 100.0::DOUBLE AS red_ratio, CAST(1 + p_partkey % 12 AS INT) AS page_no FROM part), np AS (SELECT doc_id, max(page_no) AS pages FROM im GROUP BY 1)"
+KEPT = f"{D3}, ki AS (SELECT im.* FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, width, height) AS n FROM im) im JOIN np USING (doc_id) WHERE least(width, height) >= 14 AND n <= floor(pages * 0.8))"
+
+
+def _kept(s, d):
+    i = layout.images(s, d)
+    return img.size_filter(i, i.groupBy("doc_id").agg(F.max("page_no").alias("pages")))
+
+
+@query("image_size_filter", f"WITH {KEPT} SELECT doc_id, img_no FROM ki")
+def image_size_filter(s, d):
+    return _kept(s, d).select("doc_id", "img_no")
+
+
+@query("image_stats", f"WITH {D3} SELECT doc_id, count(*) AS total, count(DISTINCT page_no) AS pages_with_images, round(avg(width), 4) AS avg_width, round(avg(height), 4) AS avg_height, count(DISTINCT (width, height)) AS unique_sizes FROM im GROUP BY 1")
+def image_stats(s, d):
+    return img.statistics(layout.images(s, d))
+
+
+@query("empty_pages_to_render", f"WITH {KEPT}, pp AS (SELECT doc_id, page_no, CASE WHEN page_no % 4 = 0 THEN 'x' ELSE ' ' END AS text FROM np, (SELECT unnest(range(1, 16)) AS page_no)) SELECT doc_id, CAST(page_no AS INT) AS page_no FROM pp WHERE trim(text) = '' AND NOT EXISTS (SELECT 1 FROM ki WHERE ki.doc_id = pp.doc_id AND ki.page_no = pp.page_no)")
+def empty_pages_to_render(s, d):
+    pages = layout.images(s, d).select("doc_id").distinct().withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(15)))).withColumn("text", F.when(F.col("page_no") % 4 == 0, "x").otherwise(" "))
+    return img.pages_to_render(pages, _kept(s, d))
+
+
+@query("stamp_candidates", f"WITH {D3} SELECT doc_id, img_no FROM im WHERE least(width, height) >= 30 AND greatest(width, height) <= 1000 AND width / height BETWEEN 0.7 AND 1.5 AND red_ratio >= 0.8")
+def stamp_candidates(s, d):
+    return img.stamp_candidates(layout.images(s, d)).select("doc_id", "img_no")
+
+
+def _vectors(s, d):
+    return layout.table(s, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("v"))
+
+
+PAIRS = """v AS (SELECT label AS doc_id, vec_id AS ord, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings),
+pr AS (SELECT a.doc_id, a.ord AS a, b.ord AS b, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) AS sim FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.ord < b.ord),
+ps AS (SELECT * FROM pr WHERE sim >= 0.35)"""
+GROUPS = f"{PAIRS}, ed AS (SELECT doc_id, a AS x, b AS y FROM ps UNION ALL SELECT doc_id, b, a FROM ps), re AS (SELECT doc_id, ord, ord AS r FROM v UNION SELECT re.doc_id, ed.y, re.r FROM re JOIN ed ON re.doc_id = ed.doc_id AND re.ord = ed.x AND re.r < ed.y), gr AS (SELECT doc_id, ord, min(r) AS grp FROM re GROUP BY ALL)"
+
+
+@query("stamp_similarity_pairs", f"WITH {PAIRS} SELECT doc_id, a, b, round(sim, 4) AS similarity FROM ps")
+def stamp_similarity_pairs(s, d):
+    return img.similar_pairs(_vectors(s, d), 0.35)
+
+
+@query("stamp_groups", f"WITH RECURSIVE {GROUPS} SELECT * FROM gr")
+def stamp_groups(s, d):
+    return img.stamp_groups(_vectors(s, d), img.similar_pairs(_vectors(s, d), 0.35))
+
+
+@query("stamp_representatives", f"WITH RECURSIVE {GROUPS} SELECT doc_id, grp AS representative, count(*) - 1 AS duplicates FROM gr GROUP BY ALL")
+def stamp_representatives(s, d):
+    return img.representatives(stamp_groups(s, d))
+
+
+@query("escape_html_text", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '<br>', chr(1)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(1), '<br>')) AS escaped_md5 FROM pages")
+def escape_html_text(s, d):
+    return layout.table(s, d, "pages").select("page_id", F.md5(txt.escape_html(F.col("html"))).alias("escaped_md5"))
+
+
+@query("text_excluding_tables", f"WITH {D1}, bt AS (SELECT doc_id, page_no, min(y0) + 100 AS y0, min(y0) + 300 AS y1 FROM l GROUP BY ALL) SELECT l.doc_id, l.page_no, string_agg(l.text, chr(10) ORDER BY line_no) FILTER (l.y0 < bt.y0) AS before, string_agg(l.text, chr(10) ORDER BY line_no) FILTER (l.y0 >= bt.y0) AS after FROM l JOIN bt USING (doc_id, page_no) WHERE NOT (l.x0 >= 35 AND l.x1 <= 560 AND l.y0 >= bt.y0 - 5 AND l.y1 <= bt.y1 + 5) GROUP BY ALL")
+def text_excluding_tables(s, d):
+    lines = layout.layout_lines(s, d)
+    t = lines.groupBy("doc_id", "page_no").agg((F.min("y0") + 100).alias("t_y0"), (F.min("y0") + 300).alias("t_y1")).withColumn("t_x0", F.lit(40.0)).withColumn("t_x1", F.lit(555.0))
+    out = lines.join(t, ["doc_id", "page_no"]).filter(~geo.contains(geo.box("t_"), geo.box()))
+    part = lambda when: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", "text")))), lambda r: r["text"]), "\n"), F.lit(""))
+    return out.groupBy("doc_id", "page_no").agg(part(F.col("y0") < F.col("t_y0")).alias("before"), part(F.col("y0") >= F.col("t_y0")).alias("after"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
