@@ -19,12 +19,16 @@ WINDOW = 1024
 #: Id that ends each document.
 END_ID = 0
 #: Most pieces of text whose ids a Python worker remembers (about 200 bytes each); it forgets all when they are more.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text only where the tokenizer's own pre-tokenizer cuts it, whatever stands around.
 _PIECES = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]")
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)")
+_CLASS = "[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_ODD = f"^$|^{_CLASS}|{_CLASS}$"
+_ENDS = ".,;:!?"
+#: Pieces that are encoded in one call.
+_AT_ONCE = 2_000
 _codecs: dict[str, Codec] = {}
 
 
@@ -32,7 +36,8 @@ class Codec:
     """Token ids of whole texts, equal to those of the tokenizer itself.
 
     A byte-level pre-tokenizer never joins what a single space, or a line end between two words, separates. So texts
-    are cut there, the distinct pieces of a batch are encoded once and remembered, and ids are gathered by index.
+    are cut there, the distinct pieces of a batch are encoded once and remembered, and ids are gathered by index. Texts
+    with other runs of white space are cut by _PIECES, as the pre-tokenizer would.
     """
 
     def __init__(self, path: str):
@@ -40,61 +45,91 @@ class Codec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        split = [(p, m) for p in pieces if p not in self.known for m in [_WORD.fullmatch(p)]]
-        fresh = list({p for p, m in split if not m} | {x for _, m in split if m for x in m.groups() if x not in self.known})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, dtype=np.uint32)
-        for p, m in split:
-            if m:
-                self.known[p] = np.concatenate([self.known[m[1]], self.known[m[2]]])
+        self.line = self._raw("\n")
+        self.ends: dict[str, bytes] = {}
+        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of words after a space, and without
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode_all(self, pieces: list[str]) -> list[bytes]:
+        """Pieces without line ends, none with white space at its end, in few calls: set apart by line ends, which the
+        tokenizer keeps as tokens of their own."""
+        mark, out = int.from_bytes(self.line, "little"), []
+        for i in range(0, len(pieces), _AT_ONCE):
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces[i : i + _AT_ONCE])], add_special_tokens=False)[0].ids, dtype="<u4")
+            at, raw = 4 * np.flatnonzero(ids == mark), ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True)]
+        assert len(out) == len(pieces)
+        return out
+
+    def _ids(self, words: list[str], bare: int) -> list[bytes]:
+        """Of words that stand after a space, or without one (bare)."""
+        known = self.known[bare]
+        got = list(map(known.get, words))
+        fresh = [w for w, g in zip(words, got, strict=True) if g is None]
+        if not fresh:
+            return got
+        if len(known) > REMEMBERED:
+            known.clear()
+        split, new = [], set()
+        for w in fresh:
+            stem = w.rstrip(_ENDS)
+            if stem != w and stem.isalpha():  # a boundary of the pre-tokenizer
+                split.append((w, stem, w[len(stem) :]))
+                if stem not in known:
+                    new.add(stem)
+            else:
+                new.add(w)
+        stems = sorted(new)
+        known.update(zip(stems, self._encode_all(stems if bare else [" " + w for w in stems]), strict=True))
+        for w, stem, end in split:
+            if end not in self.ends:
+                self.ends[end] = self._raw(end)
+            known[w] = known[stem] + self.ends[end]
+        return [known[w] if g is None else g for w, g in zip(words, got, strict=True)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text k has ids[bounds[k]:bounds[k + 1]]."""
         texts = texts.fill_null("")
-        marked = pc.replace_substring(texts, "\n", " \n ")
-        parts = pc.split_pattern(marked, " ")
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         flat, offsets = parts.flatten(), np.asarray(parts.offsets) - parts.offsets[0].as_py()
+        if not len(flat):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
         codes = np.asarray(coded.indices).astype(np.int64)
-        n = len(words)
-        odd = np.array([not w or (w[0].isspace() or w[-1].isspace()) and w != "\n" for w in words], dtype=bool)
-        line = np.array([w == "\n" for w in words], dtype=bool)
-        first = np.zeros(len(codes), dtype=bool)
-        first[offsets[:-1][offsets[:-1] < len(codes)]] = True
-        bare = first.copy()
-        bare[1:] |= line[codes[:-1]]
-        bare |= line[codes]
-        strange = odd[codes]
-        last = np.zeros(len(codes), dtype=bool)
-        last[offsets[1:][offsets[1:] > 0] - 1] = True
-        ends = line[codes] & (first | last)  # a text that starts or ends with a line end
-        double = np.zeros(len(codes), dtype=bool)
-        double[1:] = line[codes[1:]] & line[codes[:-1]] & ~first[1:]
-        strange |= ends | double
-        bad = np.add.reduceat(strange, np.minimum(offsets[:-1], max(len(codes) - 1, 0))) > 0 if len(codes) else np.zeros(len(texts), bool)
-        bad |= np.diff(offsets) == 0
-        keyed = codes * 2 + bare
-        used, where = np.unique(keyed, return_inverse=True)
-        names = [words[k >> 1] if k & 1 else " " + words[k >> 1] for k in used.tolist()]
-        self._learn(names)
-        ids = [self.known[w] for w in names]
-        length = np.array([len(x) for x in ids], dtype=np.int64)
-        table_ = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)])))
-        out = np.asarray(table_.take(pa.array(where)).flatten())
+        line = np.asarray(pc.equal(coded.dictionary, "\n"))
+        odd = np.asarray(pc.match_substring_regex(coded.dictionary, _ODD)) & ~line
+        is_line = line[codes]
+        first, last = np.zeros(len(codes), dtype=bool), np.zeros(len(codes), dtype=bool)
+        some = np.diff(offsets) > 0
+        first[offsets[:-1][some]] = True
+        last[offsets[1:][some] - 1] = True
+        bare = first | is_line
+        bare[1:] |= is_line[:-1]
+        strange = odd[codes] | (is_line & (first | last))
+        strange[1:] |= is_line[1:] & is_line[:-1] & ~first[1:]
+        bad = ~some
+        bad[some] = np.add.reduceat(strange, offsets[:-1][some]) > 0
+        used, where = np.unique(codes * 2 + bare, return_inverse=True)
+        words = coded.dictionary.to_pylist()
+        raw: list[bytes] = [b""] * len(used)
+        for k in (0, 1):
+            own = np.flatnonzero((used & 1 == k) & ~odd[used >> 1] & ~line[used >> 1])
+            for i, x in zip(own.tolist(), self._ids([words[w] for w in (used[own] >> 1).tolist()], k), strict=True):
+                raw[i] = x
+        for i in np.flatnonzero(line[used >> 1]).tolist():
+            raw[i] = self.line
+        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<u4")))
+        out = np.asarray(lists.take(pa.array(where)).flatten())
         bounds = np.concatenate([[0], np.cumsum(length[where])])[offsets]
         if not bad.any():
             return out, bounds
         docs = [out[a:b] for a, b in pairwise(bounds)]
         for k in np.flatnonzero(bad):
             own = _PIECES.findall(texts[int(k)].as_py())
-            self._learn(own)
-            docs[k] = np.concatenate([np.zeros(0, np.uint32), *(self.known[p] for p in own)])
+            docs[k] = np.array([i for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
         return np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
 
 
