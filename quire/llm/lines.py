@@ -11,6 +11,8 @@ from .common import connected_components, cut, table
 EDITS = 1
 #: Characters that a line must have to be deduplicated; shorter ones (headings, marks, answers) always stay.
 LEAST_CHARS = 40
+#: Pieces of a line in the first look at a candidate pair.
+PIECES = 16
 #: Lines of candidate pairs whose hashes are broadcast at most to fetch their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -94,6 +96,48 @@ def probe_keys(line: Column, edits: int) -> Column:
     return F.array(*out)
 
 
+def broken_pieces(a: Column, b: Column, edits: int) -> Column:
+    """How many of PIECES equal pieces of a are not in b within edits places of where they stand in a. An edit breaks
+    one piece at most, so lines within edits of each other have no more than that many."""
+    width = F.greatest(F.floor(F.length(a) / PIECES).cast("int"), F.lit(1))
+
+    def broken(k: Column) -> Column:
+        start = k * width + 1
+        piece = F.substring(a, start, width)
+        found = [piece == F.substring(b, start + move, width) for move in sorted(range(-edits, edits + 1), key=abs)]
+        any_ = found[0]
+        for x in found[1:]:
+            any_ = any_ | x
+        return ~any_
+
+    return F.when(F.length(a) < 2 * PIECES, 0).otherwise(F.size(F.filter(F.sequence(F.lit(edits), F.lit(PIECES - 1)), broken)))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Length of the longest common prefix, by steps of falling powers of two."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def go(at: Column, step: Column) -> Column:
+        return F.when((step <= most - at) & (F.substring(a, at + 1, step) == F.substring(b, at + 1, step)), at + step).otherwise(at)
+
+    return F.aggregate(F.filter(steps, lambda s: s <= most), F.lit(0), go)
+
+
+def near(a: Column, b: Column, edits: int) -> Column:
+    """within(a, b, edits), by way of what is cheap: lines that differ in too many pieces are apart, and what two lines
+    share at both ends is no matter of distance; the built-in banded distance screens what is left, and the bit-parallel
+    one confirms. Each step is bound once; as columns they would be inlined again and
+    again."""
+    pair = lambda x, y, n: F.struct(x.alias("x"), y.alias("y"), n.alias("n"))
+    tail = lambda p, c: F.substring(p[c], p["n"] + 1, F.length(p[c]))
+    head = lambda q, c: F.substring(q[c], F.lit(1), F.length(q[c]) - q["n"])
+    core = lambda q: let(pair(head(q, "x"), head(q, "y"), F.lit(0)), lambda c: F.when(F.levenshtein(c["x"], c["y"], edits) < 0, False).otherwise(within(c["x"], c["y"], edits)))
+    cut_tail = lambda r: let(pair(r["x"], r["y"], shared_prefix(F.reverse(r["x"]), F.reverse(r["y"]))), core)
+    cut_head = lambda p: let(pair(tail(p, "x"), tail(p, "y"), F.lit(0)), cut_tail)
+    return F.when(broken_pieces(a, b, edits) > edits, False).otherwise(let(pair(a, b, shared_prefix(a, b)), cut_head))
+
+
 def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """(id, line) -> (h, cls): hashes of lines that have others within edits, with the least hash that such links reach.
 
@@ -108,7 +152,9 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     texts = lines.select(h.alias("h"), "line").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h", "left_semi").distinct()
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
-    close = pairs.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    # much work for few bytes: dealt to as many tasks as a shuffle has, which adaptive execution leaves alone
+    pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    close = pairs.filter(near(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
     return connected_components(close).select(F.col("node").alias("h"), F.col("component").alias("cls"))
 
 
