@@ -11,10 +11,12 @@ from .common import connected_components, cut, table
 EDITS = 1
 #: Characters that a line must have to be deduplicated; shorter ones (headings, marks, answers) always stay.
 LEAST_CHARS = 40
-#: Pieces of a line in the first look at a candidate pair.
-PIECES = 16
-#: Lines of candidate pairs whose hashes are broadcast at most to fetch their texts; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+#: Parts into which the window of an edit is cut in each round of narrowing it.
+PARTS = 16
+#: Characters that verification keeps of what two lines share at either end.
+MARGIN = 4
+#: Rows of two longs that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def let(value: Column, body) -> Column:
@@ -96,23 +98,6 @@ def probe_keys(line: Column, edits: int) -> Column:
     return F.array(*out)
 
 
-def broken_pieces(a: Column, b: Column, edits: int) -> Column:
-    """How many of PIECES equal pieces of a are not in b within edits places of where they stand in a. An edit breaks
-    one piece at most, so lines within edits of each other have no more than that many."""
-    width = F.greatest(F.floor(F.length(a) / PIECES).cast("int"), F.lit(1))
-
-    def broken(k: Column) -> Column:
-        start = k * width + 1
-        piece = F.substring(a, start, width)
-        found = [piece == F.substring(b, start + move, width) for move in sorted(range(-edits, edits + 1), key=abs)]
-        any_ = found[0]
-        for x in found[1:]:
-            any_ = any_ | x
-        return ~any_
-
-    return F.when(F.length(a) < 2 * PIECES, 0).otherwise(F.size(F.filter(F.sequence(F.lit(edits), F.lit(PIECES - 1)), broken)))
-
-
 def shared_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix, by steps of falling powers of two."""
     most = F.least(F.length(a), F.length(b))
@@ -125,36 +110,111 @@ def shared_prefix(a: Column, b: Column) -> Column:
 
 
 def near(a: Column, b: Column, edits: int) -> Column:
-    """within(a, b, edits), by way of what is cheap: lines that differ in too many pieces are apart, and what two lines
-    share at both ends is no matter of distance; the built-in banded distance screens what is left, and the bit-parallel
-    one confirms. Each step is bound once; as columns they would be inlined again and
-    again."""
-    pair = lambda x, y, n: F.struct(x.alias("x"), y.alias("y"), n.alias("n"))
+    """within(a, b, edits) of what is left of two lines without their common ends, which are no matter of distance; but
+    for MARGIN characters there. Each step is bound once; as columns they would be inlined again and again."""
+    pair = lambda x, y, n: F.struct(x.alias("x"), y.alias("y"), F.greatest(n - MARGIN, F.lit(0)).alias("n"))
     tail = lambda p, c: F.substring(p[c], p["n"] + 1, F.length(p[c]))
     head = lambda q, c: F.substring(q[c], F.lit(1), F.length(q[c]) - q["n"])
-    core = lambda q: let(pair(head(q, "x"), head(q, "y"), F.lit(0)), lambda c: F.when(F.levenshtein(c["x"], c["y"], edits) < 0, False).otherwise(within(c["x"], c["y"], edits)))
+    core = lambda q: let(pair(head(q, "x"), head(q, "y"), F.lit(0)), lambda c: within(c["x"], c["y"], edits))
     cut_tail = lambda r: let(pair(r["x"], r["y"], shared_prefix(F.reverse(r["x"]), F.reverse(r["y"]))), core)
     cut_head = lambda p: let(pair(tail(p, "x"), tail(p, "y"), F.lit(0)), cut_tail)
-    return F.when(broken_pieces(a, b, edits) > edits, False).otherwise(let(pair(a, b, shared_prefix(a, b)), cut_head))
+    return let(pair(a, b, shared_prefix(a, b)), cut_head)
 
 
-def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """(id, line) -> (h, cls): hashes of lines that have others within edits, with the least hash that such links reach.
+def bounded(df: DataFrame) -> DataFrame:
+    """df, checkpointed, and marked for broadcast if its rows are few; they must be narrow."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(h, key) -> (key): keys of several h. A hot key is combined before the shuffle, to its least and greatest h."""
+    return rows.groupBy("key").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least < most").select("key")
+
+
+def window_key(line: Column, less: Column, start: Column, size: Column) -> Column:
+    """Hash of a line without a window, of `size` characters in the shorter of two lines (less = 0) and one more in one
+    that is longer by one (less = 1), with the window's place."""
+    return F.xxhash64(start, size, F.substring(line, F.lit(1), start - 1), F.substring(line, start + size + less, F.lit((1 << 31) - 1)))
+
+
+def halves(lines: DataFrame) -> DataFrame:
+    """(line) -> (h, less, start, size, key): windows of a line's two segments, as a line like any other and as one
+    longer by a character than another."""
+    ways = F.array(*[F.struct(F.lit(less).alias("less"), F.lit(i).alias("i")) for less in (0, 1) for i in (0, 1)])
+    rows = lines.select("line", F.xxhash64("line").alias("h"), F.length("line").alias("n")).select("*", F.inline(ways)).filter("n >= less")
+    half = F.shiftright(F.col("n") - F.col("less"), 1)
+    rows = rows.select("line", "h", "less", F.when(F.col("i") == 0, 1).otherwise(half + 1).alias("start"), F.when(F.col("i") == 0, half).otherwise(F.col("n") - F.col("less") - half).alias("size"))
+    return rows.select("h", "less", "start", "size", window_key(F.col("line"), F.col("less"), F.col("start"), F.col("size")).alias("key"))
 
-    Keys are spread where lines are read and shuffled without texts; the join on them is an ordinary equi-join, which
-    adaptive execution splits where a segment is frequent. Candidates' texts are fetched after that.
+
+def windows(line: Column, less: Column, start: Column, size: Column) -> Column:
+    """A window's PARTS parts, or fewer of at least a character."""
+    wide = F.ceil(size / PARTS).cast("int")
+
+    def part(at: Column) -> Column:
+        own = F.least(wide, start + size - at)
+        return F.struct(less.alias("less"), at.alias("start"), own.alias("size"), window_key(line, less, at, own).alias("key"))
+
+    return F.transform(F.sequence(start, start + size - 1, wide), part)
+
+
+def one_edit_links(lines: DataFrame) -> DataFrame:
+    """(line) -> (a, b): hashes of lines, linked so that all lines one edit apart are joined by verified links.
+
+    Of two segments of a line, an edit leaves one as it is: lines that share a segment, at its place in lines of their
+    length, are candidates. The edit is then within the other segment, which is cut in turn, so that candidates share
+    all but an ever smaller window, until it is a character. Each round keeps the windows that several lines have and
+    never pairs them. Lines of a length that share all but one character are linked with the first of them; a longer
+    line is looked up without each character of its window. So the work is linear in lines, however many share a segment.
     """
+    h = F.xxhash64("line").alias("h")
+    first = halves(lines)
+    keys = bounded(shared_keys(first))
+    state = cut(first.join(keys, "key", "left_semi").select("h", "less", "start", "size").distinct())
+    wanted = bounded(state.select("h").distinct())
+    texts = cut(lines.select(h, "line").join(wanted, "h", "left_semi").distinct())
+    done = []
+    while True:
+        done.append(state.filter("size <= 1"))
+        state = state.filter("size > 1")
+        if state.isEmpty():
+            break
+        parts = cut(state.join(texts, "h").select("h", F.inline(windows(F.col("line"), F.col("less"), F.col("start"), F.col("size")))))
+        state = cut(parts.join(bounded(shared_keys(parts)), "key", "left_semi").select("h", "less", "start", "size"))
+    ends = done[0]
+    for more in done[1:]:
+        ends = ends.union(more)
+    ends = ends.join(texts, "h")
+    same = cut(ends.filter("less = 0").select("h", window_key(F.col("line"), F.lit(0), F.col("start"), F.col("size")).alias("key")))
+    equal = same.join(same.groupBy("key").agg(F.min("h").alias("b")), "key").select(F.col("h").alias("a"), "b").filter("a <> b")
+    without = F.transform(F.sequence(F.col("start"), F.col("start") + F.col("size")), lambda at: F.xxhash64(F.concat(F.substring("line", F.lit(1), at - 1), F.substring("line", at + 1, F.length("line")))))
+    longer = ends.filter("less = 1").select(F.col("h").alias("a"), F.explode(without).alias("b")).filter("a <> b")
+    longer = longer.join(texts.select(F.col("h").alias("b")), "b", "left_semi").select("a", "b")
+    return verified(equal.union(longer).distinct(), texts, 1)
+
+
+def segment_links(lines: DataFrame, edits: int) -> DataFrame:
+    """(line) -> (a, b): hashes of all lines within edits of each other, by a join of segments with substrings. Pairs
+    of lines that share a segment are all looked at."""
     h = F.xxhash64("line")
     index = lines.select(h.alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key")).distinct()
     probe = lines.select(h.alias("b"), F.explode(probe_keys(F.col("line"), edits)).alias("key")).filter("key is not null").distinct()
     pairs = cut(index.join(probe, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    texts = lines.select(h.alias("h"), "line").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "h", "left_semi").distinct()
+    return verified(pairs, lines.select(h.alias("h"), "line").join(bounded(wanted), "h", "left_semi").distinct(), edits)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """The (a, b) whose (h, line) are within edits."""
     for end in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("h").alias(end), F.col("line").alias(f"line_{end}")), end)
-    # much work for few bytes: dealt to as many tasks as a shuffle has, which adaptive execution leaves alone
-    pairs = pairs.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    close = pairs.filter(near(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+    return pairs.filter(near(F.col("line_a"), F.col("line_b"), edits)).select("a", "b")
+
+
+def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(id, line) -> (h, cls): hashes of lines that have others within edits, with the least hash that such links reach."""
+    close = one_edit_links(lines.select("line")) if edits == 1 else segment_links(lines, edits)
     return connected_components(close).select(F.col("node").alias("h"), F.col("component").alias("cls"))
 
 
@@ -169,7 +229,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     An empty table has no rows. Internal columns have names of their own, so other columns may have any.
     """
     columns = columns or [id_col, text_col]
-    rows = df.select(F.struct(*columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     split = F.split("text", "\n")
     spread = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").select("id", F.posexplode(split).alias("place", "line")).filter(F.length("line") >= least)
     seen = spread.select("id", "place", F.xxhash64("line").alias("h"))
@@ -183,7 +243,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, k: ~((F.length(line) >= least) & F.array_contains("gone", k))), "\n"))
     n = F.coalesce(F.size(split), F.lit(0))
     out = out.select("row", kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
-    return out.select(*[(F.col("text") if c == text_col else F.col("row")[c]).alias(c) for c in columns], "n_lines", F.when(F.col("n_dropped") > 0, F.col("n_dropped")).otherwise(0).cast("long").alias("n_dropped"))
+    return out.select(*[(F.col("text") if c == text_col else F.col("row")[f"_{i}"]).alias(c) for i, c in enumerate(columns)], "n_lines", F.when(F.col("n_dropped") > 0, F.col("n_dropped")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
