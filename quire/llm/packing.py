@@ -132,12 +132,6 @@ class Codec:
             docs[k] = np.array([i for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
         return np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
 
-    def forget(self) -> None:
-        """Let go of the remembered words: a worker is reused by other operators, which need its memory."""
-        for known in self.known:
-            known.clear()
-        pa.default_memory_pool().release_unused()
-
 
 def codec(path: str) -> Codec:
     """One for each Python worker."""
@@ -259,7 +253,6 @@ def _packed(path: str, window: int):
         for row in packer.close():
             emit(row)
         yield flush()
-        code.forget()
 
     return go
 
