@@ -46,7 +46,7 @@ def fit(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
 
 def scorer(model: np.ndarray):
     """A Pandas UDF: whole text -> mean log likelihood of its trigrams in each language, and then their number."""
-    packed = model.T.astype(np.float32)
+    packed = model.astype(np.float32)
 
     @F.pandas_udf("array<double>")
     def score(text: pd.Series) -> pd.Series:
@@ -56,13 +56,15 @@ def scorer(model: np.ndarray):
         for _, offsets, data in blocks(pa.Array.from_pandas(text, type=pa.string())):
             n = np.maximum(np.diff(offsets) - 2, 0)
             if len(data) < 3:
-                out += [[*np.zeros(packed.shape[1]), 0.0]] * len(n)
+                out += [[*np.zeros(len(packed)), 0.0]] * len(n)
                 continue
-            each = packed[_places(data)]
-            total = np.zeros((len(data) - 1, packed.shape[1]))
-            np.cumsum(each, axis=0, dtype=np.float64, out=total[1:])
+            places, total = _places(data), np.zeros(len(data) - 1)
             start = np.minimum(offsets[:-1], len(total) - 1)
-            mean = (total[np.minimum(start + n, len(total) - 1)] - total[start]) / np.maximum(n, 1)[:, None]
+            end = np.minimum(start + n, len(total) - 1)
+            mean = np.empty((len(n), len(packed)))
+            for k, own in enumerate(packed):  # one language at a time: sums of all would take eight bytes each for every byte of text
+                np.cumsum(own[places], dtype=np.float64, out=total[1:])
+                mean[:, k] = (total[end] - total[start]) / np.maximum(n, 1)
             out += np.concatenate([np.where(n[:, None] > 0, mean, 0), n[:, None]], axis=1).tolist()
         return pd.Series(out, index=text.index)
 
