@@ -21,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one go; a document goes if nothing but blanks is left of it."""
-    cleaned = lines.dedup_lines(docs, columns=COLUMNS)
+    cleaned = lines.dedup_lines(docs, columns=COLUMNS, least_equal=lines.LEAST_EQUAL)
     left = cleaned.filter("n_dropped = 0 or length(trim(both from text)) > 0")
     return left.select("doc_id", "text", "lang", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"))
 

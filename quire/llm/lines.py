@@ -9,8 +9,10 @@ from .common import connected_components, cut, table
 
 #: Most edits (insertions, deletions, substitutions of a character) between two lines that count as one.
 EDITS = 1
-#: Characters that a line must have to be deduplicated; shorter ones (headings, marks, answers) always stay.
+#: Characters that a line must have to be linked with lines that differ from it; shorter ones are only equal or not.
 LEAST_CHARS = 40
+#: Characters that a line must have to go as an equal repeat, in the query and the pipeline: all that are not blank.
+LEAST_EQUAL = 1
 #: Parts into which the window of an edit is cut in each round of narrowing it.
 PARTS = 16
 #: Characters that verification keeps of what two lines share at either end.
@@ -218,33 +220,36 @@ def line_classes(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return connected_components(close).select(F.col("node").alias("h"), F.col("component").alias("cls"))
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS, columns: list[str] | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = LEAST_CHARS, columns: list[str] | None = None, least_equal: int | None = None) -> DataFrame:
     """-> (columns or id_col and text_col, n_lines, n_dropped): a row for each row of df, its text without the lines
     that repeat an earlier one.
 
-    Lines are what line ends part. Lines of at least `least` characters that are equal, or are joined by steps of at
-    most `edits` edits, are a class; it keeps its first line, by id and place, and all others go. Lines are told apart
-    by 64-bit hashes. Null text stays null, with 0 lines; blank and short lines stay. Rows that repeat an id are one
-    document: each of them keeps the class' first place. Rows with a null id stay as they are, and count for nothing.
-    An empty table has no rows. Internal columns have names of their own, so other columns may have any.
+    Lines are what line ends part. Lines of at least `least_equal` characters (`least`, if not given) that are equal
+    are a class, and so are lines of at least `least` that are joined by steps of at most `edits` edits; it keeps its
+    first line, by id and place, and all others go. Lines are told apart by 64-bit hashes. Null text stays null, with 0
+    lines; blank lines and those under `least_equal` stay. Rows that repeat an id are one document: each of them keeps
+    the class' first place. Rows with a null id stay as they are, and count for nothing. An empty table has no rows.
+    Internal columns have names of their own, so other columns may have any.
     """
+    least_equal = least if least_equal is None else least_equal
+    counts = lambda line: (F.length(line) >= least_equal) & line.rlike(r"(?U)\S")
     columns = columns or [id_col, text_col]
     rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns) if c != text_col]).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     split = F.split("text", "\n")
-    spread = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").select("id", F.posexplode(split).alias("place", "line")).filter(F.length("line") >= least)
+    spread = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null").select("id", F.posexplode(split).alias("place", "line")).filter(counts(F.col("line")))
     seen = spread.select("id", "place", F.xxhash64("line").alias("h"))
-    cls = line_classes(spread.select("id", "line"), edits)
+    cls = line_classes(spread.filter(F.length("line") >= least).select("id", "line"), edits)
     counted = seen.groupBy("h").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).join(cls, "h", "left").filter("n > 1 or cls is not null").withColumn("cls", F.coalesce("cls", "h"))
     of_class = counted.groupBy("cls").agg(F.min("first").alias("first"))
     again = cut(seen.join(counted.select("h", "cls").join(of_class, "cls"), "h"))
     start = again.filter("id = first").groupBy("cls").agg(F.min("place").alias("start"))
     gone = again.join(start, "cls").filter("id <> first or place <> start").groupBy("id").agg(F.collect_set("place").alias("gone"))
     out = rows.join(gone.withColumnRenamed("id", "gone_id"), F.col("id") == F.col("gone_id"), "left")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, k: ~((F.length(line) >= least) & F.array_contains("gone", k))), "\n"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, k: ~(F.array_contains("gone", k) & counts(line))), "\n"))
     n = F.coalesce(F.size(split), F.lit(0))
     out = out.select("row", kept.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
     return out.select(*[(F.col("text") if c == text_col else F.col("row")[f"_{i}"]).alias(c) for i, c in enumerate(columns)], "n_lines", F.when(F.col("n_dropped") > 0, F.col("n_dropped")).otherwise(0).cast("long").alias("n_dropped"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), least_equal=LEAST_EQUAL)

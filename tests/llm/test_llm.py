@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quire.llm import chat, common, fingerprint, forest, language, lines, minhash, mixing, packing, registry, sharding, url_filter
 
 SF = "/root/testdata/sf0.001"
@@ -249,6 +250,16 @@ def test_op8_equals_brute_force(spark):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_op8_short_lines_that_are_equal_go(spark, tmp_path):
+    long = "a line of more than forty characters, told once only"
+    texts = ["Menu\n \n" + long, "Menu\n \nok", "ok\nMenus\nMenu\n\n\t\n" + long, "\n\n\t\nMenu"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = ["Menu\n \n" + long, " \nok", "Menus\n\n\t", "\n\n\t"]
+    assert [r["text"] for r in lines.op8_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == expected
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["text"] for r in corpus_pipeline.line_dedup(spark, docs, "").orderBy("doc_id").collect()] == expected
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_op8_bit_parallel_distance(spark, edits):
     random.seed(edits)
