@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
@@ -19,7 +20,12 @@ PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_664_525)
 #: Most samples of the prefix array, and of the suffix array, in a fingerprint.
 SAMPLES = 32
+#: Code points whose hash marks a border of spans, where it is the least of as many as REACH to either side.
+WINDOW, REACH = 8, 8
+#: Most code points of a span.
+LONGEST = 256
 _U = np.uint64
+_MARKS = [_U(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(1, WINDOW + 1)]
 _up = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -74,15 +80,47 @@ def extension(a: Prefixes, b: Prefixes, i: int = 0, j: int = 0) -> int:
     return low
 
 
+def borders(text: str) -> np.ndarray:
+    """Places, 0 and the end among them, that part a text into spans; none is in an empty text.
+
+    A place is one where the next WINDOW code points have a hash below those of the REACH places before, and not above
+    those of the REACH places after: so it depends on what stands around it only, and comes again wherever that does.
+    Spans over LONGEST (periods, single characters) are cut at its multiples.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    n, m = len(codes), len(codes) - WINDOW + 1
+    inner = np.empty(0, dtype=np.int64)
+    if m > 1:
+        h = codes[:m] * _MARKS[0]
+        for k in range(1, WINDOW):
+            h += codes[k : k + m] * _MARKS[k]
+        h = (h ^ (h >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+        h ^= h >> _U(32)
+        least = np.full(m + 2 * REACH, np.iinfo(np.uint64).max, dtype=np.uint64)  # least[i]: of the places i - REACH to i - 1
+        least[REACH : REACH + m] = h
+        k = 1
+        while k < REACH:
+            least[:-k] = np.minimum(least[:-k], least[k:])
+            k *= 2
+        inner = np.flatnonzero((h < least[:m]) & (h <= least[REACH + 1 : REACH + 1 + m]))
+    ends = np.unique(np.concatenate([[0, n], inner])) if n else inner
+    size = np.diff(ends)
+    if len(size) and size.max() > LONGEST:
+        ends = np.unique(np.concatenate([ends, *[np.arange(a, a + k, LONGEST) for a, k in zip(ends[:-1], size, strict=True) if k > LONGEST]]))
+    return ends
+
+
 @dataclass(frozen=True)
 class Print:
-    """n code points, one hash of all, and the hashes of the prefixes and of the suffixes whose lengths are multiples
-    of a step: the least power of two of which n has SAMPLES multiples at most."""
+    """n code points, one hash of all, the hashes of the prefixes and of the suffixes whose lengths are multiples of a
+    step (the least power of two of which n has SAMPLES multiples at most), and all spans between borders in order: 48
+    bits of a hash, then 16 of the length. Spans grow in number with the text."""
 
     n: int
     whole: int
     prefix: tuple[int, ...]
     suffix: tuple[int, ...]
+    spans: tuple[int, ...] = ()
 
     @property
     def step(self) -> int:
@@ -96,20 +134,23 @@ def step(n: int) -> int:
 def fingerprint(text: str) -> Print:
     p = Prefixes(text)
     lengths = np.arange(1, p.n // step(p.n) + 1) * step(p.n)
-    spans = p.span(np.concatenate([[0], np.zeros_like(lengths), p.n - lengths]), np.concatenate([[p.n], lengths, lengths])).tolist()
-    return Print(p.n, spans[0], tuple(spans[1 : 1 + len(lengths)]), tuple(spans[1 + len(lengths) :]))
+    ends, k = borders(text), len(lengths)
+    size = np.diff(ends)
+    hashes = p.span(np.concatenate([[0], np.zeros_like(lengths), p.n - lengths, ends[:-1]]), np.concatenate([[p.n], lengths, lengths, size]))
+    spans = (hashes[1 + 2 * k :] << _U(16)) | size.astype(np.uint64)
+    return Print(p.n, int(hashes[0]), tuple(hashes[1 : 1 + k].tolist()), tuple(hashes[1 + k : 1 + 2 * k].tolist()), tuple(spans.tolist()))
 
 
 def written(p: Print) -> str:
     """As a string; read() gets the fingerprint back."""
-    return f"{p.n:x}." + base64.urlsafe_b64encode(np.array([p.whole, *p.prefix, *p.suffix], dtype="<u8").tobytes()).decode().rstrip("=")
+    return f"{p.n:x}." + base64.urlsafe_b64encode(np.array([p.whole, *p.prefix, *p.suffix, *p.spans], dtype="<u8").tobytes()).decode().rstrip("=")
 
 
 def read(s: str) -> Print:
     n, _, code = s.partition(".")
     values = np.frombuffer(base64.urlsafe_b64decode(code + "=" * (-len(code) % 4)), dtype="<u8").tolist()
-    k = (len(values) - 1) // 2
-    return Print(int(n, 16), values[0], tuple(values[1 : 1 + k]), tuple(values[1 + k :]))
+    k = int(n, 16) // step(int(n, 16))
+    return Print(int(n, 16), values[0], tuple(values[1 : 1 + k]), tuple(values[1 + k : 1 + 2 * k]), tuple(values[1 + 2 * k :]))
 
 
 def _common(a: tuple, b: tuple, of: int, to: int) -> int:
@@ -123,15 +164,31 @@ def _common(a: tuple, b: tuple, of: int, to: int) -> int:
 
 
 def likeness(a: Print, b: Print) -> float:
-    """From 0 to 1: the code points of the longest common prefix and suffix, to the coarser step, found by binary search
-    in the samples of the two fingerprints, as a part of the longer text. Equal texts: 1, the empty one included."""
+    """From 0 to 1: the code points that two texts share, as a part of the longer one: those of the longest common
+    prefix and suffix, to the coarser step, found by binary search in the samples of the two fingerprints, and those of
+    the spans between them that both have, in any place, each as often as both have it. Equal texts: 1, the empty one
+    included."""
     if (a.n, a.whole) == (b.n, b.whole):
         return 1.0
     both = max(a.step, b.step)
-    shared = sum(_common(x, y, both // a.step, both // b.step) * both for x, y in ((a.prefix, b.prefix), (a.suffix, b.suffix)))
+    head, tail = (_common(x, y, both // a.step, both // b.step) * both for x, y in ((a.prefix, b.prefix), (a.suffix, b.suffix)))
+    shared = head + tail
+    if shared < min(a.n, b.n):
+        shared += sum((s & 0xFFFF) * k for s, k in (_between(a, head, tail) & _between(b, head, tail)).items())
     return min(shared, min(a.n, b.n)) / max(a.n, b.n)
 
 
+def _between(p: Print, head: int, tail: int) -> Counter:
+    """The spans that lie after the first head and before the last tail code points."""
+    at, out = 0, []
+    for s in p.spans:
+        end = at + (s & 0xFFFF)
+        if at >= head and end <= p.n - tail:
+            out.append(s)
+        at = end
+    return Counter(out)
+
+
 def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, after, id, text) in order -> a result for each row that is not `after`, with the next row's text."""
     held = None

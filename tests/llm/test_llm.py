@@ -118,6 +118,21 @@ def test_op2_extension():
         assert fingerprint.read(fingerprint.written(p)) == p
 
 
+def test_op2_likeness_sees_between_scattered_edits():
+    random.seed(4)
+    words = ["".join(random.choice("abcdefghij") for _ in range(random.randint(2, 9))) for _ in range(4000)]
+    for n in (200, 4000):
+        text = words[:n]
+        edited = [f"{w}x" if k % (n // 5) == n // 10 else w for k, w in enumerate(text)]
+        a, b = fingerprint.fingerprint(" ".join(text)), fingerprint.fingerprint(" ".join(["new", *edited, "end"]))
+        assert fingerprint.likeness(a, b) == fingerprint.likeness(b, a) >= (0.7 if n == 200 else 0.97)
+        moved = fingerprint.fingerprint(" ".join(text[n // 2 :] + text[: n // 2]))
+        assert fingerprint.likeness(a, moved) >= (0.8 if n == 200 else 0.97)
+        assert fingerprint.read(fingerprint.written(b)) == b and sum(s & 0xFFFF for s in b.spans) == b.n
+    same, other = fingerprint.fingerprint("ab" * 5000), fingerprint.fingerprint("ab" * 2000 + "c" + "ab" * 3000)
+    assert len(same.spans) < 100 and fingerprint.likeness(same, other) > 0.9
+
+
 def test_op3_store(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=200_000)
     for k in range(6):
