@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, overlap_ratio, valid_table
+from ..functions.geometry import anchor_groups, box, overlap_ratio, valid_table
+from ..functions.text import trim_py
 
 
 def box_antijoin(boxes: DataFrame, tables: DataFrame, most: float = 0.3) -> DataFrame:
@@ -80,6 +81,20 @@ def char_to_cell(chars: DataFrame, cells: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "char_no", "c", *["x0", "y0", "x1", "y1"]).agg(best).select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
 
 
+def cell_text(placed: DataFrame, gap: float = 2.0) -> DataFrame:
+    """Characters in cells, as char_to_cell gives them -> (doc_id, row_index, col_index, text): a cell's text lines
+    joined by <br>, stripped. By y0 and x centre, a character at gap or more from its line's first starts a new line;
+    a line's characters stand by x centre."""
+    item = F.struct(F.col("y0").cast("double").alias("y0"), ((F.col("x0") + F.col("x1")) / 2).cast("double").alias("xc"), F.col("char_no").cast("long").alias("n"), "c")
+    g = placed.groupBy("doc_id", "row_index", "col_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = anchor_groups(F.col("items"), "y0", gap, "struct<y0:double,xc:double,n:bigint,c:string>")
+    of = lambda i: i["item"]
+    ordered = F.array_sort(F.transform(grouped, lambda i: F.struct(i["grp"].alias("grp"), of(i)["xc"].alias("xc"), of(i)["y0"].alias("y0"), of(i)["n"].alias("n"), of(i)["c"].alias("c"))))
+    g = g.withColumn("items", ordered)
+    text = F.array_join(F.transform("items", lambda i, k: F.concat(F.when((k > 0) & (i["grp"] != F.get("items", k - 1)["grp"]), "<br>").otherwise(""), i["c"])), "")
+    return g.select("doc_id", "row_index", "col_index", trim_py(text).alias("text"))
+
+
 def spans(cells: DataFrame, xs: Column, ys: Column, tol: float = 2.0) -> DataFrame:
     """+ colspan, rowspan: one more than the lines strictly inside a cell."""
     inside = lambda a, lo, hi: (F.size(F.filter(a, lambda v: (v > F.col(lo) + tol) & (v < F.col(hi) - tol))) + 1)

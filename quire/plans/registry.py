@@ -260,11 +260,7 @@ def char_to_cell(s, d):
 
 @query("cell_text", f"WITH {CHARS}, near AS (SELECT ch.*, z.row_index, z.col_index, CASE WHEN x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start THEN 0 ELSE 1 END AS prio FROM ch JOIN z USING (doc_id) WHERE (x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start) OR ((x0 + x1) / 2 BETWEEN x_start AND x_end AND (y0 + y1) / 2 BETWEEN y_start AND y_end)), one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, char_no ORDER BY prio, row_index, col_index) = 1) SELECT doc_id, row_index, col_index, string_agg(c, '' ORDER BY x0, char_no) AS text FROM one GROUP BY ALL")
 def cell_text(s, d):
-    c = tables.char_to_cell(_chars(s, d), layout.cells(s, d))
-    item = F.struct("y0", ((F.col("x0") + F.col("x1")) / 2).alias("xc"), "char_no", "c")
-    g = c.groupBy("doc_id", "row_index", "col_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    ordered = F.array_join(F.transform(F.array_sort(F.transform("items", lambda i: F.struct(i["xc"].alias("xc"), i["char_no"].alias("n"), i["c"].alias("c")))), lambda i: i["c"]), "")
-    return g.select("doc_id", "row_index", "col_index", ordered.alias("text"))
+    return tables.cell_text(tables.char_to_cell(_chars(s, d), layout.cells(s, d)))
 
 
 @query("colspan_rowspan", f"WITH {D4}, xs AS (SELECT doc_id, list(DISTINCT x_start) AS xs, list(DISTINCT y_start) AS ys FROM z GROUP BY 1), w AS (SELECT doc_id, row_index, col_index, x_start, CASE WHEN col_index = 1 THEN x_end + 100 ELSE x_end END AS x_end, y_start, y_end + 20 * (row_index % 2) AS y_end FROM z) SELECT doc_id, row_index, col_index, CAST(1 + len(list_filter(list_distinct([round(x / 100) * 100 for x in xs]), lambda v: v > x_start + 2 AND v < x_end - 2)) AS INT) AS colspan, CAST(1 + len(list_filter(ys, lambda v: v > y_start + 2 AND v < y_end - 2)) AS INT) AS rowspan FROM w JOIN xs USING (doc_id)")

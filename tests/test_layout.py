@@ -59,6 +59,13 @@ def test_overlap_and_validity(spark):
         assert (tables.valid_tables(t, True).count() == 1) is ok
 
 
+def test_cell_text_has_lines_by_anchor(spark):
+    # lines of a cell overlap in x; y0 drifts: 0, 1.5 and 3.0 are two lines, as 3.0 is measured from the first
+    rows = [(1, 0, "b", 20.0, 1.5), (1, 1, "a", 10.0, 0.0), (1, 2, "c", 5.0, 3.0), (1, 3, "e", 15.0, 9.0), (1, 4, "d", 12.0, 10.9), (1, 5, " ", 0.0, 0.5), (2, 6, "x", 0.0, 0.0)]
+    placed = spark.createDataFrame([(1, n, c, x, y, x + 4, y + 4, 0, col) for col, n, c, x, y in rows], "doc_id long, char_no long, c string, x0 double, y0 double, x1 double, y1 double, row_index int, col_index int")
+    assert {r["col_index"]: r["text"] for r in tables.cell_text(placed).collect()} == {1: "ab<br>c<br>de", 2: "x"}
+
+
 def test_display_columns():
     assert tables.display_columns([[(1, 2), (2, 1)], [(1, 1), (1, 1)], [(1, 1)]]) == [3, 3, 1]
 
