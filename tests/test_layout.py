@@ -66,6 +66,14 @@ def test_cell_text_has_lines_by_anchor(spark):
     assert {r["col_index"]: r["text"] for r in tables.cell_text(placed).collect()} == {1: "ab<br>c<br>de", 2: "x"}
 
 
+def test_cell_text_whole_has_every_character(spark):
+    from quire.sources import layout
+
+    want = {(r["doc_id"], r["row_index"], r["col_index"]): r["text"] for r in layout.cells(spark, SF).collect()}
+    got = {(r["doc_id"], r["row_index"], r["col_index"]): r["text"].replace("<br>", "") for r in registry.queries()["cell_text_whole"](spark, SF).collect()}
+    assert got == want and max(map(len, want.values())) > 1
+
+
 def test_display_columns():
     assert tables.display_columns([[(1, 2), (2, 1)], [(1, 1), (1, 1)], [(1, 1)]]) == [3, 3, 1]
 
