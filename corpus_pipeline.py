@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import language, lines, minhash, mixing, packing
-from quire.llm.common import shared_dir
+from quire.llm.common import cut, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,9 +27,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    gone = minhash.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays, that of the least doc_id. Rows that repeat a doc_id are told apart by
+    all they hold; of rows alike in all, one stays. Rows with a null doc_id stay."""
+    keyed = docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", "lang", "source")))
+    near = cut(minhash.near_duplicates(keyed, "row_key").filter("component_id is not null").select("row_key", "component_id").distinct())
+    group = near.join(near.filter("row_key <> component_id").select("component_id").distinct(), "component_id")
+    group = cut(group.join(keyed.select("row_key", "doc_id"), "row_key").distinct())
+    stay = group.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("least"))
+    gone = group.join(stay, "component_id").filter(F.col("row_key") != F.col("least.row_key")).select("row_key").distinct()
+    left = keyed.join(gone, "row_key", "left_anti")
+    again = cut(keyed.filter("row_key is not null").groupBy("row_key").count().filter("count > 1").select("row_key"))
+    if not again.isEmpty():
+        left = left.join(again, "row_key", "left_anti").unionByName(left.join(again, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return left.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -171,6 +171,17 @@ def test_op5_marginals_and_odd_rows(spark, odd):
     assert mixing.mix(odd).count() == 10 and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_pipeline_repeated_ids(spark):
+    text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, text), (5, text), (7, text + " end"), (3, "alone"), (3, "alone"), (7, other), (9, None), (9, None), (None, text), (None, text)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert got == sorted([(5, text), (3, "alone"), (7, other), (9, None), (None, text), (None, text)], key=str)
+    unique = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {r["doc_id"] for r in minhash.near_duplicates(unique).filter("kept").collect()}
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, unique, "").collect()) == sorted(kept)
+
+
 def test_op6_equals_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.standard_normal((60, 16))
