@@ -13,8 +13,9 @@ from .common import cut, table
 TEMPER = {"source": 0.5, "lang": 0.8, "topic": 1.0}
 #: Part of all tokens to keep in expectation, rounds of raking, and what makes samples differ.
 KEEP, ROUNDS, SEED = 0.7, 6, "mix-1"
-#: Scales that are tried at once in the search of the one that keeps KEEP of the tokens; it is searched twice.
-GRID = 64
+#: Scales that are tried at once in the search of the one that keeps KEEP of the tokens; it is searched twice, and on
+#: while the expected part of all tokens is below KEEP by more than TOLERANCE.
+GRID, TOLERANCE = 64, 0.001
 #: Rows of the table of cells that is broadcast at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 50_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -57,8 +58,8 @@ def rake(cells: DataFrame, dims: list[str], tempers: Mapping[str, float], rounds
 def calibrated(cells: DataFrame, dims: list[str], keep: float = KEEP) -> DataFrame:
     """(dims..., base, w) -> (dims..., p): p = min(1, scale * w / base), scale such that keep of all tokens is expected.
 
-    The scale is the largest of a grid, refined once, that keeps no more; each search is one aggregation. Where p meets
-    1, a value falls short of its target, as documents are not repeated.
+    The scale is the largest of a grid that keeps no more, refined once at least, and on until what it keeps is within
+    TOLERANCE of all tokens; each search is one aggregation. Where p meets 1, a value falls short of its target, as documents are not repeated.
     """
     low, high = 0.0, None
     rated = cells.withColumn("r", F.col("w") / F.col("base"))
@@ -66,11 +67,14 @@ def calibrated(cells: DataFrame, dims: list[str], keep: float = KEEP) -> DataFra
     if not total:
         return rated.select(*dims, F.lit(1.0).alias("p"))
     high = 1.0 / least  # keeps all
-    for _ in range(2):
+    turn, kept = 0, 0.0
+    while turn < 2 or kept < (keep - TOLERANCE) * total:
         step = (high - low) / GRID
+        if low + step == low:  # no number lies between
+            break
         sums = rated.agg(F.array(*[F.sum(F.least(F.lit(1.0), F.col("r") * F.lit(low + step * k)) * F.col("base")) for k in range(GRID + 1)])).first()[0]
         k = max([i for i, s in enumerate(sums) if s <= keep * total], default=0)
-        low, high = low + step * k, low + step * (k + 1)
+        low, high, kept, turn = low + step * k, low + step * (k + 1), sums[k], turn + 1
     return rated.select(*dims, F.least(F.lit(1.0), F.col("r") * F.lit(low)).alias("p"))
 
 

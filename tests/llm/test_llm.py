@@ -171,6 +171,13 @@ def test_op5_marginals_and_odd_rows(spark, odd):
     assert mixing.mix(odd).count() == 10 and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_op5_scale_under_extreme_skew(spark):
+    # one hot cell whose ratio of weight to base is 0.0001 against the others'
+    cells = spark.createDataFrame([("hot", 1e6, 100.0), ("a", 1e6, 1e6), ("b", 1e6, 1e6)], "s string, base double, w double")
+    p = {r["s"]: r["p"] for r in mixing.calibrated(cells, ["s"], 0.5).collect()}
+    assert abs(sum(p.values()) / 3 - 0.5) <= mixing.TOLERANCE and p["a"] == p["b"] and abs(p["hot"] / p["a"] - 1e-4) < 1e-9
+
+
 def test_pipeline_repeated_ids(spark):
     text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
     rows = [(5, text), (5, text), (7, text + " end"), (3, "alone"), (3, "alone"), (7, other), (9, None), (9, None), (None, text), (None, text)]
