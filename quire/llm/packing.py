@@ -18,8 +18,8 @@ from .common import python_ready, table
 WINDOW = 1024
 #: Id that ends each document.
 END_ID = 0
-#: Most pieces of text whose ids a Python worker remembers (about 200 bytes each); it forgets all when they are more.
-REMEMBERED = 800_000
+#: Most pieces of text whose ids a Python worker remembers of late, and as many from before (about 200 bytes each).
+REMEMBERED = 100_000
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text only where the tokenizer's own pre-tokenizer cuts it, whatever stands around.
@@ -44,10 +44,10 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
         self.line = self._raw("\n")
         self.ends: dict[str, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of words after a space, and without
+        self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # those known before known was full
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -65,13 +65,17 @@ class Codec:
 
     def _ids(self, words: list[str], bare: int) -> list[bytes]:
         """Of words that stand after a space, or without one (bare)."""
-        known = self.known[bare]
-        got = list(map(known.get, words))
-        fresh = [w for w, g in zip(words, got, strict=True) if g is None]
-        if not fresh:
-            return got
+        known, before = self.known[bare], self.before[bare]
         if len(known) > REMEMBERED:
+            before.clear()
+            before.update(known)
             known.clear()
+        got = list(map(known.get, words))
+        fresh = [w for w, g in zip(words, got, strict=True) if g is None]
+        for w in fresh:
+            if (again := before.get(w)) is not None:
+                known[w] = again
+        fresh = [w for w in fresh if w not in known]
         split, new = [], set()
         for w in fresh:
             stem = w.rstrip(_ENDS)
