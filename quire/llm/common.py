@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
-from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of bits of an id filter: 8 MB are broadcast at most, whatever the number of ids.
 FILTER_BITS_MAX = 1 << 26
+#: Links (16 bytes each) that are put together in one partition at most.
+FEW = 200_000
+#: Rows and bytes of an Arrow batch that a Python worker is given at once.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Let Python workers find this package, and bound what one Arrow batch of whole texts takes in them."""
+    """Let Python workers find this package, and bound what one Arrow batch of whole texts takes in them.
+
+    The two settings are the session's from then on, as plans are run after the operator has returned; one that the
+    session has made smaller stays. A batch ends once it is over the bytes, so one text more may stand in it.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", spark.conf.get(f"spark.sql.execution.arrow.{name}")) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -53,45 +62,42 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Distributed: every round hangs each node below its smallest smaller neighbour, halves the paths of that forest
     by joining it with itself until they end at roots, and contracts the edges to those roots, until none is left.
-    Rounds are logarithmic in the number of nodes; only counts reach the driver. Null ends and self links are ignored.
+    Rounds are logarithmic in the number of nodes; only counts reach the driver. Up to FEW links stand in one
+    partition, so that the rounds need no shuffle; the steps are the same. Null ends and self links are ignored.
     No edges give no rows.
     """
     e = cut(edges.dropna().select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct())
-    labels = cut(e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))).distinct().select("node", F.col("node").alias("component")))
+    near = (lambda df: cut(df).coalesce(1)) if e.count() <= FEW else cut
+    e = near(e)
+    labels = near(e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))).distinct().select("node", F.col("node").alias("component")))
     while not e.isEmpty():
-        p = cut(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
+        p = near(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
         while True:
             over = p.select(F.col("node").alias("up"), F.col("up").alias("above"))
-            q = cut(p.join(over, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
+            q = near(p.join(over, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
             p = q.select("node", "up")
             if q.filter("moved").isEmpty():
                 break
         root = p.select(F.col("node").alias("component"), "up")
-        labels = cut(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        labels = near(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
         a, b = (p.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")) for end in ("lo", "hi"))
         moved = e.join(a, "lo", "left").join(b, "hi", "left").select(F.coalesce("lo_up", "lo").alias("x"), F.coalesce("hi_up", "hi").alias("y"))
-        e = cut(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).filter("lo < hi").distinct())
+        e = near(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).filter("lo < hi").distinct())
     return labels
 
 
-def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
-    """A predicate for a long column that holds for every id of the first column of ids, and for few others.
+def likely_in(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
+    """The rows of df whose long column col is an id of the first column of ids, and few others; no shuffle of df.
 
-    A bit set of bounded size (FILTER_BITS_MAX): past the bound it lets more rows through, and the join that follows
-    still decides, so results never depend on it.
+    A bit set of bounded size (FILTER_BITS_MAX) is broadcast as one row: past the bound it lets more rows through. It
+    only thins out what a join would shuffle; the join that follows decides, so results never depend on it.
     """
-    name = ids.columns[0]
-    n = ids.count()
-    bits = max(1 << 16, min(FILTER_BITS_MAX, 1 << max(1, 16 * n - 1).bit_length()))
-    at = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(bits))
-    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("set")).collect()
-    held = np.zeros(bits // 64, dtype=np.int64)
-    for w in words:
-        held[w["word"]] = w["set"]
-
-    @F.pandas_udf("boolean")
-    def among(at: pd.Series) -> pd.Series:
-        x = at.to_numpy(dtype=np.int64)
-        return pd.Series(((held[x >> 6] >> (x & 63)) & 1).astype(bool))
-
-    return lambda c: among(F.pmod(F.xxhash64(c.cast("long")), F.lit(bits)))
+    spark, name = df.sparkSession, ids.columns[0]
+    bits = max(1 << 16, min(FILTER_BITS_MAX, 1 << max(1, 16 * ids.count() - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+    held = ids.select(place(F.col(name)).alias("at")).groupBy(F.shiftright("at", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63L as int)))").alias("held"))
+    words = spark.range(0, bits // 64, 1, 1).join(held, "id", "left").select("id", F.coalesce("held", F.lit(0).cast("long")).alias("held"))
+    one = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "held"))), lambda w: w["held"]).alias("bit_set"))
+    at = place(df[col])
+    hit = F.get(F.col("bit_set"), F.shiftright(at, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))) != 0
+    return df.join(F.broadcast(cut(one)), hit, "left_semi")

@@ -6,21 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, id_filter, python_ready, table
+from .common import connected_components, cut, likely_in, python_ready, table
 from .shingles import blocks, mix, sets, shingles
 
 #: Slots of a signature, and how many of them make a band: at a similarity of 0.75, two sets share no band once in 190,000.
 SLOTS, ROWS = 128, 4
+#: Slots that a candidate pair must agree in before its texts are compared, for a threshold of 75: sets that are so
+#: similar agree in fewer once in 10**13 pairs. For other thresholds it is scaled.
+AGREE = 60
+#: The copies that are central to others are looked for again as long as one in PAYS of the pairs compared is a link.
+PAYS = 8
+#: Members that are compared with one copy of a hub's text.
+GROUP = 64
 _UNSET = np.uint32(0xFFFFFFFF)
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
-#: Most rounds in which each bucket is compared with one hub only, before what is left in it is compared pair by pair.
-HUB_ROUNDS = 4
-#: Pairs for each class from which on another round of hubs is worth its jobs.
-PAIRS_EACH = 4
 
 
 def superminhash(hashes: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
@@ -80,33 +83,118 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.array([len(x) for x in own], dtype=np.int64)
             digest = np.array([np.frombuffer(blake2b(x.tobytes(), digest_size=16).digest(), dtype=np.int64) for x in own]).reshape(-1, 2)
             flat = np.concatenate([[0], np.cumsum(size)])
-            keys = bands(superminhash(np.concatenate(own), flat))
-            listed = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * keys.shape[1], keys.reshape(-1))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, len(own)), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), listed], names=["id", "size", "d1", "d2", "bands"])
+            signatures = superminhash(np.concatenate(own), flat)
+            lists = [pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1], x.reshape(-1)) for x in (bands(signatures), sketch(signatures))]
+            yield pa.RecordBatch.from_arrays([ids.slice(i, len(own)), pa.array(size), pa.array(digest[:, 0]), pa.array(digest[:, 1]), *lists], names=["id", "size", "d1", "d2", "bands", "sig"])
+
+
+def sketch(signatures: np.ndarray) -> np.ndarray:
+    """The low byte of each slot, eight to a long."""
+    return np.ascontiguousarray(signatures.astype(np.uint8)).view(np.int64)
+
+
+def agreeing(a: str, b: str, slots: int = SLOTS) -> Column:
+    """How many bytes two sketches have in common: those of their exclusive or whose bits, folded into the lowest, are 0."""
+    fold = lambda x, k: x.bitwiseOR(F.shiftrightunsigned(x, k))
+    out = F.lit(slots)
+    for k in range(slots // 8):
+        x = F.get(F.col(a), F.lit(k)).bitwiseXOR(F.get(F.col(b), F.lit(k)))
+        out = out - F.bit_count(fold(fold(fold(x, 4), 2), 1).bitwiseAND(F.lit(0x0101010101010101)))
+    return out
 
 
 def _alike(threshold: int):
+    """Rows (hub, salt, member, text), dealt by (hub, salt), each group's hub (member null) first -> linked (a, b)."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hubs = None, []  # several texts of a hub, where its id repeats
         for batch in batches:
-            held = []
-            for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                held.append(both > 0 and 100 * both >= threshold * (len(a) + len(b) - both))
-            yield batch.select([0, 1]).filter(pa.array(held, pa.bool_()))
+            a, b = [], []
+            for hub, salt, member, x in zip(*(batch.column(k).to_pylist() for k in range(3)), sets(batch.column(3)), strict=True):
+                if at != (hub, salt):
+                    at, hubs = (hub, salt), []
+                if member is None:
+                    hubs.append(x)
+                    continue
+                for own in hubs:
+                    both = len(np.intersect1d(own, x, assume_unique=True))
+                    if both and 100 * both >= threshold * (len(own) + len(x) - both):
+                        a.append(hub)
+                        b.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return go
 
 
-def verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """Those (a, b) of pairs whose whole texts in docs (id, text) have 100 * common >= threshold * united shingles.
+def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Those (hub, member) of pairs whose whole texts in texts (id, text) have 100 * common >= threshold * united shingles.
+
+    A member's text is sent once for each pair, a hub's once for GROUP members, so hot hubs are spread over tasks.
+    """
+    size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
+    dealt = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
+    wanted = dealt.select(F.col("member").alias("id"), "hub", "salt", "member").union(dealt.select(F.col("hub").alias("id"), "hub", "salt", F.lit(None).cast("long").alias("member")).distinct())
+    rows = texts.join(wanted, "id").select("hub", "salt", "member", "text").repartition("hub", "salt")
+    return rows.sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(_alike(threshold), "a long, b long")
+
+
+def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, c, text) -> (row, rep, c, size, hashes); row numbers a text, of which a repeated id can have several."""
+    from pyspark import TaskContext
+
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        own = list(sets(batch.column(2)))
+        if own:
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            hashes = pa.ListArray.from_arrays(bounds.astype(np.int32), np.concatenate(own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(own))), batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int64)), hashes], names=["row", "rep", "c", "size", "hashes"])
+            row += len(own)
+
+
+def rare_keys(texts: DataFrame, threshold: int) -> DataFrame:
+    """(rep, c, text) -> (h, rep, size, rest): of each text's shingles the first that it can share with a text of another
+    c so that both reach the threshold; rest: how many of its shingles are left, this one included.
 
-    Only texts that occur in a pair are shuffled; a hot hub's pairs are an ordinary skewed join, which adaptive
-    execution splits.
+    Sets of m <= n shingles that reach it have at least threshold / (100 + threshold) of m + n in common, and m is at
+    least threshold / 100 of n. So in any order of all shingles, the first that they share leaves at least as many to
+    come in both: it is near the front of either, and in the smaller set nearer still, as its partner is no smaller.
+    The order puts first what only one component has, which can link nothing, and then the rare; so texts that have a
+    common passage, or belong to another group of copies, meet only if they have hardly anything of their own.
     """
-    for end in ("a", "b"):
-        among = id_filter(pairs.select(end).distinct())
-        pairs = pairs.join(docs.filter(among(F.col("id"))).select(F.col("id").alias(end), F.col("text").alias(f"{end}_text")), end)
-    return pairs.select("a", "b", "a_text", "b_text").mapInArrow(_alike(threshold), "a long, b long").distinct()
+    own = cut(texts.mapInArrow(_own_shingles, "row long, rep long, c long, size long, hashes array<long>"))
+    spread = own.select("row", "c", F.explode("hashes").alias("h"))
+    common = spread.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("h", "n")
+    ranked = spread.join(common, "h").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("common"))
+    key = own.select("row", "rep", "size").join(ranked, "row").withColumn("rest", F.size("common"))
+    front = (F.col("rest") - _part(threshold / 100, F.col("size")) + 1).cast("int")
+    key = key.withColumn("front", front).filter("front > 0").select("rep", "size", "rest", F.posexplode(F.slice("common", F.lit(1), F.col("front"))).alias("k", "s"))
+    return cut(key.select(F.col("s.h").alias("h"), "rep", "size", (F.col("rest") - F.col("k")).cast("long").alias("rest")))
+
+
+def _part(part: float, of: Column) -> Column:
+    return F.ceil(part * of - 1e-6)
+
+
+def central_pairs(key: DataFrame, threshold: int) -> DataFrame:
+    """(h, rep, c, size, rest) -> (hub, member): those of rare_pairs of which one has the most in common with others of
+    all that have the shingle; a text that others are copies of links them all at once."""
+    hub = key.groupBy("h").agg(F.max_by(F.struct("rep", "c", "size", "rest"), F.struct(F.col("rest") / F.col("size"), "rep")).alias("m")).select("h", *[F.col(f"m.{x}").alias(f"{x}_other") for x in ("rep", "c", "size", "rest")])
+    return key.join(hub, "h").filter(_reach(threshold)).select(F.col("rep_other").alias("hub"), F.col("rep").alias("member")).distinct()
+
+
+def rare_pairs(key: DataFrame, threshold: int) -> DataFrame:
+    """(h, rep, c, size, rest) of rare_keys -> (hub, member): all pairs of different c whose sets can reach the threshold."""
+    small = key.filter(F.col("rest") >= _part(2 * threshold / (100 + threshold), F.col("size")))
+    large = key.select("h", *[F.col(x).alias(f"{x}_other") for x in ("rep", "c", "size", "rest")])
+    once = (F.col("size") < F.col("size_other")) | (F.col("size") == F.col("size_other")) & (F.col("rep") < F.col("rep_other"))
+    return small.join(large, "h").filter(once & _reach(threshold)).select(F.col("rep").alias("hub"), F.col("rep_other").alias("member")).distinct()
+
+
+def _reach(threshold: int) -> Column:
+    sizes = [F.col("size"), F.col("size_other")]
+    enough = F.least("rest", "rest_other") >= _part(threshold / (100 + threshold), sizes[0] + sizes[1])
+    return (F.col("c") != F.col("c_other")) & (100 * F.least(*sizes) >= threshold * F.greatest(*sizes)) & enough
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
@@ -116,10 +204,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the smallest id that a row's links reach, itself included; kept: it is its own component_id. Texts with equal sets
     are one class, whose smallest id stands for it; classes that share a band of their signatures are candidates.
 
-    A bucket (the classes that share a band's key) is compared with one hub at a time, first its smallest id, then
-    random members, each time without the pairs that are in one component already, so a group of near copies costs a
-    few links for each member and not the square of its size. What is still apart after HUB_ROUNDS, or before when all
-    its pairs are but PAIRS_EACH for each class, is compared pair by pair, so that no candidate is left out.
+    A bucket (the classes that share a band's key) is first compared with one hub only, its smallest id. What is apart
+    after that is joined on rare shingles (rare_keys), first only with the member of each shingle that is central, while
+    that pays, so a group of near copies costs a few links for each member and not the square of its size; then all
+    pairs that are still apart and can reach the threshold (rare_pairs), which leaves no candidate out. Pairs whose sizes
+    or signatures rule a link out are dropped before their texts are compared.
 
     Null or blank text: no shingle, linked with nothing. A null id: no links, component_id null, kept false. Rows that
     repeat an id are one node with all their texts' links. Other columns of df are not read and may have any name.
@@ -127,43 +216,53 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     python_ready(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(docs.mapInArrow(_signed, "id long, size long, d1 long, d2 long, bands array<long>"))
+    signed = cut(docs.mapInArrow(_signed, "id long, size long, d1 long, d2 long, bands array<long>, sig array<long>"))
     linked = signed.filter("size > 0 and id is not null")
-    classes = cut(linked.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    member = linked.select("id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"]).select("id", "rep").distinct()
-    docs = docs.filter("id is not null")
-
-    bucket = classes.select("rep", F.explode("bands").alias("key"))
+    # a class is named by the least id of its rows; an id that repeats with other texts may stand for several
+    named = linked.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    member = cut(linked.join(named, ["d1", "d2"]).select("id", "rep", "size", "bands", "sig"))
+    bucket = member.filter("id = rep").select("rep", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub < far")
-    bucket = cut(bucket.join(shared.select("key"), "key", "left_semi").distinct())
-    edges = comp = tried = None
-    few = PAIRS_EACH * classes.count()
-    for turn in range(HUB_ROUNDS + 1):
-        at = bucket.withColumn("c", F.col("rep")) if comp is None else bucket.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        parts = at.groupBy("key", "c").agg(F.count(F.lit(1)).cast("double").alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("rep"))
-        apart = parts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.min_by(F.struct("rep", "c"), F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("hub"), F.expr("(sum(n) * sum(n) - sum(n * n)) / 2").alias("n")).filter("parts > 1")
-        apart = cut(apart.select("key", F.col("hub.rep").alias("hub"), F.col("hub.c").alias("hub_c"), "n"))
-        left = apart.agg(F.sum("n")).first()[0]
-        if not left:
-            break
-        last = turn == HUB_ROUNDS or turn > 0 and left <= few
-        if not last:
-            pairs = at.join(apart, "key").filter("c <> hub_c").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-        else:
-            rest = at.join(apart.select("key"), "key")
-            other = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("b_c"))
-            pairs = rest.join(other, "key").filter("rep < b and c <> b_c").select(F.col("rep").alias("a"), "b")
-        pairs = pairs.distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = verified(pairs, docs, threshold)
-        edges = cut(found if edges is None else edges.union(found))
-        comp = connected_components(edges)
-        if last:
-            break
-    if comp is None:
-        comp = connected_components(bucket.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-    named = member.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    bucket = cut(bucket.join(shared.select("key"), "key", "left_semi").distinct().select("key", "rep"))
+    wanted = cut(bucket.select(F.col("rep").alias("id")).distinct())
+    least = AGREE * threshold // 75
+    sketches = cut(member.filter("id = rep").join(wanted, "id", "left_semi").select("rep", "size", "sig").distinct())
+    texts = cut(likely_in(docs, "id", wanted).join(wanted, "id", "left_semi").distinct())
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        for end in ("hub", "member"):
+            pairs = pairs.join(sketches.select(F.col("rep").alias(end), F.col("size").alias(f"{end}_size"), F.col("sig").alias(f"{end}_sig")), end)
+        fits = 100 * F.least("hub_size", "member_size") >= threshold * F.greatest("hub_size", "member_size")
+        return cut(pairs.filter(fits & (agreeing("hub_sig", "member_sig") >= least)).select("hub", "member").distinct())
+
+    comp = wanted.select(F.col("id").alias("rep"), F.col("id").alias("c"))
+    tried = key = None
+    for step in ("hub", "central", "all"):
+        while True:
+            if step == "hub":
+                apart = bucket.join(comp, "rep")
+                apart = apart.join(apart.groupBy("key").agg(F.min_by(F.struct("rep", "c"), "rep").alias("hub"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most"), "key")
+                pairs = apart.filter("c <> hub.c").select(F.col("hub.rep").alias("hub"), F.col("rep").alias("member")).distinct()
+            elif key is None:
+                apart = bucket.join(comp, "rep")
+                apart = apart.join(apart.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most"), "key").select(F.col("rep").alias("id"), "c").distinct()
+                key = rare_keys(texts.join(apart, "id").select(F.col("id").alias("rep"), "c", "text"), threshold)
+                continue
+            else:
+                pairs = (central_pairs if step == "central" else rare_pairs)(key.join(comp, "rep"), threshold)
+            pairs = likely(pairs)
+            if tried is not None:
+                swapped = tried.select(F.col("member").alias("hub"), F.col("hub").alias("member"))
+                pairs = pairs.join(tried.union(swapped), ["hub", "member"], "left_anti")
+            tried = pairs if tried is None else tried.union(pairs)
+            a, b = (comp.select(F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
+            new = cut(verified(pairs, texts, threshold).join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+            if links := new.count():
+                joined = connected_components(new).withColumnRenamed("node", "c")
+                comp = cut(comp.join(joined, "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
+            if step != "central" or PAYS * links <= pairs.count():
+                break
+    named = member.select("id", "rep").join(comp, "rep", "left").select("id", F.coalesce("c", "rep").alias("component"))
     named = named.groupBy("id").agg(F.min("component").alias("component"))
     out = signed.select("id", "size").join(named, "id", "left")
     component = F.coalesce("component", "id")

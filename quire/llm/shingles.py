@@ -2,6 +2,9 @@
 
 Words are the runs of bytes other than space and 0x09-0x0D of the UTF-8 text, with A-Z lower-cased; a text's set holds
 the hashes of its distinct runs of WIDTH words, with fewer words the whole sequence as one, without words nothing.
+
+A word's hash is the sum of a mixed number for each of its bytes at its place in the word, mixed again: nothing binds the
+numbers of different bytes or places to each other, so words collide as random numbers do and not by construction.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text that are hashed at once; a longer text is taken alone.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 
 _U = np.uint64
 _random = np.random.default_rng(20240229)
@@ -23,8 +26,7 @@ _PLACE = _random.integers(0, 1 << 63, WIDTH, dtype=np.uint64) * _U(2) + _U(1)
 _SHORT = _random.integers(0, 1 << 63, WIDTH + 1, dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,16 +38,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if not _powers or len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(max(n, BLOCK_BYTES + (1 << 17)), base, dtype=np.uint64)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
-
-
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, offsets, bytes) of runs of rows of about BLOCK_BYTES; a null text is empty."""
     texts = texts.cast(pa.large_string())
@@ -66,7 +58,6 @@ def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     none = np.zeros(docs + 1, dtype=np.int64)
     if not n:
         return np.zeros(0, dtype=np.uint64), none
-    up, down = _power(n + 1)
     gap = _SPACE[data]
     first = np.zeros(n, dtype=bool)
     first[offsets[:-1][offsets[:-1] < n]] = True
@@ -80,9 +71,11 @@ def shingles(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends = np.flatnonzero(start), np.flatnonzero(last) + 1
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), none
+    place = np.cumsum(start)  # number of the word that a byte is in, or stands after
+    place = np.arange(n) - starts[np.maximum(place, 1) - 1]
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    words = mix((total[ends] - total[starts]) * down[starts])
+    np.cumsum(mix(_BYTE[data] + place.astype(np.uint64) * _STEP), out=total[1:])
+    words = mix(total[ends] - total[starts])
     at = np.searchsorted(starts, offsets)  # first word of each text
     count = np.diff(at)
     full = np.maximum(count - WIDTH + 1, 0)

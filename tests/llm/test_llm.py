@@ -61,6 +61,80 @@ def test_op1_equals_brute_force(spark, docs):
     assert edges and {k: (len(own[k]), expected[k], expected[k] == k) for k in own} == {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()}
 
 
+def jaccard_links(own, threshold=75):
+    """All pairs of ids whose sets reach the threshold, by the shingles that two sets have in common."""
+    holders, common = defaultdict(list), Counter()
+    for i, x in own.items():
+        for h in x:
+            holders[h].append(i)
+    for ids in holders.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :])
+    return [(a, b) for (a, b), n in common.items() if 100 * n >= threshold * (len(own[a]) + len(own[b]) - n)]
+
+
+def test_op1_equals_an_exact_join_of_sf001(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r["doc_id"]: shingles(r["text"]) for r in docs.collect()}
+    expected = components(own, jaccard_links(own))
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == expected and len(set(expected.values())) < len(own)
+
+
+@pytest.mark.parametrize("threshold", [60, 75, 90])
+def test_op1_groups_around_the_threshold(spark, threshold):
+    # copies of one text with ever more words changed, a passage that all share, and texts of several lengths
+    rng = random.Random(threshold)
+    base, passage = [f"b{k}" for k in range(200)], " ".join(f"p{k}" for k in range(60))
+    texts = [" ".join(w if rng.random() > (k % 25) / 400 else f"x{rng.random()}" for w in base[: 80 + 40 * (k % 4)]) for k in range(160)]
+    texts += [passage + " " + " ".join(f"u{k}_{j}" for j in range(5 + k % 90)) for k in range(80)]
+    own = dict(enumerate(map(shingles, texts)))
+    expected = components(own, jaccard_links(own, threshold))
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=threshold)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == expected and 20 < len(set(expected.values())) < 240
+
+
+@pytest.mark.parametrize("threshold", [50, 75, 95])
+def test_op1_rare_pairs_leave_nothing_out(spark, threshold):
+    rng = random.Random(threshold)
+    words = [[f"v{rng.randrange(40)}" if rng.random() < 0.3 else f"b{k}" for k in range(rng.randint(30, 60))] for _ in range(60)]
+    texts = [" ".join(words[rng.randrange(60)][: rng.randint(20, 60)]) for _ in range(120)]
+    own = dict(enumerate(map(shingles, texts)))
+    df = spark.createDataFrame([(k, k % 7, t) for k, t in enumerate(texts)], "rep long, c long, text string")
+    key = minhash.rare_keys(df, threshold).join(df.select("rep", "c"), "rep")
+    got = {(min(r), max(r)) for r in minhash.rare_pairs(key, threshold).collect()}
+    assert {(min(r), max(r)) for r in minhash.central_pairs(key, threshold).collect()} <= got
+    wanted = {(min(p), max(p)) for p in jaccard_links(own, threshold) if p[0] % 7 != p[1] % 7}
+    assert wanted <= got and wanted
+
+
+def test_op1_words_do_not_collide_by_construction(spark):
+    # a word of a and b by the parity of the bits of each place, and its complement: equal under any polynomial modulo 2**64
+    one = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 2)]
+
+
+def test_op1_sketches_count_agreeing_slots(spark):
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 4, (20, 128)).astype(np.uint32)
+    s = minhash.sketch(x).tolist()
+    df = spark.createDataFrame([(k, s[0], s[k]) for k in range(20)], "k int, a array<long>, b array<long>")
+    assert [r[0] for r in df.orderBy("k").select(minhash.agreeing("a", "b")).collect()] == [(x[0] == x[k]).sum() for k in range(20)]
+
+
+def test_likely_in_keeps_every_id(spark):
+    ids = spark.range(0, 3000, 7)
+    got = common.likely_in(spark.range(3000).withColumnRenamed("id", "x"), "x", ids)
+    assert ids.count() == ids.join(got, ids["id"] == got["x"]).count() and got.count() < 600
+
+
+def test_op1_ids_that_repeat_with_other_texts(spark):
+    text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, text), (1, other), (2, text + " end"), (3, other + " end"), (4, "alone"), (1, text)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4} and len(got) == 6
+
+
 def test_op1_odd_rows(spark, odd):
     got = sorted(map(tuple, minhash.near_duplicates(odd).collect()), key=str)
     assert len(got) == 10 and (2, 0, 2, True) in got and (3, 0, 3, True) in got and got.count((1, 2, 1, True)) == 2
@@ -219,8 +293,8 @@ def test_op7_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    for df, padding in ((docs, True), (odd, False)):
+    special = spark.createDataFrame([(1, "x <|endoftext|> y"), (2, "<|endoftext|>"), (3, "a<|endoftext|>\n<|endoftext|> b<|endof text|>")], "doc_id long, text string")
+    for df, padding in ((docs, True), (odd, False), (special, False)):
         texts = defaultdict(list)
         for r in df.collect():
             texts[r["doc_id"]].append(np.array([*t.encode(r["text"] or "", add_special_tokens=False).ids, 0], dtype="<u4"))
