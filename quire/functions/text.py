@@ -48,7 +48,7 @@ def remove_simple(x: Column, header_lines: int = 2, longest_number: int = 4) ->
     first = F.coalesce(F.get(body, F.lit(0)), F.lit(""))
     number = trim_py(first).rlike(r"(?U)^\d+\z") & (F.length(trim_py(first)) <= longest_number)
     body = F.when(number, F.slice(body, 2, F.size(body))).otherwise(body)
-    return F.when(F.size(lines) <= 3, x).otherwise(trim_py(F.array_join(body, "\n")))
+    return F.when(F.size(lines) <= header_lines + 1, x).otherwise(trim_py(F.array_join(body, "\n")))
 
 
 def collapse_blank_lines(x: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_py
+
 
 def size_filter(images: DataFrame, pages: DataFrame, least: int = 14, repeated: float = 0.8) -> DataFrame:
     """Without images under `least` pixels, and without sizes that occur more often than int(pages * repeated).
@@ -25,6 +30,11 @@ def stamp_shaped() -> Column:
     return (F.least(w, h) >= 30) & (F.greatest(w, h) <= 1000) & (w / h).between(0.7, 1.5)
 
 
+def is_red(r: Column, g: Column, b: Column) -> Column:
+    """Red above green and blue, and bright, or less bright but clearly above them."""
+    return (r > g) & (r > b) & ((r >= 100) | ((r >= 80) & (r > g + 20) & (r > b + 20)))
+
+
 def stamp_candidates(images: DataFrame, least_red: float = 0.8) -> DataFrame:
     return images.filter(stamp_shaped() & (F.col("red_ratio") >= least_red))
 
@@ -44,24 +54,72 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
 
 
 def stamp_groups(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(doc_id, ord, grp): the least member that pairs connect a stamp with. Labels spread until none changes."""
+    """(doc_id, ord, grp): the least member that pairs connect a stamp with.
+
+    Each round takes over the least label of the neighbours, and then that label's own, so labels cover twice the way
+    in each round; rounds are logarithmic in the longest path. Where some vectors of a document are null, their stamps
+    are left out; where all are, each is a group."""
+    some = vectors.groupBy("doc_id").agg(F.bool_or(F.col("v").isNotNull()).alias("some"))
+    vectors = vectors.join(some, "doc_id").filter(F.col("v").isNotNull() | ~F.col("some"))
     labels = vectors.select("doc_id", "ord", F.col("ord").alias("grp"))
     both = pairs.select("doc_id", F.col("a").alias("ord"), F.col("b").alias("other")).union(pairs.select("doc_id", F.col("b").alias("ord"), F.col("a").alias("other")))
     spark = vectors.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import os
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints"))
+        spark.sparkContext.setCheckpointDir(_shared(spark))
     labels, both = labels.checkpoint(), both.checkpoint()
     while True:
         near = both.join(labels.select("doc_id", F.col("ord").alias("other"), F.col("grp").alias("theirs")), ["doc_id", "other"]).groupBy("doc_id", "ord").agg(F.min("theirs").alias("theirs"))
-        new = labels.join(near, ["doc_id", "ord"], "left").select("doc_id", "ord", F.least("grp", F.coalesce("theirs", "grp")).alias("grp"), (F.col("theirs") < F.col("grp")).alias("moved")).checkpoint()
+        new = labels.join(near, ["doc_id", "ord"], "left").select("doc_id", "ord", F.least("grp", F.coalesce("theirs", "grp")).alias("up"), F.col("grp").alias("before")).checkpoint()
+        above = new.select("doc_id", F.col("ord").alias("up"), F.col("up").alias("top"))
+        new = new.join(above, ["doc_id", "up"], "left").select("doc_id", "ord", F.least("up", F.coalesce("top", "up")).alias("grp"), "before").checkpoint()
         labels = new.select("doc_id", "ord", "grp")
-        if new.filter("moved").isEmpty():
+        if new.filter("grp < before").isEmpty():
             return labels
 
 
+def _shared(spark) -> str:
+    """The checkpoint folder that the session names; a local one only where driver and executors are one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+
+
+def non_stamps(images: DataFrame, least_red: float = 0.8) -> DataFrame:
+    """The images that stamp_candidates leaves: wrong in shape or not red enough; unknown sizes and shares count as such."""
+    return images.filter(~F.coalesce(stamp_shaped() & (F.col("red_ratio") >= least_red), F.lit(False)))
+
+
+def red_ratio(pixels: DataFrame) -> DataFrame:
+    """(doc_id, img_no, r, g, b) -> (doc_id, img_no, red_ratio): red pixels among those neither near white (all over 240)
+    nor near black (all under 60), 0 where there are none."""
+    r, g, b = (F.col(c) for c in "rgb")
+    valid = ~((r > 240) & (g > 240) & (b > 240)) & ~((r < 60) & (g < 60) & (b < 60))
+    n = pixels.withColumn("valid", valid).groupBy("doc_id", "img_no").agg(F.count_if("valid").alias("n"), F.count_if(F.col("valid") & is_red(r, g, b)).alias("red"))
+    return n.select("doc_id", "img_no", F.when(F.col("n") == 0, 0.0).otherwise(F.col("red") / F.col("n")).alias("red_ratio"))
+
+
+def stamp_statistics(images: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, candidates, unique, duplicated, non_stamps), of images and the groups (doc_id, ord, grp) of candidates."""
+    total = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"))
+    own = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("grp").alias("unique"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return total.join(own, "doc_id", "left").select("doc_id", zero("candidates").alias("candidates"), zero("unique").alias("unique"), (zero("candidates") - zero("unique")).alias("duplicated"), (F.col("total") - zero("candidates")).alias("non_stamps"))
+
+
+def size_histogram(images: DataFrame) -> DataFrame:
+    """(doc_id, width, height, n)."""
+    return images.groupBy("doc_id", "width", "height").agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_rendered(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """Images (doc_id, page_no, img_no, is_rendered) that survived and one for each page that is to be rendered, by page."""
+    drawn = pages_to_render(pages, images).select("doc_id", "page_no", F.lit(0).cast("long").alias("img_no"), F.lit(True).alias("is_rendered"))
+    return images.select("doc_id", "page_no", F.col("img_no").cast("long").alias("img_no"), F.lit(False).alias("is_rendered")).unionByName(drawn)
+
+
 def representatives(groups: DataFrame) -> DataFrame:
     """(doc_id, representative, duplicates): a group's first stamp and how many others it stands for."""
     return groups.groupBy("doc_id", F.col("grp").alias("representative")).agg((F.count(F.lit(1)) - 1).alias("duplicates"))
@@ -69,4 +127,4 @@ def representatives(groups: DataFrame) -> DataFrame:
 
 def pages_to_render(pages: DataFrame, images: DataFrame) -> DataFrame:
     """Pages (doc_id, page_no, text) without text and without an image that survived."""
-    return pages.filter(F.trim(F.coalesce("text", F.lit(""))) == "").join(images.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti").select("doc_id", "page_no")
+    return pages.filter(trim_py(F.coalesce("text", F.lit(""))) == "").join(images.select("doc_id", "page_no"), ["doc_id", "page_no"], "left_anti").select("doc_id", "page_no")

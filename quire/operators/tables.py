@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,15 +67,19 @@ def column_vote(counts: DataFrame) -> DataFrame:
     return a.select("doc_id", pick.alias("cols"))
 
 
-def char_to_cell(chars: DataFrame, cells: DataFrame) -> DataFrame:
+def char_to_cell(chars: DataFrame, cells: DataFrame, band: float = 50.0) -> DataFrame:
     """(doc_id, char_no, c, x0.., row_index, col_index): each character's first cell, in row order, that its box
-    overlaps, or else that holds its centre."""
-    k = cells.select("doc_id", "row_index", "col_index", "x_start", "x_end", "y_start", "y_end")
+    overlaps, or else that holds its centre.
+
+    Characters and cells are dealt to the bands of y that they reach and joined on (doc_id, band), so a character meets
+    the cells around it and not its whole table."""
+    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / band), F.greatest(F.floor(F.col(hi) / band), F.floor(F.col(lo) / band)))).alias("band")
+    k = cells.select("doc_id", "row_index", "col_index", "x_start", "x_end", "y_start", "y_end", reach("y_start", "y_end"))
     a = box()
     over = (a[0] < F.col("x_end")) & (a[2] > F.col("x_start")) & (a[1] < F.col("y_end")) & (a[3] > F.col("y_start"))
     mx, my = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
     centre = (mx >= F.col("x_start")) & (mx <= F.col("x_end")) & (my >= F.col("y_start")) & (my <= F.col("y_end"))
-    near = chars.join(k, "doc_id").filter(over | centre)
+    near = chars.select("*", reach("y0", "y1")).join(k, ["doc_id", "band"]).filter(over | centre)
     best = F.min(F.struct(F.when(over, 0).otherwise(1).alias("prio"), "row_index", "col_index")).alias("m")
     return near.groupBy("doc_id", "char_no", "c", *["x0", "y0", "x1", "y1"]).agg(best).select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
 
@@ -101,31 +104,99 @@ def spans(cells: DataFrame, xs: Column, ys: Column, tol: float = 2.0) -> DataFra
     return cells.withColumn("colspan", inside(xs, "x_start", "x_end")).withColumn("rowspan", inside(ys, "y_start", "y_end"))
 
 
-def display_columns(rows: list[list[tuple[int, int]]]) -> list[int]:
-    """For each row of (colspan, rowspan) cells: columns held by spans from above and the row's own."""
-    held: dict[int, int] = {}
-    out = []
-    for row in rows:
-        taken = sum(1 for n in held.values() if n > 0)
-        at = 0
-        for colspan, rowspan in row:
-            while held.get(at, 0) > 0:
-                at += 1
-            if rowspan > 1:
-                for c in range(at, at + colspan):
-                    held[c] = max(held.get(c, 0), rowspan)
-            at += colspan
-        out.append(taken + sum(c for c, _ in row))
-        held = {c: n - 1 for c, n in held.items() if n > 0}
-    return out
-
-
-def display_columns_of(cells: DataFrame) -> DataFrame:
-    """(doc_id, row_no, cell_no, colspan, rowspan) -> (doc_id, row_no, cols): an ordered fold for each table."""
-
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["row_no", "cell_no"])
-        numbers, rows = zip(*[(n, list(zip(g.colspan, g.rowspan, strict=True))) for n, g in t.groupby("row_no")], strict=True)
-        return pd.DataFrame({"doc_id": t.doc_id.iloc[0], "row_no": numbers, "cols": display_columns(rows)})
-
-    return cells.groupBy("doc_id").applyInPandas(fold, "doc_id long, row_no int, cols int")
+def display_columns(cells: DataFrame) -> DataFrame:
+    """(doc_id, row_no, cell_no, colspan, rowspan) -> (doc_id, row_no, cols): the columns that spans from above hold in a
+    row and those of its own cells. A fold over a table's rows; its state is how many rows each column is still held."""
+    row = F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "colspan", "rowspan"))), lambda c: F.struct(c["colspan"].alias("wide"), c["rowspan"].alias("high")))
+    rows = cells.groupBy("doc_id", "row_no").agg(row.alias("cells"))
+    ordered = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "cells"))).alias("rows"))
+    left = lambda held, c: F.coalesce(F.get(held, c), F.lit(0))
+    none = F.array().cast("array<int>")
+
+    def place(s: Column, c: Column) -> Column:
+        """A cell goes to the first column from where the last one ended that is not held."""
+        at = F.array_min(F.filter(F.sequence(s["at"], F.greatest(s["at"], F.size(s["held"]))), lambda k: left(s["held"], k) == 0))
+        end = at + c["wide"]
+        held = F.transform(F.sequence(F.lit(0), F.greatest(F.size(s["held"]), end) - 1), lambda k: F.when((k >= at) & (k < end), F.greatest(left(s["held"], k), c["high"])).otherwise(left(s["held"], k)))
+        return F.struct(F.when(c["high"] > 1, held).otherwise(s["held"]).alias("held"), end.cast("int").alias("at"))
+
+    def step(s: Column, r: Column) -> Column:
+        above = F.size(F.filter(s["held"], lambda n: n > 0))
+        own = F.aggregate(r["cells"], F.lit(0), lambda n, c: n + c["wide"])
+        held = F.aggregate(r["cells"], F.struct(s["held"].alias("held"), F.lit(0).alias("at")), place)["held"]
+        out = F.struct(r["row_no"].cast("int").alias("row_no"), (above + own).cast("int").alias("cols"))
+        return F.struct(F.transform(held, lambda n: F.greatest(n - 1, F.lit(0))).alias("held"), F.concat(s["out"], F.array(out)).alias("out"))
+
+    start = F.struct(none.alias("held"), F.array().cast("array<struct<row_no:int,cols:int>>").alias("out"))
+    return ordered.select("doc_id", F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+
+
+def columns_shown(counts: DataFrame) -> DataFrame:
+    """(doc_id, row_no, cols) -> (doc_id, cols): the widest rows' columns if over 30 % of rows are so wide, else the most
+    frequent number, of equals the one met first."""
+    k = counts.groupBy("doc_id", "cols").agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("f"))
+    a = k.groupBy("doc_id").agg(F.sum("n").alias("rows"), F.max("cols").alias("most"), F.max_by("n", "cols").alias("most_n"), F.max_by("cols", F.struct("n", -F.col("f"))).alias("mode"))
+    return a.select("doc_id", F.when(F.col("most_n") / F.col("rows") > 0.3, F.col("most")).otherwise(F.col("mode")).alias("cols"))
+
+
+def expected_columns(counts: DataFrame, tables: DataFrame, first: int = 5) -> DataFrame:
+    """(doc_id, row_no, cols) and (doc_id, col_count) -> (doc_id, cols): the widest of the first rows, else what the table
+    is said to have, else the widest row; zeros count as unknown."""
+    a = counts.groupBy("doc_id").agg(F.max(F.when(F.col("row_no") < first, F.col("cols"))).alias("early"), F.max("cols").alias("most"))
+    some = lambda c: F.nullif(F.col(c), F.lit(0))
+    return tables.join(a, "doc_id", "left").select("doc_id", F.coalesce(some("early"), some("col_count"), some("most")).alias("cols"))
+
+
+def effective_columns(row: Column) -> Column:
+    """Cells of a row that are not blank, or all if all are."""
+    told = F.size(F.filter(row, lambda c: trim_py(F.coalesce(c, F.lit(""))) != ""))
+    return F.when(told == 0, F.size(row)).otherwise(told)
+
+
+def real_tables(tables: DataFrame, drawings: DataFrame, least: int = 3, margin: float = 5.0) -> DataFrame:
+    """Tables (doc_id, page_no, table_id, box) with `least` strokes (type 's') or more whose centre is in their box."""
+    d = drawings.filter("type = 's'").select("doc_id", "page_no", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
+    inside = F.col("cx").between(F.col("x0") - margin, F.col("x1") + margin) & F.col("cy").between(F.col("y0") - margin, F.col("y1") + margin)
+    n = tables.join(d, ["doc_id", "page_no"]).filter(inside).groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return tables.join(n.select("doc_id", "table_id"), ["doc_id", "table_id"], "left_semi")
+
+
+def text_follows(tables: DataFrame, lines: DataFrame, height: float = 842.0, margin: float = 80.0, least: float = 10.0) -> DataFrame:
+    """+ text_between: whether a text that is not blank reaches into the strip below a table, down to the lower margin, or
+    into the one above the next table of the document's list, from the upper margin on; strips of `least` or less count
+    as empty. Null pages have no text."""
+    by = W.partitionBy("doc_id").orderBy("table_id")
+    told = lines.filter(trim_py(F.col("text")) != "").select("doc_id", F.col("page_no").alias("page"), F.col("y0").alias("top"), F.col("y1").alias("bottom"))
+    at = tables.select("doc_id", "table_id", F.array(F.struct(F.col("page_no").alias("page"), F.col("y1").alias("a"), F.lit(height - margin).alias("b")), F.struct(F.lead("page_no").over(by).alias("page"), F.lit(margin).alias("a"), F.lead("y0").over(by).alias("b"))).alias("strips"))
+    strips = at.select("doc_id", "table_id", F.inline("strips")).filter(F.col("b") - F.col("a") > least)
+    hit = strips.join(told, ["doc_id", "page"]).filter("top < b and bottom > a").select("doc_id", "table_id").distinct().withColumn("hit", F.lit(True))
+    return tables.join(hit, ["doc_id", "table_id"], "left").withColumn("text_between", F.coalesce("hit", F.lit(False))).drop("hit")
+
+
+def chars_in_tables(chars: DataFrame, cells: DataFrame) -> DataFrame:
+    """Characters (doc_id, box) that lie whole in the box of their table's cells and a margin around it, a tenth of the
+    lowest cell's height but 0.5 at least and 2 at most."""
+    t = cells.groupBy("doc_id").agg(F.min("x_start").alias("t_x0"), F.min("y_start").alias("t_y0"), F.max("x_end").alias("t_x1"), F.max("y_end").alias("t_y1"), F.least(F.lit(2.0), F.greatest(F.lit(0.5), 0.1 * F.min(F.col("y_end") - F.col("y_start")))).alias("m"))
+    a, m = box(), F.col("m")
+    inside = (a[0] >= F.col("t_x0") - m) & (a[1] >= F.col("t_y0") - m) & (a[2] <= F.col("t_x1") + m) & (a[3] <= F.col("t_y1") + m)
+    return chars.join(t, "doc_id").filter(inside).select(chars.columns)
+
+
+def cell_of_lines(lines: DataFrame, gap: float = 2.0) -> DataFrame:
+    """(doc_id, box_id, y0, line_no, text) -> (doc_id, box_id, text): the text lines of a box as one cell; <br> before a
+    line more than gap below the last, else a space."""
+    rows = lines.groupBy("doc_id", "box_id").agg(F.array_sort(F.collect_list(F.struct("y0", "line_no", "text"))).alias("ls"))
+    text = F.array_join(F.transform("ls", lambda r, k: F.concat(F.when(k == 0, "").when(r["y0"] - F.get("ls", k - 1)["y0"] > gap, "<br>").otherwise(" "), r["text"])), "")
+    return rows.select("doc_id", "box_id", text.alias("text"))
+
+
+def row_groups(cells: DataFrame, near: float = 2.0) -> DataFrame:
+    """(doc_id, x0, y0, ...) -> the same with row_index and col_index: rows are the distinct y0, rounded to a tenth; a cell
+    is in each row that is nearer than `near`, its columns numbered by x0."""
+    y = F.bround("y0", 1)
+    rows = cells.select("doc_id", y.alias("row_y")).distinct().withColumn("row_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("row_y")) - 1).cast("int"))
+    # rows nearer than two bands can only be in a cell's own band and those around it
+    band = lambda c: F.floor(F.col(c) / near)
+    spread = cells.withColumn("band", F.explode(F.array(*[band("y0") + k for k in (-1, 0, 1)])))
+    placed = spread.join(rows.withColumn("band", band("row_y")), ["doc_id", "band"]).filter(F.abs(F.col("y0") - F.col("row_y")) < near)
+    return placed.withColumn("col_index", (F.row_number().over(W.partitionBy("doc_id", "row_index").orderBy("x0", "y0")) - 1).cast("int")).drop("band", "row_y")

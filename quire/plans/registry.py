@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as txt
+from ..operators import assemble, markup, merge, rows, tables, text
 from ..operators import images as img
-from ..operators import merge, tables, text
 from ..sources import layout
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,8 +43,11 @@ z AS (SELECT l_orderkey AS doc_id, row_index, c AS col_index, CASE WHEN c > 0 TH
  20.0::DOUBLE * row_index AS y_start, 20.0::DOUBLE * row_index + 20 AS y_end,
  CASE c WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE l_returnflag END AS text FROM q, (SELECT unnest([0, 1, 2, 3]) AS c))"""
 D5 = """pg AS (SELECT conv_id AS doc_id, turn AS page_no, text FROM conversations WHERE role <> 'assistant'),
-oc AS (SELECT conv_id AS doc_id, turn - 1 AS page_no, string_agg(text, chr(10) ORDER BY text) AS ocr FROM conversations WHERE role = 'assistant' AND coalesce(text, '') <> '' GROUP BY ALL),
-j AS (SELECT pg.*, coalesce(ocr, '') AS ocr FROM pg LEFT JOIN oc USING (doc_id, page_no))"""
+im AS (SELECT conv_id AS doc_id, turn - 1 AS page_no, 1 AS img_no, 400 AS y0, 'low.png' AS name, text FROM conversations WHERE role = 'assistant'
+ UNION ALL SELECT conv_id, turn - 1, 2, 100, 'high.png', '> ' || text[1:12] FROM conversations WHERE role = 'assistant'),
+oc AS (SELECT doc_id, page_no, string_agg(coalesce(text, ''), chr(10) ORDER BY y0, img_no, name, coalesce(text, '')) AS ocr,
+ string_agg(chr(10) || '[图片: ' || name || ']' || chr(10) || coalesce(text, ''), chr(10) ORDER BY y0, img_no, name, coalesce(text, '')) AS items FROM im GROUP BY ALL),
+j AS (SELECT pg.doc_id, pg.page_no, coalesce(pg.text, '') AS text, pg.text AS raw, ocr, items FROM pg LEFT JOIN oc USING (doc_id, page_no))"""
 NUM = r"regexp_full_match({0}, '\s*(第\s*\d+\s*页|\d+)\s*')"
 
 
@@ -132,23 +135,93 @@ def structure_summary(s, d):
     return merge.structure(_typed(s, d))
 
 
-@query("recommend_mode", f"WITH {TYPE}, {STRUCT} SELECT doc_id, type, CASE WHEN type = 'text' AND NOT has_images THEN 'coarse' ELSE 'complete' END AS mode FROM ty JOIN st USING (doc_id)")
+@query("recommend_mode", f"WITH {TYPE}, {STRUCT} SELECT doc_id, type, CASE WHEN type = 'text' AND NOT has_images THEN 'coarse' ELSE 'complete' END AS mode, CASE WHEN type = 'text' AND NOT has_images THEN 'text only' WHEN type = 'scanned' THEN 'scanned' ELSE 'images' END AS reason FROM ty JOIN st USING (doc_id)")
 def recommend_mode(s, d):
     return merge.recommended(merge.document_type(_typed(s, d)), merge.structure(_typed(s, d)))
 
 
+_OWN = "CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END"
+_BANNER = "CASE WHEN items IS NOT NULL THEN chr(10) || '[图片OCR结果]' END"
 _MERGED = {
-    "append": "concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN chr(10) || '[图片OCR结果]' || chr(10) || ocr END)",
-    "replace": "CASE WHEN length(trim(text, chr(10) || ' ')) < 50 AND ocr <> '' THEN '[使用图片OCR结果]' || chr(10) || ocr ELSE concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN ocr END) END",
-    "interleave": "concat_ws(chr(10), CASE WHEN trim(text, chr(10) || ' ') <> '' THEN text END, CASE WHEN ocr <> '' THEN ocr END)",
+    "append": f"{_OWN}, {_BANNER}, items",
+    "replace": f"CASE WHEN length(trim(text, chr(10) || ' ')) < 50 AND items IS NOT NULL THEN '[使用图片OCR结果]' ELSE text END, CASE WHEN length(trim(text, chr(10) || ' ')) >= 50 THEN {_BANNER} END, items",
+    "interleave": f"{_OWN}, items",
 }
+MARKED = "concat_ws(chr(10), '==第' || page_no || '页==', {0}, '')"
 for _k, _v in _MERGED.items():
-    query(f"merge_{_k}", f"WITH {D5} SELECT doc_id, page_no, {_v} AS text FROM j")(lambda s, d, k=_k: merge.joined(*layout.ocr_pages(s, d)).select("doc_id", "page_no", merge.merged(k).alias("text")))
+    query(f"merge_{_k}", f"WITH {D5} SELECT doc_id, page_no, {MARKED.format(_v)} AS text FROM j")(lambda s, d, k=_k: merge.joined(*layout.ocr_pages(s, d)).select("doc_id", "page_no", merge.merged(k).alias("text")))
 
 
-@query("ocr_left_join", f"WITH {D5} SELECT doc_id, page_no, text, ocr FROM j")
+@query("ocr_left_join", f"WITH {D5} SELECT doc_id, page_no, raw AS text, coalesce(ocr, '') AS ocr FROM j")
 def ocr_left_join(s, d):
-    return merge.joined(*layout.ocr_pages(s, d))
+    return merge.joined(*layout.ocr_pages(s, d)).select("doc_id", "page_no", "text", merge.ocr_text(F.col("images")).alias("ocr"))
+
+
+@query("merge_documents", f"WITH {D5} SELECT doc_id, string_agg({MARKED.format(_MERGED['append'])}, chr(10) ORDER BY page_no, text) AS text FROM j GROUP BY 1")
+def merge_documents(s, d):
+    return merge.merged_documents(*layout.ocr_pages(s, d))
+
+
+_WHOLE = f"{D5}, w AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no, text) AS text FROM j GROUP BY 1)"
+
+
+def _whole(s, d):
+    return merge.in_order(layout.ocr_pages(s, d)[0].withColumn("text", F.coalesce("text", F.lit(""))), "page_no")
+
+
+@query("merge_simple", f"WITH {_WHOLE}, r AS (SELECT doc_id, string_agg('[图片: ' || name || ']' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY page_no, y0, img_no, name, coalesce(text, '')) AS items FROM im GROUP BY 1) SELECT w.doc_id, concat_ws(chr(10), CASE WHEN text <> '' THEN text || chr(10) END, CASE WHEN items IS NOT NULL THEN repeat('=', 50) || chr(10) || '图片OCR识别结果' || chr(10) || repeat('=', 50) || chr(10) END, items) AS text FROM w LEFT JOIN r USING (doc_id)")
+def merge_simple(s, d):
+    return merge.simply_merged(_whole(s, d), layout.ocr_pages(s, d)[1])
+
+
+@query("merge_with_sections", "SELECT string_agg(repeat('=', 50) || chr(10) || 'part ' || doc_id || chr(10) || repeat('=', 50) || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY doc_id) AS text, source AS doc_id FROM documents GROUP BY source")
+def merge_with_sections(s, d):
+    t = layout.table(s, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("no"), merge.section(F.concat(F.lit("part "), F.col("doc_id").cast("string")), F.col("text")).alias("text"))
+    return merge.in_order(t, "no")
+
+
+@query("merge_multiple_files", "SELECT string_agg(repeat('=', 60) || chr(10) || '文件: ' || doc_id || chr(10) || repeat('=', 60) || chr(10) || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY doc_id) AS text, source AS doc_id FROM documents GROUP BY source")
+def merge_multiple_files(s, d):
+    t = layout.table(s, d, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("no"), merge.section(F.concat(F.lit(merge.FILE), F.col("doc_id").cast("string")), F.col("text"), 60).alias("text"))
+    return merge.in_order(t, "no")
+
+
+@query("format_with_metadata", "SELECT doc_id, repeat('=', 60) || chr(10) || '文件元数据' || chr(10) || repeat('=', 60) || chr(10) || 'lang: ' || coalesce(lang, '') || chr(10) || 'source: ' || coalesce(source, '') || chr(10) || repeat('=', 60) || chr(10) || chr(10) || coalesce(text, '') AS text FROM documents")
+def format_with_metadata(s, d):
+    pair = lambda k: F.struct(F.lit(k).alias("key"), F.col(k).alias("value"))
+    return layout.table(s, d, "documents").select("doc_id", merge.with_metadata(F.array(pair("lang"), pair("source")), F.col("text")).alias("text"))
+
+
+@query("merge_with_page_info", f"WITH {P} SELECT doc_id, string_agg('==第' || page_no || '页==' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY page_no) AS text FROM p GROUP BY 1")
+def merge_with_page_info(s, d):
+    return merge.in_order(layout.page_rows(s, d).select("doc_id", "page_no", merge.with_page_info(F.col("page_no"), F.col("text")).alias("text")), "page_no")
+
+
+@query("document_text", f"WITH {P} SELECT doc_id, string_agg('==第' || page_no || '页==' || chr(10) || trim(text, chr(10) || ' ') || chr(10), chr(10) ORDER BY page_no) AS text FROM p WHERE trim(text, chr(10) || ' ') <> '' GROUP BY 1")
+def document_text(s, d):
+    return text.page_text(layout.page_rows(s, d))
+
+
+@query("page_details", f"WITH {P} SELECT doc_id, page_no, coalesce(text, '') AS text, trim(coalesce(text, ''), chr(10) || ' ') <> '' AS has_text FROM p")
+def page_details(s, d):
+    return text.page_details(layout.page_rows(s, d))
+
+
+@query("lines_of_spans", f"WITH {D1} SELECT doc_id, page_no, CAST(line_no // 10 AS BIGINT) AS block_no, line_no, text, x0, y0, x0 + 60 AS x1, y1 FROM l")
+def lines_of_spans(s, d):
+    return text.lines_of_spans(layout.spans(s, d))
+
+
+@query("text_blocks", f"WITH {D1}, k AS (SELECT doc_id, page_no, CAST(line_no // 10 AS BIGINT) AS block_no, string_agg(text, '' ORDER BY line_no) AS text, min(y0) AS y0, max(y1) AS y1 FROM l GROUP BY ALL) SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = k.doc_id AND c.text = trim(k.text))")
+def text_blocks(s, d):
+    return text.text_blocks(layout.spans(s, d), text.common_texts(layout.layout_lines(s, d)))
+
+
+@query("blocks_of_body", f"WITH {D1}, k AS (SELECT doc_id, page_no, line_no // 10 AS block_no, string_agg(text, '' ORDER BY line_no) AS text, min(y0) AS y0, max(y1) AS y1 FROM l GROUP BY ALL) SELECT doc_id, page_no, string_agg(text, chr(10) ORDER BY y0, block_no) AS text FROM k WHERE y0 >= 842 * 0.15 - 5 AND y1 <= 842 * 0.85 + 5 GROUP BY ALL")
+def blocks_of_body(s, d):
+    lines = layout.layout_lines(s, d).select("doc_id", "page_no", F.expr("line_no div 10").alias("block_no"), "line_no", "text", "y0", "y1")
+    rows_ = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return text.blocks_of_body(lines.groupBy("doc_id", "page_no", "block_no").agg(F.array_join(F.transform(rows_, lambda r: r["text"]), "").alias("text"), F.min("y0").alias("y0"), F.max("y1").alias("y1")))
 
 
 def _boxes(s, d):
@@ -292,10 +365,91 @@ def colspan_rowspan(s, d):
     return tables.spans(wide, F.col("xs"), F.col("ys")).select("doc_id", "row_index", "col_index", "colspan", "rowspan")
 
 
-@query("display_columns")
-def display_columns(s, d):
+SPANNED = f"{D4}, m AS (SELECT doc_id, row_index AS row_no, col_index, CAST(1 + (row_index + col_index) % 2 AS INT) AS colspan, CASE WHEN col_index = 0 AND row_index % 2 = 0 THEN 2 ELSE 1 END AS rowspan FROM z), dc AS (SELECT a.doc_id, a.row_no, CAST(a.own + coalesce(sum(b.colspan), 0) AS INT) AS cols FROM (SELECT doc_id, row_no, sum(colspan) AS own FROM m GROUP BY ALL) a LEFT JOIN m b ON b.doc_id = a.doc_id AND b.row_no < a.row_no AND b.row_no + b.rowspan > a.row_no GROUP BY a.doc_id, a.row_no, a.own)"
+
+
+def _display(s, d):
     c = layout.cells(s, d).select("doc_id", F.col("row_index").alias("row_no"), F.col("col_index").alias("cell_no"), (1 + (F.col("row_index") + F.col("col_index")) % 2).cast("int").alias("colspan"), F.when((F.col("col_index") == 0) & (F.col("row_index") % 2 == 0), 2).otherwise(1).alias("rowspan"))
-    return tables.display_columns_of(c)
+    return tables.display_columns(c)
+
+
+@query("display_columns", f"WITH {SPANNED} SELECT * FROM dc")
+def display_columns(s, d):
+    return _display(s, d)
+
+
+@query("columns_shown", f"WITH {SPANNED}, k AS (SELECT doc_id, cols, count(*) AS n, min(row_no) AS f FROM dc GROUP BY ALL), a AS (SELECT doc_id, sum(n) AS r, max(cols) AS most, max_by(n, cols) AS most_n, first(cols ORDER BY n DESC, f) AS mode FROM k GROUP BY 1) SELECT doc_id, CASE WHEN most_n / r > 0.3 THEN most ELSE mode END AS cols FROM a")
+def columns_shown(s, d):
+    return tables.columns_shown(_display(s, d))
+
+
+@query("expected_columns", f"WITH {SPANNED}, tt AS (SELECT DISTINCT doc_id, CAST(doc_id % 9 AS INT) AS col_count FROM z) SELECT tt.doc_id, coalesce(nullif(max(cols) FILTER (row_no BETWEEN 1 AND 4 OR row_no = 0), 0), nullif(any_value(col_count), 0), nullif(max(cols), 0)) AS cols FROM tt LEFT JOIN dc USING (doc_id) GROUP BY 1")
+def expected_columns(s, d):
+    t = layout.cells(s, d).select("doc_id").distinct().withColumn("col_count", (F.col("doc_id") % 9).cast("int"))
+    return tables.expected_columns(_display(s, d), t)
+
+
+@query("effective_columns", f"WITH {D4}, x AS (SELECT doc_id, row_index, list(CASE WHEN (doc_id + col_index) % 3 = 0 THEN ' ' ELSE text END ORDER BY col_index) AS ts FROM z GROUP BY ALL) SELECT doc_id, row_index, CAST(CASE WHEN len(list_filter(ts, lambda t: trim(t) <> '')) = 0 THEN len(ts) ELSE len(list_filter(ts, lambda t: trim(t) <> '')) END AS INT) AS cols FROM x")
+def effective_columns(s, d):
+    t = F.when((F.col("doc_id") + F.col("col_index")) % 3 == 0, " ").otherwise(F.col("text"))
+    g = layout.cells(s, d).groupBy("doc_id", "row_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_index", t.alias("t")))), lambda c: c["t"]).alias("ts"))
+    return g.select("doc_id", "row_index", tables.effective_columns(F.col("ts")).alias("cols"))
+
+
+@query("html_tables", f"WITH {D4}, r AS (SELECT doc_id, row_index, string_agg('    <td>' || text || '</td>', chr(10) ORDER BY col_index) AS tds FROM z GROUP BY ALL) SELECT doc_id, '<table>' || chr(10) || string_agg('  <tr>' || chr(10) || tds || chr(10) || '  </tr>', chr(10) ORDER BY row_index) || chr(10) || '</table>' AS html FROM r GROUP BY 1")
+def html_tables(s, d):
+    return markup.html_tables(layout.cells(s, d))
+
+
+@query("cross_page_row_merge", f"WITH {D4}, o AS (SELECT z.*, (SELECT 0) AS zero, doc_id // 2 AS island, doc_id % 2 AS part FROM z), r AS (SELECT island, part, row_index, string_agg('<td>' || text || '</td>', '' ORDER BY col_index) AS tds FROM o GROUP BY ALL) SELECT island AS doc_id, island, '<table>' || chr(10) || string_agg('<tr>' || tds || '</tr>', chr(10) ORDER BY part, row_index) || chr(10) || '</table>' AS html FROM r GROUP BY island")
+def cross_page_row_merge(s, d):
+    """Two orders are the parts of a run; their rows have text in every cell, so none is joined."""
+    parts = markup.html_tables(layout.cells(s, d)).select(F.expr("doc_id div 2").alias("island"), (F.col("doc_id") % 2).alias("part_no"), F.regexp_replace("html", r">\s+<", "><").alias("html"))
+    return rows.merged_tables(parts.select(F.col("island").alias("doc_id"), "island", "part_no", "html", F.lit(4).alias("col_count")))
+
+
+@query("cell_of_lines", f"WITH {D1} SELECT doc_id, page_no AS box_id, string_agg(sep || text, '' ORDER BY y0, line_no) AS text FROM (SELECT *, CASE WHEN lag(y0) OVER w IS NULL THEN '' WHEN y0 - lag(y0) OVER w > 2 THEN '<br>' ELSE ' ' END AS sep FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, line_no)) GROUP BY ALL")
+def cell_of_lines(s, d):
+    return tables.cell_of_lines(layout.layout_lines(s, d).withColumnRenamed("page_no", "box_id"))
+
+
+@query("row_groups", f"WITH {D4} SELECT doc_id, row_index, col_index, text FROM z")
+def row_groups(s, d):
+    c = layout.cells(s, d).select("doc_id", F.col("x_start").alias("x0"), F.col("y_start").alias("y0"), "text")
+    return tables.row_groups(c).select("doc_id", "row_index", "col_index", "text")
+
+
+@query("real_tables", f"WITH {D2}, dr AS (SELECT doc_id, page_no, x0 + k * 30 AS cx, y0 + (table_id % 3) * 20 AS cy FROM t, (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT doc_id, table_id FROM t JOIN dr USING (doc_id, page_no) WHERE cx BETWEEN x0 - 5 AND x1 + 5 AND cy BETWEEN y0 - 5 AND y1 + 5 GROUP BY ALL HAVING count(*) >= 3")
+def real_tables(s, d):
+    t = layout.layout_tables(s, d)
+    strokes = t.select("doc_id", "page_no", F.lit("s").alias("type"), F.explode(F.array(*[F.lit(30.0 * k) for k in range(4)])).alias("k"), "x0", "y0", "table_id")
+    cy = F.col("y0") + (F.col("table_id") % 3) * 20
+    strokes = strokes.select("doc_id", "page_no", "type", (F.col("x0") + F.col("k") - 8).alias("x0"), cy.alias("y0"), (F.col("x0") + F.col("k") + 8).alias("x1"), cy.alias("y1"))
+    return tables.real_tables(t, strokes).select("doc_id", "table_id")
+
+
+@query("text_follows", f"WITH {D1}, tb AS (SELECT DISTINCT doc_id, page_no AS table_id, page_no, 200.0 + page_no % 500 AS y0, 230.0 + page_no % 500 AS y1 FROM l), nx AS (SELECT *, lead(page_no) OVER w AS next_page, lead(y0) OVER w AS next_y0 FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY table_id)) SELECT doc_id, table_id, (762 - y1 > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = nx.doc_id AND l.page_no = nx.page_no AND l.y0 < 762 AND l.y1 > nx.y1)) OR coalesce(next_y0 - 80 > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = nx.doc_id AND l.page_no = next_page AND l.y0 < next_y0 AND l.y1 > 80), false) AS text_between FROM nx")
+def text_follows(s, d):
+    lines = layout.layout_lines(s, d)
+    t = lines.select("doc_id", "page_no").distinct().select("doc_id", F.col("page_no").alias("table_id"), "page_no", (200.0 + F.col("page_no") % 500).alias("y0"), (230.0 + F.col("page_no") % 500).alias("y1"))
+    return tables.text_follows(t, lines).select("doc_id", "table_id", "text_between")
+
+
+@query("page_structure", f"WITH {D7}, tb AS (SELECT DISTINCT doc_id, page_no FROM i WHERE page_no % 3 > 0) SELECT i.doc_id, i.page_no, has_image, tb.doc_id IS NOT NULL AS has_table, round(length(coalesce(text, '')) / (595.0 * 842.0), 6) AS density, CASE WHEN tb.doc_id IS NOT NULL AND has_image THEN 'mixed' WHEN tb.doc_id IS NOT NULL THEN 'table' WHEN has_image THEN 'image' ELSE 'text' END AS kind FROM i LEFT JOIN tb ON tb.doc_id = i.doc_id AND tb.page_no = i.page_no")
+def page_structure(s, d):
+    return merge.page_structure(_typed(s, d), layout.page_tables(s, d))
+
+
+@query("page_lists", f"WITH {D7} SELECT doc_id, bool_or(page_no % 3 > 0) AS has_tables, bool_or(has_image) AS has_images, array_to_string(list(page_no ORDER BY page_no) FILTER (page_no % 3 > 0), ',') AS table_pages, array_to_string(list(page_no ORDER BY page_no) FILTER (has_image), ',') AS image_pages FROM i GROUP BY 1")
+def page_lists(s, d):
+    text_of = lambda c: F.nullif(F.array_join(F.transform(c, lambda p: p.cast("string")), ","), F.lit("")).alias(c)
+    return merge.page_lists(merge.page_structure(_typed(s, d), layout.page_tables(s, d))).select("doc_id", "has_tables", "has_images", text_of("table_pages"), text_of("image_pages"))
+
+
+@query("tables_by_page", f"WITH {D2S} SELECT doc_id, start_page AS page_no, string_agg(CAST(table_id AS VARCHAR), ',' ORDER BY y0, table_id) AS table_ids FROM s GROUP BY ALL")
+def tables_by_page(s, d):
+    t = tables.chain_summary(tables.chains(layout.layout_tables(s, d)))
+    return assemble.tables_by_page(t).select("doc_id", "page_no", F.array_join(F.transform("table_ids", lambda i: i.cast("string")), ",").alias("table_ids"))
 
 
 D3 = "im AS (SELECT p_brand AS doc_id, p_partkey AS img_no, CAST(4 + p_size * 25 AS INT) AS width, CAST(10 + (p_partkey % 40) * 25 AS INT) AS height, (p_partkey % 100) / 100.0::DOUBLE AS red_ratio, CAST(1 + p_partkey % 12 AS INT) AS page_no FROM part), np AS (SELECT doc_id, max(page_no) AS pages FROM im GROUP BY 1)"
@@ -328,6 +482,29 @@ def stamp_candidates(s, d):
     return img.stamp_candidates(layout.images(s, d)).select("doc_id", "img_no")
 
 
+@query("non_stamps", f"WITH {D3} SELECT doc_id, img_no FROM im WHERE NOT (least(width, height) >= 30 AND greatest(width, height) <= 1000 AND width / height BETWEEN 0.7 AND 1.5 AND red_ratio >= 0.8)")
+def non_stamps(s, d):
+    return img.non_stamps(layout.images(s, d)).select("doc_id", "img_no")
+
+
+@query("size_histogram", f"WITH {D3} SELECT doc_id, width, height, count(*) AS n FROM im GROUP BY ALL")
+def size_histogram(s, d):
+    return img.size_histogram(layout.images(s, d))
+
+
+@query("red_ratio", f"WITH {D3}, px AS (SELECT doc_id, img_no, (img_no * 7 + k * 31) % 256 AS r, (img_no * 3 + k * 17) % 256 AS g, (img_no + k * 13) % 256 AS b FROM im, (SELECT unnest(range(16)) AS k)), v AS (SELECT doc_id, img_no, NOT (r > 240 AND g > 240 AND b > 240) AND NOT (r < 60 AND g < 60 AND b < 60) AS ok, (r > g AND r > b AND r >= 100) OR (r > g + 20 AND r > b + 20 AND r >= 80) OR (r >= 150 AND g < 200 AND b < 200 AND r > g AND r > b) OR (r >= 180 AND r - g > 10 AND r - b > 10) AS red FROM px) SELECT doc_id, img_no, CASE WHEN count(*) FILTER (ok) = 0 THEN 0.0 ELSE round(count(*) FILTER (ok AND red) / count(*) FILTER (ok), 6) END::DOUBLE AS red_ratio FROM v GROUP BY ALL")
+def red_ratio(s, d):
+    at = lambda i, k: ((F.col("img_no") * i + F.col("k") * k) % 256)
+    px = layout.images(s, d).select("doc_id", "img_no", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    return img.red_ratio(px.select("doc_id", "img_no", at(7, 31).alias("r"), at(3, 17).alias("g"), at(1, 13).alias("b"))).withColumn("red_ratio", F.round("red_ratio", 6))
+
+
+@query("images_with_rendered", f"WITH {KEPT}, pp AS (SELECT doc_id, page_no, CASE WHEN page_no % 4 = 0 THEN 'x' ELSE ' ' END AS text FROM np, (SELECT unnest(range(1, 16)) AS page_no)) SELECT doc_id, CAST(page_no AS INT) AS page_no, CAST(img_no AS BIGINT) AS img_no, false AS is_rendered FROM ki UNION ALL SELECT doc_id, CAST(page_no AS INT), 0, true FROM pp WHERE trim(text) = '' AND NOT EXISTS (SELECT 1 FROM ki WHERE ki.doc_id = pp.doc_id AND ki.page_no = pp.page_no)")
+def images_with_rendered(s, d):
+    pages = layout.images(s, d).select("doc_id").distinct().withColumn("page_no", F.explode(F.sequence(F.lit(1), F.lit(15)))).withColumn("text", F.when(F.col("page_no") % 4 == 0, "x").otherwise(" "))
+    return img.with_rendered(_kept(s, d), pages)
+
+
 def _vectors(s, d):
     return layout.table(s, d, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("ord"), F.col("embedding").alias("v"))
 
@@ -353,18 +530,48 @@ def stamp_representatives(s, d):
     return img.representatives(stamp_groups(s, d))
 
 
+@query("stamp_statistics", f"WITH RECURSIVE {GROUPS} SELECT doc_id, count(*) AS candidates, count(DISTINCT grp) AS unique, count(*) - count(DISTINCT grp) AS duplicated, CAST(0 AS BIGINT) AS non_stamps FROM gr GROUP BY 1")
+def stamp_statistics(s, d):
+    return img.stamp_statistics(_vectors(s, d), stamp_groups(s, d))
+
+
 @query("escape_html_text", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '<br>', chr(1)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(1), '<br>')) AS escaped_md5 FROM pages")
 def escape_html_text(s, d):
     return layout.table(s, d, "pages").select("page_id", F.md5(txt.escape_html(F.col("html"))).alias("escaped_md5"))
 
 
-@query("text_excluding_tables", f"WITH {D1}, bt AS (SELECT doc_id, page_no, min(y0) + 100 AS y0, min(y0) + 300 AS y1 FROM l GROUP BY ALL) SELECT l.doc_id, l.page_no, string_agg(l.text, chr(10) ORDER BY line_no) FILTER (l.y0 < bt.y0) AS before, string_agg(l.text, chr(10) ORDER BY line_no) FILTER (l.y0 >= bt.y0) AS after FROM l JOIN bt USING (doc_id, page_no) WHERE NOT (l.x0 >= 35 AND l.x1 <= 560 AND l.y0 >= bt.y0 - 5 AND l.y1 <= bt.y1 + 5) GROUP BY ALL")
+TB = """tb AS (SELECT doc_id, page_no, k AS table_id, 40.0 AS x0, k * 200 - 60.0 AS y0, 555.0 AS x1, k * 200 + 40.0 AS y1 FROM p, (SELECT unnest([1, 2]) AS k) WHERE k <= page_no % 3),
+o AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM tb WHERE tb.doc_id = l.doc_id AND tb.page_no = l.page_no AND l.x0 >= tb.x0 - 5 AND l.x1 <= tb.x1 + 5 AND l.y0 >= tb.y0 - 5 AND l.y1 <= tb.y1 + 5))"""
+
+
+@query("text_excluding_tables", f"WITH {D1}, {TB}, tp AS (SELECT doc_id, page_no, min(y0) AS top FROM tb GROUP BY ALL), pl AS (SELECT DISTINCT doc_id, page_no FROM l) SELECT pl.doc_id, pl.page_no, coalesce(string_agg(o.text, chr(10) ORDER BY o.y0, o.line_no) FILTER (o.text IS NOT NULL AND (top IS NULL OR o.y0 < top)), '') AS before, coalesce(string_agg(o.text, chr(10) ORDER BY o.y0, o.line_no) FILTER (o.y0 >= top), '') AS after FROM pl LEFT JOIN o ON o.doc_id = pl.doc_id AND o.page_no = pl.page_no LEFT JOIN tp ON tp.doc_id = pl.doc_id AND tp.page_no = pl.page_no GROUP BY ALL")
 def text_excluding_tables(s, d):
-    lines = layout.layout_lines(s, d)
-    t = lines.groupBy("doc_id", "page_no").agg((F.min("y0") + 100).alias("t_y0"), (F.min("y0") + 300).alias("t_y1")).withColumn("t_x0", F.lit(40.0)).withColumn("t_x1", F.lit(555.0))
-    out = lines.join(t, ["doc_id", "page_no"]).filter(~geo.contains(geo.box("t_"), geo.box()))
-    part = lambda when: F.nullif(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("line_no", "text")))), lambda r: r["text"]), "\n"), F.lit(""))
-    return out.groupBy("doc_id", "page_no").agg(part(F.col("y0") < F.col("t_y0")).alias("before"), part(F.col("y0") >= F.col("t_y0")).alias("after"))
+    return text.text_excluding_tables(layout.layout_lines(s, d), layout.page_tables(s, d))
+
+
+@query("text_between_tables", f"WITH {D1}, {TB}, g AS (SELECT doc_id, page_no, table_id, lag(y1) OVER (PARTITION BY doc_id, page_no ORDER BY y0, table_id) AS gap0, y0 AS gap1 FROM tb) SELECT g.doc_id, g.page_no, g.table_id, string_agg(o.text, chr(10) ORDER BY o.y0, o.line_no) AS text FROM g JOIN o ON o.doc_id = g.doc_id AND o.page_no = g.page_no AND o.y0 > gap0 AND o.y0 < gap1 GROUP BY ALL")
+def text_between_tables(s, d):
+    return text.text_between_tables(layout.layout_lines(s, d), layout.page_tables(s, d))
+
+
+ASSEMBLED = f"""{D1}, {TB}, pi AS (SELECT doc_id, page_no, 1 AS img_no, 300.0 AS y0, 'seen on ' || page_no AS text FROM p WHERE page_no % 4 = 0),
+tt AS (SELECT DISTINCT doc_id, page_no FROM tb), mx AS (SELECT pi.doc_id, pi.page_no FROM pi ANTI JOIN tt ON tt.doc_id = pi.doc_id AND tt.page_no = pi.page_no SEMI JOIN l ON l.doc_id = pi.doc_id AND l.page_no = pi.page_no),
+cl AS (SELECT doc_id, page_no, trim(array_to_string(list_filter(ls, lambda v: NOT {NUM.format('v')}), chr(10)), chr(10) || ' ') AS text FROM p ANTI JOIN tt ON tt.doc_id = p.doc_id AND tt.page_no = p.page_no ANTI JOIN mx ON mx.doc_id = p.doc_id AND mx.page_no = p.page_no),
+it AS (SELECT doc_id, page_no, 0 AS seq, 0.0 AS y, 0 AS kind, 0 AS ord, '第 ' || page_no || ' 页' AS text FROM p
+ UNION ALL SELECT doc_id, page_no, 1, 0.0, 0, 0, text FROM cl WHERE text <> ''
+ UNION ALL SELECT o.doc_id, o.page_no, 1, o.y0, 0, o.line_no, o.text FROM o SEMI JOIN tt ON tt.doc_id = o.doc_id AND tt.page_no = o.page_no WHERE NOT {NUM.format('o.text')}
+ UNION ALL SELECT l.doc_id, l.page_no, 1, l.y0, 0, l.line_no, l.text FROM l SEMI JOIN mx ON mx.doc_id = l.doc_id AND mx.page_no = l.page_no WHERE NOT {NUM.format('l.text')}
+ UNION ALL SELECT doc_id, page_no, 1, y0, 2, table_id, '表格（第' || page_no || '页）' || chr(10) || chr(10) || CASE WHEN table_id = 1 THEN '<table></table>' ELSE '(未能识别)' END FROM tb
+ UNION ALL SELECT pi.doc_id, pi.page_no, CASE WHEN mx.doc_id IS NULL THEN 2 ELSE 1 END, pi.y0, 1, img_no, pi.text FROM pi LEFT JOIN mx ON mx.doc_id = pi.doc_id AND mx.page_no = pi.page_no)"""
+
+
+@query("assemble_document", f"WITH {ASSEMBLED} SELECT doc_id, string_agg(text || chr(10), chr(10) ORDER BY page_no, seq, y, kind, ord, text) AS text FROM it GROUP BY 1")
+def assemble_document(s, d):
+    pages = layout.page_rows(s, d)
+    boxes = layout.page_tables(s, d)
+    shown = boxes.select("doc_id", "table_id", F.col("page_no").alias("start_page"), F.col("page_no").alias("end_page"), "y0", "y1", F.when(F.col("table_id") == 1, "<table></table>").alias("html"))
+    seen = pages.filter("page_no % 4 = 0").select("doc_id", "page_no", F.lit(1).alias("img_no"), F.lit(300.0).alias("y0"), F.concat(F.lit("seen on "), F.col("page_no").cast("string")).alias("text"))
+    return assemble.assembled(pages, layout.layout_lines(s, d), shown, boxes, seen)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

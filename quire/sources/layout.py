@@ -12,9 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page_no, text): a source is a document, a row a page."""
+    """(doc_id, page_no, text): a source is a document, a row a page. Only ids are numbered; texts are joined by id."""
     by = W.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.row_number().over(by).alias("page_no"), "text")
+    docs = table(spark, sf_dir, "documents")
+    numbered = docs.select("doc_id", "source", F.row_number().over(by).alias("page_no")).withColumnRenamed("doc_id", "id")
+    return docs.select(F.col("doc_id").alias("id"), "text").join(numbered, "id").select(F.col("source").alias("doc_id"), "page_no", "text")
 
 
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,23 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ocr_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, page_no, text) pages and (doc_id, page_no, text) OCR: the answers, on the page before."""
+    """(doc_id, page_no, text) pages and (doc_id, page_no, img_no, y0, name, text) OCR: an answer is the text of an image
+    on the page before; above it stands one with the answer's start."""
     c = table(spark, sf_dir, "conversations")
     told = c.filter("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), (F.col("turn") - 1).alias("page_no"), "text")
-    return c.filter("role <> 'assistant'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"), told
+    low = told.select("doc_id", "page_no", F.lit(1).alias("img_no"), F.lit(400.0).alias("y0"), F.lit("low.png").alias("name"), "text")
+    high = told.select("doc_id", "page_no", F.lit(2).alias("img_no"), F.lit(100.0).alias("y0"), F.lit("high.png").alias("name"), F.concat(F.lit("> "), F.substring("text", 1, 12)).alias("text"))
+    return c.filter("role <> 'assistant'").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text"), low.union(high)
+
+
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, table_id, x0, y0, x1, y1): none, one or two tables on each page of page_rows."""
+    p = page_rows(spark, sf_dir).select("doc_id", "page_no", F.explode(F.expr("filter(array(1, 2), k -> k <= page_no % 3)")).alias("table_id"))
+    return p.select("doc_id", "page_no", "table_id", F.lit(40.0).alias("x0"), (F.col("table_id") * 200 - 60.0).alias("y0"), F.lit(555.0).alias("x1"), (F.col("table_id") * 200 + 40.0).alias("y1"))
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """layout_lines with each line in two spans, the first ten characters and the rest; ten lines are a block."""
+    halves = F.array(F.struct(F.lit(0).alias("span_no"), F.substring("text", 1, 10).alias("t")), F.struct(F.lit(1).alias("span_no"), F.expr("substring(text, 11)").alias("t")))
+    e = layout_lines(spark, sf_dir).select("doc_id", "page_no", F.expr("line_no div 10").alias("block_no"), "line_no", "y0", "y1", F.col("x0").alias("left"), F.inline(halves))
+    return e.select("doc_id", "page_no", "block_no", "line_no", "span_no", F.col("t").alias("text"), (F.col("left") + 60 * F.col("span_no")).alias("x0"), "y0", (F.col("left") + 60 * F.col("span_no") + 60).alias("x1"), "y1")

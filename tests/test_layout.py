@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as geo
 from quire.functions import text as txt
-from quire.operators import images, merge, tables
+from quire.operators import assemble, images, markup, merge, rows, tables
 from quire.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -74,8 +74,65 @@ def test_cell_text_whole_has_every_character(spark):
     assert got == want and max(map(len, want.values())) > 1
 
 
-def test_display_columns():
-    assert tables.display_columns([[(1, 2), (2, 1)], [(1, 1), (1, 1)], [(1, 1)]]) == [3, 3, 1]
+def test_display_columns(spark):
+    rows = [[(1, 2), (2, 1)], [(1, 1), (1, 1)], [(1, 1)]]
+    df = spark.createDataFrame([(1, r, c, *span) for r, row in enumerate(rows) for c, span in enumerate(row)], "doc_id int, row_no int, cell_no int, colspan int, rowspan int")
+    assert [r["cols"] for r in tables.display_columns(df).orderBy("row_no").collect()] == [3, 3, 1]
+
+
+def td(text, attrs=""):
+    return f"<td {attrs}>{text}</td>" if attrs else f"<td>{text}</td>"
+
+
+def table_of(*row):
+    return "<table>\n" + "\n".join(f"<tr>{r}</tr>" for r in row) + "\n</table>"
+
+
+TWO, WIDE = 'rowspan="2"', 'colspan="2"'
+
+
+@pytest.mark.parametrize(
+    ("tail", "head", "expected"),
+    [
+        ([td(1) + td("A")], td(2) + td("B"), [td(1) + td("A"), td(2) + td("B")]),
+        ([td(1) + td("A")], td(" ") + td("B"), [td(1) + td("A<br/>B")]),
+        ([td(1) + td("A") + td("x")], td("") + td("A") + td("y"), [td(1, TWO) + td("A") + td("x"), td("A") + td("y")]),
+        ([td("T", WIDE)], td("h"), [td("T<br/>h", WIDE)]),
+        ([td(1) + td("A", WIDE)], td("") + td("b") + td("c"), [td(1, TWO) + td("A", WIDE), td("b") + td("c")]),
+        ([td("G", TWO) + td("a"), td("b")], td("") + td("c"), [td("G", TWO) + td("a"), td("b<br/>c")]),
+        ([td("T")], td("h"), [td("T"), td("h")]),
+    ],
+)
+def test_rows_joined_over_pages(tail, head, expected):
+    got = rows.write_rows(rows.joined_parts([rows.read_rows(table_of(*tail)), rows.read_rows(table_of(head))]))
+    assert got == table_of(*expected)
+
+
+def test_merged_tables(spark):
+    parts = [(1, 1, 1, table_of(td("") + td("B"), td("end")), 2), (1, 1, 0, table_of(td("h") + td("h2"), td(1) + td("A")), 2), (2, 1, 0, None, None)]
+    df = spark.createDataFrame(parts, "doc_id long, island long, part_no int, html string, col_count int")
+    got = {r["doc_id"]: r["html"] for r in rows.merged_tables(df).collect()}
+    assert got == {1: table_of(td("h") + td("h2"), td(1) + td("A<br/>B"), td("end", WIDE)), 2: "<table>\n\n</table>"}
+
+
+def test_html_grid_with_spans(spark):
+    cells = [(0, 0, 0.0, 0.0, 50.0, 40.0, "G"), (0, 1, 50.0, 0.0, 100.0, 20.0, 'a<br>"'), (1, 0, 50.0, 20.0, 100.0, 40.0, None)]
+    df = spark.createDataFrame([(1, *c) for c in cells], "doc_id long, row_index int, col_index int, x_start double, y_start double, x_end double, y_end double, text string")
+    expected = ["<table>", "  <tr>", '    <td rowspan="2">G</td>', "    <td>a<br>&quot;</td>", "  </tr>", "  <tr>", "    <td></td>", "  </tr>", "</table>"]
+    assert markup.html_tables(df).first()["html"].split("\n") == expected
+    shared = spark.createDataFrame([(1, [0.0, 25.0, 50.0, 100.0])], "doc_id long, xs array<double>")
+    assert '<td colspan="2" rowspan="2">G</td>' in markup.html_tables(df, shared).first()["html"]
+    assert markup.html_table([]) == "<table></table>" and "<td></td>" in markup.html_table([[(0, 0, 10, 10, "a"), (30, 0, 40, 10, "b")]])
+
+
+def test_covered_pages_without_text_are_left_out(spark):
+    pages = spark.createDataFrame([("d", 1, "x"), ("d", 2, "cell"), ("d", 3, "y\n3")], "doc_id string, page_no int, text string")
+    lines = spark.createDataFrame([("d", 1, 1, "x", 50.0, 20.0, 60.0, 30.0), ("d", 2, 1, "cell", 50.0, 20.0, 60.0, 30.0), ("d", 3, 1, "y", 50.0, 20.0, 60.0, 30.0)], "doc_id string, page_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    t = spark.createDataFrame([("d", 1, 1, 2, 500.0, 800.0, "<table></table>")], "doc_id string, table_id int, start_page int, end_page int, y0 double, y1 double, html string")
+    parts = spark.createDataFrame([("d", 1, 40.0, 500.0, 500.0, 800.0), ("d", 2, 40.0, 10.0, 500.0, 100.0)], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
+    seen = spark.createDataFrame([("d", 3, 1, 10.0, "seen")], "doc_id string, page_no int, img_no int, y0 double, text string")
+    got = assemble.assembled(pages, lines, t, parts, seen).first()["text"]
+    assert got == "第 1 页\n\nx\n\n表格（第1-2页）\n\n<table></table>\n\n第 3 页\n\nseen\n\ny\n"
 
 
 def test_single_page_drops_every_image(spark):
@@ -90,6 +147,19 @@ def test_cells_of_markup(spark):
 
 def test_merge_of_empty_page(spark):
     pages = spark.createDataFrame([(1, 1, " "), (1, 2, None)], "doc_id int, page_no int, text string")
-    ocr = spark.createDataFrame([(1, 1, "seen")], "doc_id int, page_no int, text string")
-    got = merge.joined(pages, ocr).select("page_no", merge.merged("replace").alias("t")).orderBy("page_no").collect()
-    assert [r["t"] for r in got] == ["[使用图片OCR结果]\nseen", ""]
+    ocr = spark.createDataFrame([(1, 1, 1, 9.0, "b.png", "a seen"), (1, 1, 2, 3.0, "a.png", "z above")], "doc_id int, page_no int, img_no int, y0 double, name string, text string")
+    got = {k: [r["t"] for r in merge.joined(pages, ocr).select("page_no", merge.merged(k).alias("t")).orderBy("page_no").collect()] for k in ("append", "replace", "interleave")}
+    items = "\n[图片: a.png]\nz above\n\n[图片: b.png]\na seen\n"
+    assert got["replace"] == ["==第1页==\n[使用图片OCR结果]\n" + items, "==第2页==\n\n"]
+    assert got["append"] == ["==第1页==\n\n[图片OCR结果]\n" + items, "==第2页==\n"] and got["interleave"] == ["==第1页==\n" + items, "==第2页==\n"]
+
+
+def test_simple_removal_follows_its_parameters(spark):
+    assert one(spark, "a\nb\nc\nd", lambda x: txt.remove_simple(x, header_lines=3)) == "a\nb\nc\nd" and one(spark, "a\nb\nc", lambda x: txt.remove_simple(x, header_lines=1)) == "b\nc"
+
+
+def test_stamps_without_vectors(spark):
+    v = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, None), ("b", 1, None), ("b", 2, None)] + [("c", k, [1.0]) for k in range(9)], "doc_id string, ord int, v array<double>")
+    pairs = spark.createDataFrame([("c", k, k + 1) for k in range(8)], "doc_id string, a int, b int")
+    got = {(r["doc_id"], r["ord"]): r["grp"] for r in images.stamp_groups(v, pairs).collect()}
+    assert got == {("a", 1): 1, ("b", 1): 1, ("b", 2): 2} | {("c", k): 0 for k in range(9)}
