@@ -28,8 +28,9 @@ class Shard:
 class ShardStore:
     """A table of Parquet shards. A manifest lists the shards of a version; it is written aside and renamed to the next
     version's name, which fails if another writer took that name first, so readers see a whole version or the one
-    before. Shards never change; compaction writes new ones, and old ones go once the version without them is
-    committed. The driver handles names and sizes of files only."""
+    before. Shards never change; compaction writes new ones, and the versions before stay readable until vacuum()
+    takes their files. The driver handles names and sizes of files only. The file system must refuse to rename a file
+    onto one that is there, as HDFS and local ones do; on a plain object store a single writer is needed."""
 
     def __init__(self, spark: SparkSession, root: str, target: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.root, self.target, self.fan_in = spark, root.rstrip("/"), target, fan_in
@@ -95,8 +96,18 @@ class ShardStore:
             new = self._write(self.spark.read.parquet(*[s.path for s in old]).coalesce(self._files(old)))
             gone = {s.path for s in old}
             self._commit(version + 1, [s for s in shards if s.path not in gone] + new)
-            for p in gone:
-                self._fs.delete(self._path(p), False)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Takes the files that only versions before the last `keep` hold, and their manifests; how many files went.
+        Readers of those versions must have ended."""
+        last = self.version()
+        first = max(1, last - max(1, keep) + 1)
+        held = {s.path for v in range(first, last + 1) for s in self.shards(v)}
+        names = [v for v in range(1, first) if self._fs.exists(self._path(f"{self.root}/manifest/v{v:09d}.json"))]
+        gone = {s.path for v in names for s in self.shards(v)} - held
+        for v in names:
+            self._fs.delete(self._path(f"{self.root}/manifest/v{v:09d}.json"), False)
+        return sum(self._fs.delete(self._path(p), False) for p in sorted(gone))
 
     def _files(self, shards: list[Shard]) -> int:
         return max(1, math.ceil(sum(s.bytes for s in shards) / self.target))
