@@ -83,8 +83,9 @@ def sampled(df: DataFrame, id_: Column, text: Column, label: Column) -> tuple[li
 
 
 def smoothed(rows: DataFrame, names: list[str], key: str, parent: str | None) -> DataFrame:
-    """(key, log_<key>): log distributions of declared languages by key, drawn towards the parent's by PARENT_ROWS rows,
-    the topmost towards an even one. All by grouped aggregation of all rows."""
+    """(key, <key>_own, <key>_up): numbers of declared languages by key, and the distribution that they are drawn towards,
+    the parent's, itself drawn towards the whole table's, and that towards an even one. All by grouped aggregation of all
+    rows."""
     count = [F.sum(F.when(F.col("declared") == n, 1).otherwise(0)).cast("double") for n in names]
     own = rows.filter(F.col(key).isNotNull()).groupBy(key, *([parent] if parent else [])).agg(F.array(*count).alias("own"))
     even = F.array_repeat(F.lit(1.0 / max(1, len(names))), len(names))
@@ -94,7 +95,7 @@ def smoothed(rows: DataFrame, names: list[str], key: str, parent: str | None) ->
         own = own.join(above, parent, "left")
     own = own.crossJoin(F.broadcast(whole))  # one row
     up = F.coalesce("closer", "up") if parent else F.col("up")
-    return own.groupBy(key).agg(F.first(_draw(F.col("own"), up)).alias(f"log_{key}")).select(key, F.transform(f"log_{key}", lambda p: F.log(p)).alias(f"log_{key}"))
+    return own.groupBy(key).agg(F.first("own").alias(f"{key}_own"), F.first(up).alias(f"{key}_up"))
 
 
 def _draw(own: Column, up: Column) -> Column:
@@ -107,8 +108,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
 
     The posterior of a language is, up to a factor, the product of: the likelihood of the text's byte trigrams, taken
     as ENOUGH trigrams at most; the chance of the declared language, which is right DECLARED_RIGHT of the time; and the
-    prior of the host, a smoothed distribution of the declared languages of all its rows, drawn towards that of its
-    suffix, and that towards the whole table's. The model is fitted on SAMPLE rows with a label (declared, if none is
+    prior of the host, a smoothed distribution of the declared languages of all its other rows, drawn towards that of
+    its suffix, and that towards the whole table's; so a row's own declared language counts once, as evidence. The model is fitted on SAMPLE rows with a label (declared, if none is
     given); counts cover all rows.
 
     accepted: the text has a trigram, the posterior is CONFIDENT or more, and the text is likelier in the language than
@@ -131,7 +132,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     evidence = df.select((nothing if declared is None else declared).alias("declared"), (nothing if host is None else host).alias("host"), (nothing if suffix is None else suffix).alias("suffix"))
     for key, parent, given in (("host", "suffix" if suffix is not None else None, host), ("suffix", None, suffix)):
         if given is None:
-            rows = rows.withColumn(f"log_{key}", F.lit(None).cast("array<double>"))
+            rows = rows.withColumn(f"{key}_own", F.lit(None).cast("array<double>")).withColumn(f"{key}_up", F.lit(None).cast("array<double>"))
             continue
         prior = smoothed(evidence, names, key, parent)
         few = evidence.select(key).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -141,7 +142,9 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     said = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.when(~known, F.lit(0.0)).when(n == F.col("declared"), F.lit(math.log(DECLARED_RIGHT))).otherwise(F.lit(math.log((1 - DECLARED_RIGHT) / max(1, k - 1)))))
     flat = F.array_repeat(F.lit(0.0), k)
     weight = F.least(F.element_at("score", -1), F.lit(float(ENOUGH)))
-    total = F.zip_with(F.zip_with(F.slice("score", 1, k), said, lambda a, b: a * weight + b), F.coalesce("log_host", "log_suffix", flat), lambda a, b: a + b)
+    own = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.coalesce(n == F.col("declared"), F.lit(False)).cast("double"))
+    prior = lambda key: F.transform(_draw(F.zip_with(f"{key}_own", own, lambda n, o: n - o), F.col(f"{key}_up")), lambda p: F.log(p))
+    total = F.zip_with(F.zip_with(F.slice("score", 1, k), said, lambda a, b: a * weight + b), F.coalesce(prior("host"), prior("suffix"), flat), lambda a, b: a + b)
     rows = rows.withColumn("total", total).withColumn("best", F.array_position("total", F.array_max("total")).cast("int"))
     confidence = 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("total")))
     language = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("best"))

@@ -211,11 +211,19 @@ def test_op3_store(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=200_000)
     for k in range(6):
         store.append(docs.filter(F.col("doc_id") % 6 == k))
-    before = store.shards()
+    before, version = store.shards(), store.version()
     store.compact()
+    assert store.read(version).count() == docs.count()  # a reader of an older version goes on
     assert len(store.shards()) < len(before) and sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
     with pytest.raises(RuntimeError):
         store._commit(store.version(), [])
+    assert store.vacuum(keep=1) >= len(before) and store.vacuum(keep=1) == 0 and store.read().count() == docs.count()
+
+
+def test_op3_odd_rows(odd, tmp_path):
+    kept = sharding.compacted(odd, arrivals=3, root=f"file://{tmp_path}/o").read()
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect())) and kept.columns == odd.columns
+    assert sharding.compacted(odd.limit(0), root=f"file://{tmp_path}/e").read().count() == 0
 
 
 def test_op4_round_trip(spark):
@@ -390,6 +398,24 @@ def test_op9_held_out_accuracy(spark, docs, odd):
     assert language.identify(odd.limit(0), "doc_id", "text", F.col("lang"), F.col("source")).count() == 0
 
 
+def test_op9_posterior_equals_brute_force(spark):
+    rows = [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "a"), (3, "the cat and der hund", "de", "a"), (4, "the dog", None, "b"), (5, "", "en", "b"), (6, "die katze", "xx", None), (7, "und", "de", "a"), (8, "the cat", "en", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in language.identify(df, "doc_id", "text", F.col("lang"), F.col("source")).collect()}
+    names, model = language.fit([r[1] for r in rows if r[2]], [r[2] for r in rows if r[2]])
+    draw = lambda own, up: [(c + language.PARENT_ROWS * p) / (sum(own) + language.PARENT_ROWS) for c, p in zip(own, up, strict=True)]
+    whole = draw([sum(r[2] == n for r in rows) for n in names], [1 / len(names)] * len(names))
+    for i, text, lang, source in rows:
+        places = language._places(np.frombuffer(text.encode(), dtype=np.uint8)) if len(text) > 2 else []
+        total = np.array([model[k][places].astype(np.float32).astype(float).mean() * min(len(places), language.ENOUGH) if len(places) else 0.0 for k in range(len(names))])
+        if lang:
+            total += [np.log(language.DECLARED_RIGHT if n == lang else (1 - language.DECLARED_RIGHT) / (len(names) - 1)) for n in names]
+        if source:
+            total += np.log(draw([sum(r[2] == n and r[3] == source for r in rows) - (n == lang) for n in names], whole))
+        p = np.exp(total - total.max())
+        assert got[i]["language"] == names[int(p.argmax())] and abs(got[i]["confidence"] - p.max() / p.sum()) < 1e-5
+
+
 def test_op9_pages(spark):
     got = Counter(r["language"] == r["declared"] for r in language.op9_language_id_pages(spark, SF).collect())
     assert got[True] >= 0.8 * sum(got.values())
