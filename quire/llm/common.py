@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Largest number of bits of an id filter: 8 MB are broadcast at most, whatever the number of ids.
 FILTER_BITS_MAX = 1 << 26
-#: Links (16 bytes each) that are put together in one partition at most.
-FEW = 200_000
+#: Bytes, at 8 a column or array element, of a checkpointed table that is put together in one partition and may be
+#: broadcast at most.
+FEW_BYTES = 8 << 20
 #: Rows and bytes of an Arrow batch that a Python worker is given at once.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
@@ -46,6 +47,20 @@ def cut(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.queryExecution().toRdd(), plan.schema(), False), spark)
 
 
+def few(df: DataFrame, longs: int) -> tuple[DataFrame, DataFrame]:
+    """df, a narrow table of so many longs a row, checkpointed: as it is to be read, and as it is to be joined with.
+
+    Up to FEW_BYTES it is read in one partition, and marked for broadcast where it is joined with, so that steps over
+    it take few tasks and no shuffle; beyond, both are the table with its own partitions. The rows are the same.
+    """
+    df = cut(df)
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    if 8 * longs * df.coalesce(max(1, parts // 16)).count() > FEW_BYTES:
+        return df, df
+    one = df.coalesce(1)
+    return one, F.broadcast(one)
+
+
 def python_ready(spark: SparkSession) -> None:
     """Let Python workers find this package, and bound what one Arrow batch of whole texts takes in them.
 
@@ -64,27 +79,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Distributed: every round hangs each node below its smallest smaller neighbour, halves the paths of that forest
     by joining it with itself until they end at roots, and contracts the edges to those roots, until none is left.
-    Rounds are logarithmic in the number of nodes; only counts reach the driver. Up to FEW links stand in one
-    partition, so that the rounds need no shuffle; the steps are the same. Null ends and self links are ignored.
+    Rounds are logarithmic in the number of nodes; only counts reach the driver. Tables of few links stand in one
+    partition and are joined with by broadcast (few); the steps are the same. Null ends and self links are ignored.
     No edges give no rows.
     """
-    e = cut(edges.dropna().select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct())
-    near = (lambda df: cut(df).coalesce(1)) if e.count() <= FEW else cut
-    e = near(e)
-    labels = near(e.select(F.col("lo").alias("node")).union(e.select(F.col("hi").alias("node"))).distinct().select("node", F.col("node").alias("component")))
+    e, _ = few(edges.dropna().select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct(), 2)
+    ends = e.select(F.explode(F.array("lo", "hi")).alias("node")).distinct()
+    labels, _ = few(ends.select("node", F.col("node").alias("component")), 2)
     while not e.isEmpty():
-        p = near(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")))
+        p, held = few(e.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("up")), 2)
         while True:
-            over = p.select(F.col("node").alias("up"), F.col("up").alias("above"))
-            q = near(p.join(over, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")))
-            p = q.select("node", "up")
-            if q.filter("moved").isEmpty():
+            over = held.select(F.col("node").alias("up"), F.col("up").alias("above"))
+            p, held = few(p.join(over, "up", "left").select("node", F.coalesce("above", "up").alias("up"), F.col("above").isNotNull().alias("moved")), 3)
+            if p.filter("moved").isEmpty():
                 break
-        root = p.select(F.col("node").alias("component"), "up")
-        labels = near(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
-        a, b = (p.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")) for end in ("lo", "hi"))
+        root = held.select(F.col("node").alias("component"), "up")
+        labels, _ = few(labels.join(root, "component", "left").select("node", F.coalesce("up", "component").alias("component")), 2)
+        a, b = (held.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up")) for end in ("lo", "hi"))
         moved = e.join(a, "lo", "left").join(b, "hi", "left").select(F.coalesce("lo_up", "lo").alias("x"), F.coalesce("hi_up", "hi").alias("y"))
-        e = near(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).filter("lo < hi").distinct())
+        e, _ = few(moved.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).filter("lo < hi").distinct(), 2)
     return labels
 
 

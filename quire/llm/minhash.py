@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, likely_in, python_ready, table
+from .common import connected_components, cut, few, likely_in, python_ready, table
 from .shingles import blocks, mix, sets, shingles
 
 #: Slots of a signature, and how many of them make a band: at a similarity of 0.75, two sets share no band once in 190,000.
@@ -132,8 +132,10 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     A member's text is sent once for each pair, a hub's once for GROUP members, so hot hubs are spread over tasks.
     """
     size = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
+    _, size = few(size, 2)
     dealt = pairs.join(size, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("salts")).alias("salt"), "member")
-    wanted = dealt.select(F.col("member").alias("id"), "hub", "salt", "member").union(dealt.select(F.col("hub").alias("id"), "hub", "salt", F.lit(None).cast("long").alias("member")).distinct())
+    both = F.array(F.struct(F.col("member").alias("id"), F.col("member").alias("member")), F.struct(F.col("hub").alias("id"), F.lit(None).cast("long").alias("member")))
+    _, wanted = few(dealt.select("hub", "salt", F.inline(both)).distinct(), 4)
     rows = texts.join(wanted, "id").select("hub", "salt", "member", "text").repartition("hub", "salt")
     return rows.sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first()).mapInArrow(_alike(threshold), "a long, b long")
 
@@ -224,18 +226,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bucket = member.filter("id = rep").select("rep", F.explode("bands").alias("key"))
     shared = bucket.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("far")).filter("hub < far")
     bucket = cut(bucket.join(shared.select("key"), "key", "left_semi").distinct().select("key", "rep"))
-    wanted = cut(bucket.select(F.col("rep").alias("id")).distinct())
+    wanted, held = few(bucket.select(F.col("rep").alias("id")).distinct(), 1)
     least = AGREE * threshold // 75
-    sketches = cut(member.filter("id = rep").join(wanted, "id", "left_semi").select("rep", "size", "sig").distinct())
-    texts = cut(likely_in(docs, "id", wanted).join(wanted, "id", "left_semi").distinct())
+    _, sketches = few(member.filter("id = rep").join(held, "id", "left_semi").select("rep", "size", "sig").distinct(), 3 + SLOTS // 8)
+    texts = cut((docs if held is not wanted else likely_in(docs, "id", wanted)).join(held, "id", "left_semi").distinct())
 
     def likely(pairs: DataFrame) -> DataFrame:
         for end in ("hub", "member"):
             pairs = pairs.join(sketches.select(F.col("rep").alias(end), F.col("size").alias(f"{end}_size"), F.col("sig").alias(f"{end}_sig")), end)
         fits = 100 * F.least("hub_size", "member_size") >= threshold * F.greatest("hub_size", "member_size")
-        return cut(pairs.filter(fits & (agreeing("hub_sig", "member_sig") >= least)).select("hub", "member").distinct())
+        return pairs.filter(fits & (agreeing("hub_sig", "member_sig") >= least)).select("hub", "member").distinct()
 
-    comp = wanted.select(F.col("id").alias("rep"), F.col("id").alias("c"))
+    own, comp = few(wanted.select(F.col("id").alias("rep"), F.col("id").alias("c")), 2)
     tried = key = None
     for step in ("hub", "central", "all"):
         while True:
@@ -252,14 +254,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 pairs = (central_pairs if step == "central" else rare_pairs)(key.join(comp, "rep"), threshold)
             pairs = likely(pairs)
             if tried is not None:
-                swapped = tried.select(F.col("member").alias("hub"), F.col("hub").alias("member"))
-                pairs = pairs.join(tried.union(swapped), ["hub", "member"], "left_anti")
-            tried = pairs if tried is None else tried.union(pairs)
+                pairs = pairs.join(tried, ["hub", "member"], "left_anti")
+            pairs, _ = few(pairs, 2)
+            ways = F.array(F.struct("hub", "member"), F.struct(F.col("member").alias("hub"), F.col("hub").alias("member")))
+            both = pairs.select(F.inline(ways))
+            _, tried = few(both if tried is None else tried.union(both), 2)
             a, b = (comp.select(F.col("rep").alias(end), F.col("c").alias(f"c_{end}")) for end in "ab")
-            new = cut(verified(pairs, texts, threshold).join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")))
+            new, _ = few(verified(pairs, texts, threshold).join(a, "a").join(b, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")), 2)
             if links := new.count():
-                joined = connected_components(new).withColumnRenamed("node", "c")
-                comp = cut(comp.join(joined, "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
+                _, joined = few(connected_components(new).withColumnRenamed("node", "c"), 2)
+                own, comp = few(own.join(joined, "c", "left").select("rep", F.coalesce("component", "c").alias("c")), 2)
             if step != "central" or PAYS * links <= pairs.count():
                 break
     named = member.select("id", "rep").join(comp, "rep", "left").select("id", F.coalesce("c", "rep").alias("component"))
