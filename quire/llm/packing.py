@@ -19,7 +19,7 @@ WINDOW = 1024
 #: Id that ends each document.
 END_ID = 0
 #: Most pieces of text whose ids a Python worker remembers of late, and as many from before (about 200 bytes each).
-REMEMBERED = 100_000
+REMEMBERED = 400_000
 
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts a text only where the tokenizer's own pre-tokenizer cuts it, whatever stands around.
