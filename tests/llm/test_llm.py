@@ -160,6 +160,18 @@ def test_components(spark):
     assert all(got.get(k, k) == v for k, v in expected.items())
 
 
+def test_near_dedup_of_tables_that_are_not_few(spark, monkeypatch):
+    """Shuffled joins, as beyond FEW_BYTES, give the rows of broadcast ones."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:-1], "x"]), " ".join(["y", *words[1:]]), " ".join(words[::-1]), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lambda: sorted(map(tuple, minhash.near_duplicates(df).collect()))
+    broadcast = rows()
+    monkeypatch.setattr(common, "FEW_BYTES", -1)
+    assert rows() == broadcast
+    assert [r[2] for r in broadcast] == [0, 0, 0, 3, 4, 5]
+
+
 def test_op2_equals_brute_force(spark, docs):
     rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs).collect()}
