@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +77,28 @@ def python_ready(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+#: What this Python worker remembers from task to task: the operator that does, and how to forget it.
+_remembers: dict[str, Callable[[], object]] = {}
+
+
+def working_for(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """Called in a Python worker as a task of an operator begins: what other operators remember there is forgotten, and
+    the memory goes back to the system, as the worker would else hold it for as long as it is used again.
+
+    forget, where given, empties what this operator's next tasks would find.
+    """
+    others = [name for name in _remembers if name != operator]
+    for name in others:
+        _remembers.pop(name)()
+    if others:
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+        if trim is not None:
+            trim(0)
+    if forget is not None:
+        _remembers[operator] = forget
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, component): each linked node with the smallest node that it reaches.
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, table
+from .common import python_ready, table, working_for
 from .shingles import blocks
 
 #: The text model is fitted on at most so many labelled rows, those with the least hashes of their ids.
@@ -52,6 +52,7 @@ def scorer(model: np.ndarray):
     def score(text: pd.Series) -> pd.Series:
         import pyarrow as pa
 
+        working_for("language")
         out = []
         for _, offsets, data in blocks(pa.Array.from_pandas(text, type=pa.string())):
             n = np.maximum(np.diff(offsets) - 2, 0)

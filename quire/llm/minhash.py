@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, few, likely_in, python_ready, table
+from .common import connected_components, cut, few, likely_in, python_ready, table, working_for
 from .shingles import blocks, mix, sets, shingles
 
 #: Slots of a signature, and how many of them make a band: at a similarity of 0.75, two sets share no band once in 190,000.
@@ -75,6 +75,7 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import blake2b
 
+    working_for("minhash")
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for i, offsets, data in blocks(texts):
@@ -107,6 +108,7 @@ def _alike(threshold: int):
     """Rows (hub, salt, member, text), dealt by (hub, salt), each group's hub (member null) first -> linked (a, b)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working_for("minhash")
         at, hubs = None, []  # several texts of a hub, where its id repeats
         for batch in batches:
             a, b = [], []
@@ -144,6 +146,7 @@ def _own_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(rep, c, text) -> (row, rep, c, size, hashes); row numbers a text, of which a repeated id can have several."""
     from pyspark import TaskContext
 
+    working_for("minhash")
     row = TaskContext.get().partitionId() << 40
     for batch in batches:
         own = list(sets(batch.column(2)))

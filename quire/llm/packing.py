@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, table
+from .common import python_ready, table, working_for
 
 WINDOW = 1024
 #: Id that ends each document.
@@ -144,6 +144,11 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def forget() -> None:
+    """This Python worker's codecs, with all that they remember."""
+    _codecs.clear()
+
+
 class Packer:
     """Places pieces of up to window tokens, each as it comes, into the open window of the fill level that leaves the
     least sum of squares of the numbers of partly filled windows of each level. Levels are an array of those numbers;
@@ -214,6 +219,7 @@ def _packed(path: str, window: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        working_for("packing", forget)
         sequence = TaskContext.get().partitionId() << 40
         packer, code = Packer(window), codec(path)
         tail: dict[int, tuple] = {}  # what stands open: document's number -> (id, tokens, ids from that place on, place)

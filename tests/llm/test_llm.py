@@ -160,6 +160,17 @@ def test_components(spark):
     assert all(got.get(k, k) == v for k, v in expected.items())
 
 
+def test_workers_forget_what_other_operators_remember(monkeypatch):
+    monkeypatch.setattr(common, "_remembers", {})
+    code = packing.codec(packing.tokenizer_path())
+    common.working_for("packing", packing.forget)
+    common.working_for("packing", packing.forget)
+    assert packing.codec(packing.tokenizer_path()) is code  # the next task of the same operator finds it
+    common.working_for("minhash")
+    assert not packing._codecs and not common._remembers
+    assert packing.codec(packing.tokenizer_path()) is not code
+
+
 def test_near_dedup_of_tables_that_are_not_few(spark, monkeypatch):
     """Shuffled joins, as beyond FEW_BYTES, give the rows of broadcast ones."""
     words = [f"w{i}" for i in range(40)]
