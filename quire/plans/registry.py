@@ -12,6 +12,7 @@ from ..functions import geometry as geo
 from ..functions import text as txt
 from ..operators import assemble, markup, merge, rows, tables, text
 from ..operators import images as img
+from ..sinks import text as files
 from ..sources import layout
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,6 +575,16 @@ def assemble_document(s, d):
     return assemble.assembled(pages, layout.layout_lines(s, d), shown, boxes, seen)
 
 
+@query(
+    "image_result_files",
+    f"""WITH {D5}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, img_no, name, text) AS file_no FROM im WHERE trim(text, chr(10) || chr(13) || chr(9) || ' ') <> '')
+SELECT doc_id, file_no, 'image_' || file_no || '_page_' || page_no || '_' || replace(name, '.png', '') || '.txt' AS name,
+ '图片序号: ' || file_no || chr(10) || '页码: 第' || page_no || '页' || chr(10) || '原始图片: ' || name || chr(10) || repeat('=', 80) || chr(10) || chr(10) || text AS text FROM n""",
+)
+def image_result_files(s, d):
+    return files.image_results(layout.ocr_pages(s, d)[1])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

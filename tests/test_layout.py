@@ -163,3 +163,21 @@ def test_stamps_without_vectors(spark):
     pairs = spark.createDataFrame([("c", k, k + 1) for k in range(8)], "doc_id string, a int, b int")
     got = {(r["doc_id"], r["ord"]): r["grp"] for r in images.stamp_groups(v, pairs).collect()}
     assert got == {("a", 1): 1, ("b", 1): 1, ("b", 2): 2} | {("c", k): 0 for k in range(9)}
+
+
+def test_result_files(spark, tmp_path):
+    from quire.sinks import text as files
+
+    ocr = spark.createDataFrame([(1, 2, 1, "b.c.png", "second\nline"), (1, 1, 2, None, "first"), (1, 1, 1, "x.png", " \n"), (1, 3, 1, ".png", "third"), (2, 1, 1, "a.png", None)], "doc_id int, page_no int, img_no int, name string, text string")
+    made = files.image_results(ocr)
+    got = {r["file_no"]: (r["name"], r["text"]) for r in made.collect()}
+    assert [got[k][0] for k in (1, 2, 3)] == ["image_1_page_1_image_1.txt", "image_2_page_2_b.c.txt", "image_3_page_3_.png.txt"] and len(got) == 3
+    assert got[2][1] == "图片序号: 2\n页码: 第2页\n原始图片: b.c.png\n" + "=" * 80 + "\n\nsecond\nline"
+    files.write_texts(made, str(tmp_path / "out"))
+    back = spark.read.text(str(tmp_path / "out"), wholetext=True)
+    assert {(r["name"], r["value"]) for r in back.collect()} == {(name, t + "\n") for name, t in got.values()}
+    tables = spark.createDataFrame([(1, 3, 2, 4, None, "<table></table>"), (1, 4, 2, 4, 1, None)], "doc_id int, table_id int, page_no int, col_count int, row_count int, html string")
+    rows = files.table_results(tables).collect()
+    assert [r["name"] for r in rows] == ["table_3_page_2.txt"] and rows[0]["text"] == "表格ID: 3\n页码: 第2页\n类型: 单页表格\n列数: 4\n行数: 0\n" + "=" * 80 + "\n\n<table></table>"
+    name = spark.range(1).select(files.final_name(F.lit("a"), F.lit("20240101")).alias("n")).first()["n"]
+    assert name == "a_完整解析含表格_20240101.txt"
