@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import chat, fingerprint, forest, language, lines, minhash, mixing, packing, quality, repair, sharding, url_filter
+from . import chat, fingerprint, forest, language, lines, minhash, mixing, packing, phrases, quality, repair, sharding, url_filter
 
 
 def queries() -> dict[str, Callable]:
@@ -21,10 +21,11 @@ def queries() -> dict[str, Callable]:
         "op9_language_id": language.op9_language_id,
         "op9_language_id_pages": language.op9_language_id_pages,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_phrase_collocations": phrases.op11_phrase_collocations,
         "op12_conversation_repair": repair.op12_conversation_repair,
         "op13_quality_rules": quality.op13_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op10_url_filter": url_filter.OP10_SQL, "op13_quality_rules": quality.OP13_SQL}
+    return {"op3_sharding": sharding.OP3_SQL, "op4_chat_format": chat.OP4_SQL, "op5_mixing": mixing.OP5_SQL, "op10_url_filter": url_filter.OP10_SQL, "op11_phrase_collocations": phrases.OP11_SQL, "op13_quality_rules": quality.OP13_SQL}
