@@ -67,12 +67,17 @@ def split_pages(x: Column) -> Column:
     return F.filter(pairs, lambda p, k: ~F.exists(F.slice(pairs, k + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["page_no"] == p["page_no"]))
 
 
+# What is escaped, in this order, and what is not.
+ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
+BREAK = "<br>"
+
+
 def escape_html(x: Column) -> Column:
-    """& < > and double quotes are escaped; <br> alone is not."""
-    out = F.replace(x, F.lit("<br>"), F.lit("\u0000"))
-    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        out = F.replace(out, F.lit(raw), F.lit(safe))
-    return F.replace(out, F.lit("\u0000"), F.lit("<br>"))
+    """& < > and double quotes are escaped between the line breaks <br>; null is empty."""
+    out = lambda v: F.replace(v, F.lit(ESCAPES[0][0]), F.lit(ESCAPES[0][1]))
+    for raw, safe in ESCAPES[1:]:
+        out = lambda v, before=out, raw=raw, safe=safe: F.replace(before(v), F.lit(raw), F.lit(safe))
+    return F.array_join(F.transform(F.split(F.coalesce(x, F.lit("")), BREAK), lambda v: out(v)), BREAK)
 
 
 def cells_of(row_html: Column) -> Column:

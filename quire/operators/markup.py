@@ -1,102 +1,85 @@
-"""Cell grids written as table markup."""
+"""Cell grids written as table markup, by expressions over a table's rows."""
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
-import pandas as pd
-from pyspark.sql import DataFrame
-
-# What is escaped in a cell, in this order; line breaks stay.
-ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
-BREAK = "<br>"
-
-
-def escaped(text: str) -> str:
-    parts = text.split(BREAK)
-    for raw, safe in ESCAPES:
-        parts = [p.replace(raw, safe) for p in parts]
-    return BREAK.join(parts)
-
-
-def lines_of(values: list[float], gap: float) -> list[float]:
-    """Grid lines of coordinates: one nearer than gap to the last line moves that line to the mean of both."""
-    out: list[float] = []
-    for v in sorted({round(v, 1) for v in values}):
-        if out and v - out[-1] < gap:
-            out[-1] = (out[-1] + v) / 2
-        else:
-            out.append(v)
-    return out
-
-
-def at(lines: list[float], value: float, gap: float) -> int | None:
-    """The nearest line, if nearer than gap."""
-    k = bisect_left(lines, value)
-    best = min((i for i in (k - 1, k) if 0 <= i < len(lines)), key=lambda i: abs(lines[i] - value), default=None)
-    return best if best is not None and abs(lines[best] - value) < gap else None
-
-
-def inside(lines: list[float], low: float, high: float, gap: float) -> int:
-    return sum(low + gap < v < high - gap for v in lines)
-
-
-def html_table(rows: list[list[tuple[float, float, float, float, str]]], shared: list[float] | None = None, gap: float = 2.0) -> str:
-    """Rows of cells (x0, y0, x1, y1, text) -> markup. A cell spans one column more than there are vertical lines inside
-    it, and rows likewise; shared lines, those of a whole run of tables, are used if there are no fewer than its own.
-    Cells that start at no line are left out; places that nothing covers are empty cells."""
-    if not rows:
-        return "<table></table>"
-    cells = [c for r in rows for c in r]
-    xs = lines_of([v for c in cells for v in (c[0], c[2])], gap)
-    ys = lines_of([v for c in cells for v in (c[1], c[3])], gap)
-    if shared and len(shared) >= len(xs):
-        xs = shared
-    taken: list[set[int]] = [set() for _ in rows]  # columns of a row that a cell above covers
-    spans: dict[tuple[int, int], tuple[int, int]] = {}
-    for r, row in enumerate(rows):
-        for k, (x0, y0, x1, y1, _) in enumerate(row):
-            left, right = at(xs, x0, gap), at(xs, x1, gap)
-            if left is None or right is None or right <= left:
-                continue
-            wide, high = 1 + inside(xs, x0, x1, gap), 1 + inside(ys, y0, y1, gap)
-            spans[r, k] = wide, high
-            for below in taken[r + 1 : r + high]:
-                below.update(range(left, left + wide))
-    out = ["<table>"]
-    for r, row in enumerate(rows):
-        out.append("  <tr>")
-        place = 0
-
-        def gaps(upto: int, r: int = r) -> list[str]:
-            return ["    <td></td>" for c in range(place, upto) if c not in taken[r]]
-
-        for k, (x0, _, x1, _, text) in sorted(enumerate(row), key=lambda c: c[1][0]):
-            if (left := at(xs, x0, gap)) is None:
-                continue
-            out += gaps(left)
-            wide, high = spans.get((r, k), (1, 1))
-            attrs = "".join(f' {name}="{n}"' for name, n in (("colspan", wide), ("rowspan", high)) if n > 1)
-            out.append(f"    <td{attrs}>{escaped(text)}</td>")
-            right = at(xs, x1, gap)
-            place = right if right is not None and right > left else left + 1
-        out += gaps(len(xs) - 1)
-        out.append("  </tr>")
-    return "\n".join([*out, "</table>"])
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..functions.geometry import merge_coords
+from ..functions.text import escape_html
+
+GAP = 2.0
+#: Fixed value: a place that no cell covers.
+EMPTY = "    <td></td>"
+
+
+def grid_lines(values: Column, gap: float = GAP) -> Column:
+    """Lines of coordinates rounded to a tenth; near ones are one line (see merge_coords)."""
+    return merge_coords(F.transform(values, lambda v: F.bround(v, 1)), gap)
+
+
+def line_at(lines: Column, value: Column, gap: float = GAP) -> Column:
+    """Number of the nearest line, if nearer than gap, else null; of two as near the first."""
+    near = F.transform(F.filter(lines, lambda v: F.abs(v - value) < gap), lambda v: F.struct(F.abs(v - value).alias("far"), v.alias("line")))
+    return (F.array_position(lines, F.array_min(near)["line"]) - 1).cast("int")
+
+
+def lines_inside(lines: Column, low: Column, high: Column, gap: float = GAP) -> Column:
+    return F.size(F.filter(lines, lambda v: (v > low + gap) & (v < high - gap)))
 
-def html_tables(cells: DataFrame, shared: DataFrame | None = None) -> DataFrame:
-    """(doc_id, row_index, col_index, x_start, y_start, x_end, y_end, text) -> (doc_id, html), a row a table; null text is
-    empty. shared (doc_id, xs): the vertical lines of the run that a table belongs to. A table is written by one task."""
-    columns = ["doc_id", "row_index", "col_index", "x_start", "y_start", "x_end", "y_end", "text"]
-    cells = cells.select(*columns)
-    if shared is not None:
-        cells = cells.join(shared.select("doc_id", "xs"), "doc_id", "left")
 
-    def write(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["row_index", "col_index"], kind="stable")
-        rows = [list(zip(g.x_start, g.y_start, g.x_end, g.y_end, g.text.fillna(""), strict=True)) for _, g in t.groupby("row_index")]
-        xs = t["xs"].iloc[0] if "xs" in t else None
-        return pd.DataFrame({"doc_id": t.doc_id.iloc[:1].tolist(), "html": [html_table(rows, None if xs is None else list(xs))]})
+def _at_lines(c: Column) -> Column:
+    """A cell with the lines that it starts and ends at."""
+    return F.struct(c.alias("c"), line_at(F.col("xs"), c["x_start"]).alias("left"), line_at(F.col("xs"), c["x_end"]).alias("right"))
 
-    return cells.groupBy("doc_id").applyInPandas(write, "doc_id long, html string")
+
+def _spanning(p: Column) -> Column:
+    """A cell with the column after it and its spans, which only cells between two lines have."""
+    c, spans = p["c"], F.coalesce(p["right"] > p["left"], F.lit(False))
+    wide = F.when(spans, 1 + lines_inside(F.col("xs"), c["x_start"], c["x_end"])).otherwise(1)
+    high = F.when(spans, 1 + lines_inside(F.col("ys"), c["y_start"], c["y_end"])).otherwise(1)
+    return F.struct(p["left"].alias("left"), F.when(spans, p["right"]).otherwise(p["left"] + 1).alias("after"), wide.alias("wide"), high.alias("high"), c["text"].alias("text"))
+
+
+def _written(c: Column) -> Column:
+    span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
+    return F.concat(F.lit("    <td"), span("colspan", c["wide"]), span("rowspan", c["high"]), F.lit(">"), escape_html(c["text"]), F.lit("</td>"))
+
+
+def _sequence(low: Column, upto: Column) -> Column:
+    """low, low + 1, ... below upto."""
+    return F.when(low < upto, F.sequence(low, upto - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def html_tables(cells: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+    """(doc_id, row_index, col_index, x_start, y_start, x_end, y_end, text) -> (doc_id, html), a row a table of one page.
+
+    Grid lines are the cells' own edges, or shared (doc_id, xs), those of the run of tables that a table belongs to, if
+    there are no fewer. A cell spans one column more than there are vertical lines inside it, and rows likewise. Cells
+    that start at no line are left out; a place that neither a cell nor a span from above covers is an empty cell. Null
+    text is empty. A page bounds the lines of a table, and so all arrays here; tables are shuffled once.
+    """
+    names = ["row_index", "col_index", "x_start", "y_start", "x_end", "y_end", "text"]
+    dealt = cells.select("doc_id", *names).repartition("doc_id")
+    rows = dealt.groupBy("doc_id", "row_index").agg(F.sort_array(F.collect_list(F.struct("x_start", "col_index", "y_start", "x_end", "y_end", "text"))).alias("cells"))
+    t = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
+    edges = lambda *ends: F.flatten(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: F.array(*[c[e] for e in ends])))))
+    t = t.withColumn("xs", grid_lines(edges("x_start", "x_end"))).withColumn("ys", grid_lines(edges("y_start", "y_end")))
+    if shared is not None:
+        own = shared.select("doc_id", F.col("xs").alias("run_xs"))
+        t = t.join(own, "doc_id", "left").withColumn("xs", F.when(F.size("run_xs") >= F.greatest(F.size("xs"), F.lit(1)), F.col("run_xs")).otherwise(F.col("xs")))
+    placed = F.transform("rows", lambda r: F.transform(F.filter(F.transform(r["cells"], _at_lines), lambda p: p["left"].isNotNull()), _spanning))
+    t = t.select("doc_id", (F.size("xs") - 1).alias("width"), placed.alias("rows"))
+    # places that spans hold in later rows, as row * (width + 1) + column
+    below = lambda c, r: F.flatten(F.transform(_sequence(r + 1, r + c["high"]), lambda k: F.transform(_sequence(c["left"], c["left"] + c["wide"]), lambda j: k * (F.col("width") + 1) + j)))
+    taken = F.flatten(F.transform("rows", lambda row, r: F.flatten(F.transform(F.filter(row, lambda c: c["high"] > 1), lambda c: below(c, r)))))
+    t = t.withColumn("taken", F.array_distinct(taken))
+    gaps = lambda r, low, upto: F.transform(F.filter(_sequence(low, upto), lambda k: ~F.array_contains("taken", r * (F.col("width") + 1) + k)), lambda k: F.lit(EMPTY))
+    ends = lambda row, k: F.coalesce(F.get(row, k)["after"], F.lit(0))
+
+    def written(row: Column, r: Column) -> Column:
+        told = F.flatten(F.transform(row, lambda c, k: F.concat(gaps(r, ends(row, k - 1), c["left"]), F.array(_written(c)))))
+        return F.array_join(F.concat(F.array(F.lit("  <tr>")), told, gaps(r, ends(row, F.size(row) - 1), F.col("width")), F.array(F.lit("  </tr>"))), "\n")
+
+    lines = F.concat(F.array(F.lit("<table>")), F.transform("rows", written), F.array(F.lit("</table>")))
+    return t.select("doc_id", F.array_join(lines, "\n").alias("html"))

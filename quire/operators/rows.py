@@ -7,10 +7,15 @@ span from above holds is changed where it stands.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.python import ready
 
 # What marks rows, cells and spans, and what joins the halves of a cell.
 _ROW = re.compile(r"<tr[^>]*>(.*?)</tr>", re.S | re.I)
@@ -18,6 +23,10 @@ _CELL = re.compile(r"<td([^>]*)>(.*?)</td>", re.S | re.I)
 _SPAN = r"{}\s*=\s*[\"']?(\d+)[\"']?"
 BREAK = "<br/>"
 
+#: Tables that a task gives out at once.
+BATCH = 1_000
+_MERGED = pa.schema([("doc_id", pa.int64()), ("island", pa.int64()), ("html", pa.string())])
+
 
 @dataclass(eq=False)
 class Cell:
@@ -171,11 +180,26 @@ def merged_table(parts: list[str | None], col_count: int | None = None, first: i
 
 def merged_tables(parts: DataFrame) -> DataFrame:
     """(doc_id, island, part_no, html, col_count) -> (doc_id, island, html): the parts of a run of tables as one, which
-    is sequential in the parts of a run and independent between runs. Null markup has no rows."""
-
-    def fold(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("part_no", kind="stable")
-        count = t["col_count"].iloc[0]
-        return pd.DataFrame({"doc_id": t["doc_id"].iloc[:1].tolist(), "island": t["island"].iloc[:1].tolist(), "html": [merged_table([None if pd.isna(h) else h for h in t["html"]], None if pd.isna(count) else int(count))]})
-
-    return parts.select("doc_id", "island", "part_no", "html", "col_count").groupBy("doc_id", "island").applyInPandas(fold, "doc_id long, island long, html string")
+    is sequential in the parts of a run and independent between runs. Null markup has no rows.
+
+    Runs are dealt by their key and stream through the tasks in order, so a batch holds many runs and a task one run's
+    markup at a time."""
+    ready(parts.sparkSession)
+    cols = parts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("island").cast("long").alias("island"), "part_no", "html", F.col("col_count").cast("long").alias("col_count"))
+    dealt = cols.repartition("doc_id", "island").sortWithinPartitions("doc_id", "island", "part_no")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(batch: pa.RecordBatch) -> Iterator[tuple]:
+            return zip(*(batch.column(c).to_pylist() for c in ("doc_id", "island", "html", "col_count")), strict=True)
+
+        done = []
+        for (doc, island), rows in groupby((r for b in batches for r in told(b)), key=lambda r: r[:2]):
+            own = list(rows)
+            done.append({"doc_id": doc, "island": island, "html": merged_table([r[2] for r in own], own[0][3])})
+            if len(done) == BATCH:
+                yield pa.RecordBatch.from_pylist(done, schema=_MERGED)
+                done = []
+        if done:
+            yield pa.RecordBatch.from_pylist(done, schema=_MERGED)
+
+    return dealt.mapInArrow(fold, "doc_id long, island long, html string")

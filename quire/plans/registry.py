@@ -397,15 +397,45 @@ def effective_columns(s, d):
     return g.select("doc_id", "row_index", tables.effective_columns(F.col("ts")).alias("cols"))
 
 
-@query("html_tables", f"WITH {D4}, r AS (SELECT doc_id, row_index, string_agg('    <td>' || text || '</td>', chr(10) ORDER BY col_index) AS tds FROM z GROUP BY ALL) SELECT doc_id, '<table>' || chr(10) || string_agg('  <tr>' || chr(10) || tds || chr(10) || '  </tr>', chr(10) ORDER BY row_index) || chr(10) || '</table>' AS html FROM r GROUP BY 1")
+def _spanned_cells(s, d):
+    """layout.cells with cells over two rows in column 0, over two columns in column 1, gaps in column 2, and texts with
+    what is escaped."""
+    c = layout.cells(s, d)
+    last = c.groupBy("doc_id").agg(F.max("row_index").alias("last"))
+    wide = (F.col("row_index") > 0) & ((F.col("doc_id") + F.col("row_index")) % 4 == 3)
+    c = c.join(last, "doc_id").filter(~((F.col("col_index") == 0) & (F.col("row_index") % 2 == 1)) & ~((F.col("col_index") == 2) & (wide | (F.col("row_index") % 3 == 1))))
+    high = (F.col("col_index") == 0) & (F.col("row_index") < F.col("last"))
+    text = F.concat("text", F.when(F.col("row_index") % 2 == 0, F.lit('<br>&"<')).otherwise(""))
+    return c.select("doc_id", "row_index", "col_index", "x_start", F.when(wide & (F.col("col_index") == 1), F.col("x_end") + 100).otherwise(F.col("x_end")).alias("x_end"), "y_start", F.when(high, F.col("y_end") + 20).otherwise(F.col("y_end")).alias("y_end"), text.alias("text"))
+
+
+_TD = """CASE WHEN col_index = 2 AND row_index % 3 = 1 THEN '    <td></td>' ELSE '    <td' || CASE WHEN col_index = 1 AND row_index > 0 AND (doc_id + row_index) % 4 = 3 THEN ' colspan="2"' WHEN col_index = 0 AND row_index < last THEN ' rowspan="2"' ELSE '' END || '>' || text || CASE WHEN row_index % 2 = 0 THEN '<br>&amp;&quot;&lt;' ELSE '' END || '</td>' END"""
+HTML = f"""{D4}, la AS (SELECT doc_id, max(row_index) AS last FROM z GROUP BY 1),
+r AS (SELECT doc_id, row_index, string_agg({_TD}, chr(10) ORDER BY col_index) AS tds FROM z JOIN la USING (doc_id) WHERE NOT (col_index = 0 AND row_index % 2 = 1) AND NOT (col_index = 2 AND row_index > 0 AND (doc_id + row_index) % 4 = 3) GROUP BY ALL)"""
+
+
+@query("html_tables", f"WITH {HTML} SELECT doc_id, '<table>' || chr(10) || string_agg('  <tr>' || chr(10) || tds || chr(10) || '  </tr>', chr(10) ORDER BY row_index) || chr(10) || '</table>' AS html FROM r GROUP BY 1")
 def html_tables(s, d):
-    return markup.html_tables(layout.cells(s, d))
+    return markup.html_tables(_spanned_cells(s, d))
+
 
+ROWS_CUT = f"""{D4}, v AS (SELECT doc_id // 2 AS island, doc_id % 2 AS part, row_index, col_index, max(row_index) OVER (PARTITION BY doc_id) AS last, text FROM z),
+e AS (SELECT island, part, row_index, col_index, CASE WHEN part = 1 AND row_index = 0 AND col_index = 0 THEN '' WHEN island % 3 = 0 AND col_index = 3 AND ((part = 0 AND row_index = last) OR (part = 1 AND row_index = 0)) THEN 'same' WHEN part = 1 AND row_index = 0 THEN text || ' on' ELSE text END AS text, part = 0 AND row_index = last AS tail, part = 1 AND row_index = 0 AS head FROM v),
+k AS (SELECT e.*, h.text AS more FROM e LEFT JOIN e h ON e.tail AND h.head AND h.island = e.island AND h.col_index = e.col_index),
+w AS (SELECT island, part, row_index, string_agg('<td' || CASE WHEN more IS NOT NULL AND island % 3 = 0 AND col_index = 0 THEN ' rowspan="2"' ELSE '' END || '>' || text || CASE WHEN more <> '' AND island % 3 > 0 THEN '<br/>' || more ELSE '' END || '</td>', '' ORDER BY col_index) AS tds
+ FROM k WHERE NOT (head AND EXISTS (SELECT 1 FROM e t WHERE t.tail AND t.island = k.island) AND (island % 3 > 0 OR col_index = 0)) GROUP BY ALL)"""
 
-@query("cross_page_row_merge", f"WITH {D4}, o AS (SELECT z.*, (SELECT 0) AS zero, doc_id // 2 AS island, doc_id % 2 AS part FROM z), r AS (SELECT island, part, row_index, string_agg('<td>' || text || '</td>', '' ORDER BY col_index) AS tds FROM o GROUP BY ALL) SELECT island AS doc_id, island, '<table>' || chr(10) || string_agg('<tr>' || tds || '</tr>', chr(10) ORDER BY part, row_index) || chr(10) || '</table>' AS html FROM r GROUP BY island")
+
+@query("cross_page_row_merge", f"WITH {ROWS_CUT} SELECT island AS doc_id, island, '<table>' || chr(10) || string_agg('<tr>' || tds || '</tr>', chr(10) ORDER BY part, row_index) || chr(10) || '</table>' AS html FROM w GROUP BY island")
 def cross_page_row_merge(s, d):
-    """Two orders are the parts of a run; their rows have text in every cell, so none is joined."""
-    parts = markup.html_tables(layout.cells(s, d)).select(F.expr("doc_id div 2").alias("island"), (F.col("doc_id") % 2).alias("part_no"), F.regexp_replace("html", r">\s+<", "><").alias("html"))
+    """Two orders are the parts of a run; the second's first row goes on with the last row of the first: in one of three
+    runs a value stands in both, so only the blank cell before it is joined."""
+    c = layout.cells(s, d)
+    island, head = F.expr("doc_id div 2"), (F.col("doc_id") % 2 == 1) & (F.col("row_index") == 0)
+    tail = (F.col("doc_id") % 2 == 0) & (F.col("row_index") == F.col("last"))
+    c = c.join(c.groupBy("doc_id").agg(F.max("row_index").alias("last")), "doc_id")
+    text = F.when(head & (F.col("col_index") == 0), "").when((island % 3 == 0) & (F.col("col_index") == 3) & (head | tail), "same").when(head, F.concat("text", F.lit(" on"))).otherwise(F.col("text"))
+    parts = markup.html_tables(c.withColumn("text", text)).select(island.alias("island"), (F.col("doc_id") % 2).alias("part_no"), F.regexp_replace("html", r">\s+<", "><").alias("html"))
     return rows.merged_tables(parts.select(F.col("island").alias("doc_id"), "island", "part_no", "html", F.lit(4).alias("col_count")))
 
 
@@ -536,7 +566,7 @@ def stamp_statistics(s, d):
     return img.stamp_statistics(_vectors(s, d), stamp_groups(s, d))
 
 
-@query("escape_html_text", "SELECT page_id, md5(replace(replace(replace(replace(replace(replace(html, '<br>', chr(1)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(1), '<br>')) AS escaped_md5 FROM pages")
+@query("escape_html_text", "SELECT page_id, md5(array_to_string(list_transform(string_split(coalesce(html, ''), '<br>'), lambda h: replace(replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')), '<br>')) AS escaped_md5 FROM pages")
 def escape_html_text(s, d):
     return layout.table(s, d, "pages").select("page_id", F.md5(txt.escape_html(F.col("html"))).alias("escaped_md5"))
 

@@ -122,7 +122,7 @@ def test_html_grid_with_spans(spark):
     assert markup.html_tables(df).first()["html"].split("\n") == expected
     shared = spark.createDataFrame([(1, [0.0, 25.0, 50.0, 100.0])], "doc_id long, xs array<double>")
     assert '<td colspan="2" rowspan="2">G</td>' in markup.html_tables(df, shared).first()["html"]
-    assert markup.html_table([]) == "<table></table>" and "<td></td>" in markup.html_table([[(0, 0, 10, 10, "a"), (30, 0, 40, 10, "b")]])
+    assert markup.html_tables(df.limit(0)).collect() == []
 
 
 def test_covered_pages_without_text_are_left_out(spark):
