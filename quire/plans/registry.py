@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as txt
-from ..operators import assemble, markup, merge, rows, tables, text
+from ..operators import assemble, lattice, markup, merge, rows, tables, text
 from ..operators import images as img
 from ..sinks import text as files
 from ..sources import layout
@@ -459,6 +459,55 @@ def real_tables(s, d):
     return tables.real_tables(t, strokes).select("doc_id", "table_id")
 
 
+D8 = """o AS (SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS page_no, o_orderkey AS k, 1 + o_orderkey % 4 AS r, 1 + o_orderkey % 5 AS c, CAST(100 + o_orderkey % 7 AS DOUBLE) AS y, o_orderkey % 3 = 0 AND o_orderkey % 4 > 0 AND o_orderkey % 5 > 0 AS joint FROM orders),
+ro AS (SELECT *, unnest(range(r)) AS i FROM o), li AS (SELECT *, unnest(range(r + 1)) AS i FROM o)"""
+
+
+@query(
+    "rectangles_from_strokes",
+    f"WITH {D8} SELECT doc_id, page_no, 40.0::DOUBLE AS x0, y + 30 * i + CASE WHEN i = 0 AND k % 8 = 1 THEN 1 ELSE 0 END AS y0, CAST(40 + 60 * c AS DOUBLE) AS x1, CASE WHEN k % 2 = 0 THEN y + 30 * r ELSE y + 30 * (i + 1) END AS y1 FROM ro WHERE k % 2 = 1 OR i = 0 UNION ALL SELECT doc_id, page_no, 40, 600, 160, 660 FROM o WHERE k % 6 = 0",
+)
+def rectangles_from_strokes(s, d):
+    return lattice.stroke_boxes(layout.drawings(s, d)).drop("box_no")
+
+
+_BORDERS = f"""{D8}, bl AS (SELECT doc_id, page_no, true AS flat, y + 30 * i + CASE WHEN i % 2 = 1 AND NOT (i = r AND k % 5 = 0) THEN 0.2 ELSE 0 END AS "at", 40.0::DOUBLE AS low, CAST(40 + 60 * c AS DOUBLE) AS high FROM li
+ UNION ALL SELECT doc_id, page_no, false, CAST(40 + 60 * j AS DOUBLE), CASE WHEN joint AND j = 1 THEN y + 30 ELSE y END, CASE WHEN k % 6 = 0 AND j <= 2 THEN 660 ELSE y + 30 * r END FROM (SELECT *, unnest(range(c + 1)) AS j FROM o)
+ UNION ALL SELECT doc_id, page_no, true, CAST(600 + 30 * i AS DOUBLE), 40, 160 FROM (SELECT *, unnest(range(3)) AS i FROM o WHERE k % 6 = 0)
+ UNION ALL SELECT doc_id, page_no, false, 160, 600, 660 FROM o WHERE k % 6 = 0 AND c < 2)"""
+
+
+@query("border_lines", f"WITH {_BORDERS} SELECT doc_id, page_no, flat, round(\"at\", 1) AS \"at\", low, high FROM bl")
+def border_lines(s, d):
+    lines = lattice.border_lines(lattice.segments(layout.drawings(s, d)))
+    return lines.select("doc_id", "page_no", "flat", F.round("at", 1).alias("at"), "low", "high")
+
+
+@query(
+    "grid_from_borders",
+    f"WITH {_BORDERS}, g AS (SELECT doc_id, page_no, flat, CAST(row_number() OVER w - 1 AS INT) AS n, round(\"at\", 1) AS a, lead(round(\"at\", 1)) OVER w AS b FROM bl WINDOW w AS (PARTITION BY doc_id, page_no, flat ORDER BY \"at\")) SELECT y.doc_id, y.page_no, y.n AS row_index, x.n AS col_index, x.a AS x_start, y.a AS y_start, x.b AS x_end, y.b AS y_end FROM g y JOIN g x ON x.doc_id = y.doc_id AND x.page_no = y.page_no AND y.flat AND NOT x.flat WHERE x.b IS NOT NULL AND y.b IS NOT NULL",
+)
+def grid_from_borders(s, d):
+    return lattice.border_grid(lattice.border_lines(lattice.segments(layout.drawings(s, d))))
+
+
+_LATTICE = f"""{D8}, ys AS (SELECT *, y + 30 * i + CASE WHEN i = 0 AND k % 4 = 1 THEN 1.0 / (2 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END) WHEN i % 2 = 1 THEN 0.2 / (1 + CASE WHEN i = r AND k % 5 = 0 THEN 1 ELSE 0 END) ELSE 0 END AS at FROM li),
+ce AS (SELECT a.doc_id, a.page_no, 1 AS table_no, CAST(40 + 60 * j AS DOUBLE) AS x0, a.at AS y0, CAST(40 + 60 * (j + CASE WHEN a.joint AND a.i = 0 AND j = 0 THEN 2 ELSE 1 END) AS DOUBLE) AS x1, b.at AS y1
+  FROM (SELECT *, unnest(range(c)) AS j FROM ys) a JOIN ys b ON b.doc_id = a.doc_id AND b.page_no = a.page_no AND b.i = a.i + 1 WHERE NOT (a.joint AND a.i = 0 AND j = 1) AND a.r * a.c > 1
+ UNION ALL SELECT doc_id, page_no, CASE WHEN r * c > 1 THEN 2 ELSE 1 END, CAST(40 + 60 * j AS DOUBLE), CAST(600 + 30 * i AS DOUBLE), CAST(100 + 60 * j AS DOUBLE), CAST(630 + 30 * i AS DOUBLE) FROM o, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j) WHERE k % 6 = 0)"""
+
+
+@query("lattice_cells", f"WITH {_LATTICE} SELECT doc_id, page_no, table_no, x0, round(y0, 3) AS y0, x1, round(y1, 3) AS y1 FROM ce")
+def lattice_cells(s, d):
+    return lattice.lattice_cells(layout.drawings(s, d)).withColumns({c: F.round(c, 3) for c in ("y0", "y1")})
+
+
+@query("lattice_tables", f"WITH {_LATTICE} SELECT doc_id, page_no, table_no, min(x0) AS x0, round(min(y0), 3) AS y0, max(x1) AS x1, round(max(y1), 3) AS y1, count(DISTINCT y0) AS row_count, count(DISTINCT x0) AS col_count, count(*) AS n_cells FROM ce GROUP BY ALL")
+def lattice_tables(s, d):
+    t = lattice.lattice_tables(lattice.lattice_cells(layout.drawings(s, d)))
+    return t.withColumns({c: F.round(c, 3) for c in ("y0", "y1")})
+
+
 @query("text_follows", f"WITH {D1}, tb AS (SELECT DISTINCT doc_id, page_no AS table_id, page_no, 200.0 + page_no % 500 AS y0, 230.0 + page_no % 500 AS y1 FROM l), nx AS (SELECT *, lead(page_no) OVER w AS next_page, lead(y0) OVER w AS next_y0 FROM tb WINDOW w AS (PARTITION BY doc_id ORDER BY table_id)) SELECT doc_id, table_id, (762 - y1 > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = nx.doc_id AND l.page_no = nx.page_no AND l.y0 < 762 AND l.y1 > nx.y1)) OR coalesce(next_y0 - 80 > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = nx.doc_id AND l.page_no = next_page AND l.y0 < next_y0 AND l.y1 > 80), false) AS text_between FROM nx")
 def text_follows(s, d):
     lines = layout.layout_lines(s, d)

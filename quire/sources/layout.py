@@ -75,3 +75,22 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = F.array(F.struct(F.lit(0).alias("span_no"), F.substring("text", 1, 10).alias("t")), F.struct(F.lit(1).alias("span_no"), F.expr("substring(text, 11)").alias("t")))
     e = layout_lines(spark, sf_dir).select("doc_id", "page_no", F.expr("line_no div 10").alias("block_no"), "line_no", "y0", "y1", F.col("x0").alias("left"), F.inline(halves))
     return e.select("doc_id", "page_no", "block_no", "line_no", "span_no", F.col("t").alias("text"), (F.col("left") + 60 * F.col("span_no")).alias("x0"), "y0", (F.col("left") + 60 * F.col("span_no") + 60).alias("x1"), "y1")
+
+
+def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_no, drawing_no, type, x0, y0, x1, y1, items): on a page for each order a table of up to 4 rows and 5
+    columns, drawn line by line. Every other flat line slopes a little. By the order's number, uprights are whole or a
+    piece a row; the first two cells of the first row are one; the top is drawn twice, one line first or last; a frame is
+    drawn around it; a table of two rows and columns stands below."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn"))
+    o = o.selectExpr("o_custkey doc_id", "cast(rn as int) page_no", "o_orderkey k", "cast(1 + o_orderkey % 4 as int) r", "cast(1 + o_orderkey % 5 as int) c", "cast(100 + o_orderkey % 7 as double) y")
+    o = o.withColumn("joint", F.expr("k % 3 = 0 and r > 1 and c > 1"))
+    flat = "transform(sequence(0, r), i -> named_struct('no', 10 + i, 'op', 'l', 'x0', 40D, 'y0', y + 30 * i, 'x1', 40D + 60 * c, 'y1', y + 30 * i + 0.4D * (i % 2)))"
+    upright = "named_struct('no', 20 + 10 * j + i, 'op', 'l', 'x0', 40D + 60 * j, 'y0', y + 30 * i, 'x1', 40D + 60 * j, 'y1', y + 30 * {})"
+    pieces = f"flatten(transform(sequence(0, c), j -> transform(filter(sequence(0, r - 1), i -> not (joint and j = 1 and i = 0)), i -> {upright.format('(i + 1)')})))"
+    whole = f"transform(sequence(0, c), j -> transform(array(if(joint and j = 1, 1, 0)), i -> {upright.format('r')})[0])"
+    twice = "if(k % 4 = 1, array(named_struct('no', if(k % 8 = 1, 1, 900), 'op', 'l', 'x0', 40D, 'y0', y + 1, 'x1', 40D + 60 * c, 'y1', y + 1)), array())"
+    frame = "if(k % 5 = 0, array(named_struct('no', 901, 'op', 're', 'x0', 40D, 'y0', y, 'x1', 40D + 60 * c, 'y1', y + 30 * r)), array())"
+    second = "if(k % 6 = 0, concat(transform(sequence(0, 2), i -> named_struct('no', 1000 + i, 'op', 'l', 'x0', 40D, 'y0', 600D + 30 * i, 'x1', 160D, 'y1', 600D + 30 * i)), transform(sequence(0, 2), j -> named_struct('no', 1010 + j, 'op', 'l', 'x0', 40D + 60 * j, 'y0', 600D, 'x1', 40D + 60 * j, 'y1', 660D))), array())"
+    e = o.select("doc_id", "page_no", F.expr(f"inline(concat({flat}, if(k % 2 = 0, {whole}, {pieces}), {twice}, {frame}, {second}))"))
+    return e.selectExpr("doc_id", "page_no", "cast(no as bigint) drawing_no", "'s' type", "x0", "y0", "x1", "y1", "array(named_struct('op', op, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1)) items")
