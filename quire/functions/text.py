@@ -34,11 +34,9 @@ def strip_edge_page_numbers(x: Column) -> Column:
 
 
 def clean_text(x: Column, repeated: Column | None = None) -> Column:
-    """Edge page numbers, every other page-number line and lines equal to a repeated header or footer go; stripped."""
-    lines = F.filter(splitlines_py(strip_edge_page_numbers(x)), lambda v: ~is_page_number(v))
-    if repeated is not None:
-        lines = F.filter(lines, lambda v: ~F.array_contains(repeated, v))
-    return trim_py(F.array_join(lines, "\n"))
+    """Page-number lines, at the edges and inside, and lines equal to a repeated header or footer go; stripped."""
+    keep = lambda v: ~is_page_number(v) if repeated is None else ~is_page_number(v) & ~F.array_contains(repeated, v)
+    return trim_py(F.array_join(F.filter(F.split(x, LINE_ENDS), keep), "\n"))
 
 
 def remove_simple(x: Column, header_lines: int = 2, longest_number: int = 4) -> Column:

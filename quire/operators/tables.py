@@ -173,6 +173,17 @@ def text_follows(tables: DataFrame, lines: DataFrame, height: float = 842.0, mar
     return tables.join(hit, ["doc_id", "table_id"], "left").withColumn("text_between", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def cross_page_pairs(tables: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, table_id): tables that go on from the one before in their document's list, with no text between the two
+    (see follows, text_follows). Which places can go on is told first, as it takes no text."""
+    by = W.partitionBy("doc_id").orderBy("table_id")
+    near = tables.withColumn("text_between", F.lit(False)).withColumn("near", follows())
+    near = near.withColumn("near", F.col("near") | F.coalesce(F.lead("near").over(by), F.lit(False)))
+    told = text_follows(near.filter("near").drop("text_between", "near"), lines).select("doc_id", "table_id", "text_between")
+    all_ = tables.join(told, ["doc_id", "table_id"], "left").withColumn("text_between", F.coalesce("text_between", F.lit(True)))
+    return all_.withColumn("go", follows()).filter("go").select("doc_id", "table_id")
+
+
 def chars_in_tables(chars: DataFrame, cells: DataFrame) -> DataFrame:
     """Characters (doc_id, box) that lie whole in the box of their table's cells and a margin around it, a tenth of the
     lowest cell's height but 0.5 at least and 2 at most."""

@@ -318,26 +318,6 @@ def column_vote(s, d):
     return tables.column_vote(m)
 
 
-def _chars(s, d):
-    """One character near the middle of every cell, and one on its right edge."""
-    c = layout.cells(s, d)
-    at = F.explode(F.array(F.lit(40.0), F.lit(97.0)))
-    return c.withColumn("dx", at).select("doc_id", (F.col("row_index") * 100 + F.col("col_index") * 10 + F.when(F.col("dx") > 50, 1).otherwise(0)).alias("char_no"), F.substring("text", 1, 1).alias("c"), (F.col("x_start") + F.col("dx")).alias("x0"), (F.col("y_start") + 5.0).alias("y0"), (F.col("x_start") + F.col("dx") + 6).alias("x1"), (F.col("y_start") + 15.0).alias("y1"))
-
-
-CHARS = f"{D4}, ch AS (SELECT doc_id, row_index * 100 + col_index * 10 + CASE WHEN dx > 50 THEN 1 ELSE 0 END AS char_no, text[1:1] AS c, x_start + dx AS x0, y_start + 5 AS y0, x_start + dx + 6 AS x1, y_start + 15 AS y1 FROM z, (SELECT unnest([40.0, 97.0])::DOUBLE AS dx))"
-
-
-@query("char_to_cell", f"WITH {CHARS}, near AS (SELECT ch.*, z.row_index, z.col_index, CASE WHEN x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start THEN 0 ELSE 1 END AS prio FROM ch JOIN z USING (doc_id) WHERE (x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start) OR ((x0 + x1) / 2 BETWEEN x_start AND x_end AND (y0 + y1) / 2 BETWEEN y_start AND y_end)) SELECT doc_id, char_no, c, row_index, col_index FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, char_no ORDER BY prio, row_index, col_index) = 1")
-def char_to_cell(s, d):
-    return tables.char_to_cell(_chars(s, d), layout.cells(s, d)).select("doc_id", "char_no", "c", "row_index", "col_index")
-
-
-@query("cell_text", f"WITH {CHARS}, near AS (SELECT ch.*, z.row_index, z.col_index, CASE WHEN x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start THEN 0 ELSE 1 END AS prio FROM ch JOIN z USING (doc_id) WHERE (x0 < x_end AND x1 > x_start AND y0 < y_end AND y1 > y_start) OR ((x0 + x1) / 2 BETWEEN x_start AND x_end AND (y0 + y1) / 2 BETWEEN y_start AND y_end)), one AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, char_no ORDER BY prio, row_index, col_index) = 1) SELECT doc_id, row_index, col_index, string_agg(c, '' ORDER BY x0, char_no) AS text FROM one GROUP BY ALL")
-def cell_text(s, d):
-    return tables.cell_text(tables.char_to_cell(_chars(s, d), layout.cells(s, d)))
-
-
 def _all_chars(s, d):
     """Every character of every cell with its own box, on two lines whose tops are up to 1.5 apart."""
     c = layout.cells(s, d).select("doc_id", "row_index", "col_index", "x_start", "y_start", F.ceil(F.length("text") / 2).alias("wide"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "c"))
@@ -348,14 +328,14 @@ def _all_chars(s, d):
     return c.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("char_no"), "c", x0.alias("x0"), y0.alias("y0"), (x0 + 60.0 / F.col("wide")).alias("x1"), (y0 + 5).alias("y1"))
 
 
-@query("char_to_cell_whole", f"WITH {D4}, w AS (SELECT doc_id, row_index, col_index, text, unnest(range(1, length(text) + 1)) AS k FROM z) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_index, col_index, k) - 1 AS char_no, text[k:k] AS c, row_index, col_index FROM w")
-def char_to_cell_whole(s, d):
-    return tables.char_to_cell(_all_chars(s, d), layout.cells(s, d)).select("doc_id", "char_no", "c", "row_index", "col_index")
+@query("char_to_cell", f"WITH {D4}, w AS (SELECT doc_id, row_index, col_index, text, unnest(range(1, length(text) + 1)) AS k FROM z) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_index, col_index, k) - 1 AS char_no, text[k:k] AS c, row_index, col_index FROM w")
+def char_to_cell(s, d):
+    return tables.char_to_cell(tables.chars_in_tables(_all_chars(s, d), layout.cells(s, d)), layout.cells(s, d)).select("doc_id", "char_no", "c", "row_index", "col_index")
 
 
-@query("cell_text_whole", f"WITH {D4} SELECT doc_id, row_index, col_index, CASE WHEN length(text) = 1 THEN text ELSE text[:(length(text) + 1) // 2] || '<br>' || text[(length(text) + 1) // 2 + 1:] END AS text FROM z WHERE text <> ''")
-def cell_text_whole(s, d):
-    return tables.cell_text(tables.char_to_cell(_all_chars(s, d), layout.cells(s, d)))
+@query("cell_text", f"WITH {D4} SELECT doc_id, row_index, col_index, CASE WHEN length(text) = 1 THEN text ELSE text[:(length(text) + 1) // 2] || '<br>' || text[(length(text) + 1) // 2 + 1:] END AS text FROM z WHERE text <> ''")
+def cell_text(s, d):
+    return tables.cell_text(tables.char_to_cell(tables.chars_in_tables(_all_chars(s, d), layout.cells(s, d)), layout.cells(s, d)))
 
 
 @query("colspan_rowspan", f"WITH {D4}, xs AS (SELECT doc_id, list(DISTINCT x_start) AS xs, list(DISTINCT y_start) AS ys FROM z GROUP BY 1), w AS (SELECT doc_id, row_index, col_index, x_start, CASE WHEN col_index = 1 THEN x_end + 100 ELSE x_end END AS x_end, y_start, y_end + 20 * (row_index % 2) AS y_end FROM z) SELECT doc_id, row_index, col_index, CAST(1 + len(list_filter(list_distinct([round(x / 100) * 100 for x in xs]), lambda v: v > x_start + 2 AND v < x_end - 2)) AS INT) AS colspan, CAST(1 + len(list_filter(ys, lambda v: v > y_start + 2 AND v < y_end - 2)) AS INT) AS rowspan FROM w JOIN xs USING (doc_id)")
@@ -515,6 +495,24 @@ def text_follows(s, d):
     return tables.text_follows(t, lines).select("doc_id", "table_id", "text_between")
 
 
+TALL = f"""{D1}, tb AS (SELECT DISTINCT doc_id, page_no AS table_id, page_no, 40.0 + 10 * (page_no % 4) AS x0, CASE WHEN page_no % 7 = 0 THEN 300.0 ELSE 85.0 END AS y0, 40.0 + 10 * (page_no % 4) + CASE WHEN page_no % 5 = 0 THEN 440 ELSE 500 END AS x1, CASE WHEN page_no % 3 = 0 THEN 400.0 ELSE 760.0 END AS y1 FROM l),
+ta AS (SELECT t.*, lag(page_no) OVER w AS page_b, lag(x0) OVER w AS x0_b, lag(x1) OVER w AS x1_b, lag(y1) OVER w AS y1_b FROM tb t WINDOW w AS (PARTITION BY doc_id ORDER BY table_id))"""
+
+
+@query(
+    "cross_page_pairs_by_text",
+    f"""WITH {TALL} SELECT doc_id, table_id FROM ta WHERE page_no - page_b = 1 AND abs(x0 - x0_b) <= 20 AND least(x1 - x0, x1_b - x0_b) / greatest(x1 - x0, x1_b - x0_b) >= 0.9
+ AND NOT (762 - y1_b > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = ta.doc_id AND l.page_no = page_b AND l.y0 < 762 AND l.y1 > y1_b)) AND NOT (ta.y0 - 80 > 10 AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = ta.doc_id AND l.page_no = ta.page_no AND l.y0 < ta.y0 AND l.y1 > 80))""",
+)
+def cross_page_pairs_by_text(s, d):
+    """A table on each page; some leave room for text below or above."""
+    lines = layout.layout_lines(s, d)
+    page = F.col("page_no")
+    x0, wide = 40.0 + 10 * (page % 4), F.when(page % 5 == 0, 440.0).otherwise(500.0)
+    t = lines.select("doc_id", "page_no").distinct().select("doc_id", page.alias("table_id"), "page_no", x0.alias("x0"), F.when(page % 7 == 0, 300.0).otherwise(85.0).alias("y0"), (x0 + wide).alias("x1"), F.when(page % 3 == 0, 400.0).otherwise(760.0).alias("y1"))
+    return tables.cross_page_pairs(t, lines)
+
+
 @query("page_structure", f"WITH {D7}, tb AS (SELECT DISTINCT doc_id, page_no FROM i WHERE page_no % 3 > 0) SELECT i.doc_id, i.page_no, has_image, tb.doc_id IS NOT NULL AS has_table, round(length(coalesce(text, '')) / (595.0 * 842.0), 6) AS density, CASE WHEN tb.doc_id IS NOT NULL AND has_image THEN 'mixed' WHEN tb.doc_id IS NOT NULL THEN 'table' WHEN has_image THEN 'image' ELSE 'text' END AS kind FROM i LEFT JOIN tb ON tb.doc_id = i.doc_id AND tb.page_no = i.page_no")
 def page_structure(s, d):
     return merge.page_structure(_typed(s, d), layout.page_tables(s, d))
@@ -634,24 +632,37 @@ def text_between_tables(s, d):
     return text.text_between_tables(layout.layout_lines(s, d), layout.page_tables(s, d))
 
 
-ASSEMBLED = f"""{D1}, {TB}, pi AS (SELECT doc_id, page_no, 1 AS img_no, 300.0 AS y0, 'seen on ' || page_no AS text FROM p WHERE page_no % 4 = 0),
-tt AS (SELECT DISTINCT doc_id, page_no FROM tb), mx AS (SELECT pi.doc_id, pi.page_no FROM pi ANTI JOIN tt ON tt.doc_id = pi.doc_id AND tt.page_no = pi.page_no SEMI JOIN l ON l.doc_id = pi.doc_id AND l.page_no = pi.page_no),
-cl AS (SELECT doc_id, page_no, trim(array_to_string(list_filter(ls, lambda v: NOT {NUM.format('v')}), chr(10)), chr(10) || ' ') AS text FROM p ANTI JOIN tt ON tt.doc_id = p.doc_id AND tt.page_no = p.page_no ANTI JOIN mx ON mx.doc_id = p.doc_id AND mx.page_no = p.page_no),
-it AS (SELECT doc_id, page_no, 0 AS seq, 0.0 AS y, 0 AS kind, 0 AS ord, '第 ' || page_no || ' 页' AS text FROM p
- UNION ALL SELECT doc_id, page_no, 1, 0.0, 0, 0, text FROM cl WHERE text <> ''
- UNION ALL SELECT o.doc_id, o.page_no, 1, o.y0, 0, o.line_no, o.text FROM o SEMI JOIN tt ON tt.doc_id = o.doc_id AND tt.page_no = o.page_no WHERE NOT {NUM.format('o.text')}
- UNION ALL SELECT l.doc_id, l.page_no, 1, l.y0, 0, l.line_no, l.text FROM l SEMI JOIN mx ON mx.doc_id = l.doc_id AND mx.page_no = l.page_no WHERE NOT {NUM.format('l.text')}
- UNION ALL SELECT doc_id, page_no, 1, y0, 2, table_id, '表格（第' || page_no || '页）' || chr(10) || chr(10) || CASE WHEN table_id = 1 THEN '<table></table>' ELSE '(未能识别)' END FROM tb
- UNION ALL SELECT pi.doc_id, pi.page_no, CASE WHEN mx.doc_id IS NULL THEN 2 ELSE 1 END, pi.y0, 1, img_no, pi.text FROM pi LEFT JOIN mx ON mx.doc_id = pi.doc_id AND mx.page_no = pi.page_no)"""
-
-
-@query("assemble_document", f"WITH {ASSEMBLED} SELECT doc_id, string_agg(text || chr(10), chr(10) ORDER BY page_no, seq, y, kind, ord, text) AS text FROM it GROUP BY 1")
+CLEAN = f"array_to_string(list_filter({{0}}, lambda v: NOT {NUM.format('v')} AND NOT list_contains(known, v)), chr(10))"
+ASSEMBLED = f"""{D1}, tb AS (SELECT doc_id, page_no, k, page_no * 10 + k AS id, k * 200 - 60.0 AS y0, k * 200 + 40.0 AS y1, page_no + CASE WHEN k = 1 AND page_no % 12 = 4 THEN 1 WHEN k = 1 AND page_no % 12 = 7 THEN 2 ELSE 0 END AS upto FROM p, (SELECT unnest([1, 2]) AS k) WHERE k <= page_no % 3),
+cv AS (SELECT doc_id, id, unnest(range(page_no + 1, upto + 1)) AS page_no FROM tb), co AS (SELECT doc_id, page_no, max(id) AS cover FROM cv GROUP BY ALL),
+sl AS (SELECT doc_id, page_no, y0, 0 AS part, id, y1, k, upto FROM tb UNION ALL SELECT doc_id, page_no, 600.0, 1, cover, 700.0, 0, 0 FROM co),
+so AS (SELECT *, row_number() OVER w AS n, lag(y1) OVER w AS prev, count(*) OVER (PARTITION BY doc_id, page_no) AS slots, min(y0) OVER (PARTITION BY doc_id, page_no) AS top, max(part) OVER (PARTITION BY doc_id, page_no) = 1 AS covered, min(part) OVER (PARTITION BY doc_id, page_no) = 0 AS tabled FROM sl WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, part, id)),
+pg AS (SELECT DISTINCT doc_id, page_no, slots, top, covered, tabled FROM so),
+o AS (SELECT l.* FROM l WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.doc_id = l.doc_id AND sl.page_no = l.page_no AND l.x0 >= 35 AND l.x1 <= 560 AND l.y0 >= sl.y0 - 5 AND l.y1 <= sl.y1 + 5)),
+kn AS (SELECT doc_id, list(DISTINCT text) AS known FROM c GROUP BY 1), nw AS (SELECT DISTINCT doc_id, [] AS none FROM p),
+f AS (SELECT p.doc_id, p.page_no, p.ls, coalesce(slots, 0) AS slots, top, coalesce(covered, false) AS covered, coalesce(tabled, false) AS tabled, p.page_no % 4 = 0 AS pictured, coalesce(known, []) AS known, EXISTS (SELECT 1 FROM o WHERE o.doc_id = p.doc_id AND o.page_no = p.page_no) AS told FROM p LEFT JOIN pg ON pg.doc_id = p.doc_id AND pg.page_no = p.page_no LEFT JOIN kn ON kn.doc_id = p.doc_id),
+tx AS (SELECT o.doc_id, o.page_no, CASE WHEN y0 < top THEN 0 ELSE 1 END AS n, list(text ORDER BY y0, line_no) AS ls FROM o JOIN f USING (doc_id, page_no) WHERE slots > 0 AND NOT (pictured AND NOT tabled) AND (slots = 1 OR y0 < top) GROUP BY ALL
+ UNION ALL SELECT o.doc_id, o.page_no, so.n - 1, list(o.text ORDER BY o.y0, line_no) FROM o JOIN so ON so.doc_id = o.doc_id AND so.page_no = o.page_no AND so.n > 1 AND o.y0 > prev AND o.y0 < so.y0 WHERE so.tabled GROUP BY ALL
+ UNION ALL SELECT o.doc_id, o.page_no, slots, list(o.text ORDER BY o.y0, line_no) FROM o JOIN so ON so.doc_id = o.doc_id AND so.page_no = o.page_no AND so.n = slots AND slots > 1 AND o.y0 > so.y1 WHERE so.tabled GROUP BY ALL),
+it AS (SELECT doc_id, page_no, -1 AS seq, 0.0 AS y, 0 AS ord, '第 ' || page_no || ' 页' AS text FROM f
+ UNION ALL SELECT doc_id, page_no, 0, 0.0, 0, trim({CLEAN.format('ls')}, chr(10) || ' ') FROM f WHERE slots = 0 AND NOT (pictured AND told)
+ UNION ALL SELECT tx.doc_id, tx.page_no, 2 * tx.n, 0.0, 0, trim({CLEAN.format('tx.ls')}, chr(10) || ' ') FROM tx JOIN f USING (doc_id, page_no)
+ UNION ALL SELECT o.doc_id, o.page_no, 0, o.y0, o.line_no, trim({CLEAN.format('[o.text]')}, chr(10) || ' ') FROM o JOIN f USING (doc_id, page_no) WHERE pictured AND NOT tabled
+ UNION ALL SELECT doc_id, page_no, 2 * n - 1, 0.0, 0, '表格（第' || page_no || CASE WHEN upto > page_no THEN '-' || upto ELSE '' END || '页）' || chr(10) || chr(10) || CASE WHEN k = 1 THEN '<table></table>' ELSE '(未能识别)' END FROM so WHERE part = 0
+ UNION ALL SELECT doc_id, page_no, CASE WHEN told AND NOT tabled THEN 0 ELSE 1000 END, 300.0, 1000000, 'seen on ' || page_no FROM f WHERE pictured),
+ok AS (SELECT * FROM it WHERE text <> ''), gone AS (SELECT doc_id, page_no FROM f WHERE covered AND NOT pictured AND NOT EXISTS (SELECT 1 FROM tx JOIN f g USING (doc_id, page_no) WHERE tx.doc_id = f.doc_id AND tx.page_no = f.page_no AND {CLEAN.format('tx.ls')} <> '')),
+ps AS (SELECT doc_id, page_no, string_agg(text || chr(10) || chr(10), '' ORDER BY seq, y, ord) AS text FROM ok ANTI JOIN gone ON gone.doc_id = ok.doc_id AND gone.page_no = ok.page_no GROUP BY ALL)"""
+
+
+@query("assemble_document", f"WITH {ASSEMBLED} SELECT doc_id, string_agg(text, chr(10) ORDER BY page_no) AS text FROM ps GROUP BY 1")
 def assemble_document(s, d):
-    pages = layout.page_rows(s, d)
-    boxes = layout.page_tables(s, d)
-    shown = boxes.select("doc_id", "table_id", F.col("page_no").alias("start_page"), F.col("page_no").alias("end_page"), "y0", "y1", F.when(F.col("table_id") == 1, "<table></table>").alias("html"))
+    """Tables of some pages go on to the next one or two."""
+    pages, lines, boxes = layout.page_rows(s, d), layout.layout_lines(s, d), layout.page_tables(s, d)
+    on = F.when((F.col("table_id") == 1) & (F.col("page_no") % 12 == 4), 1).when((F.col("table_id") == 1) & (F.col("page_no") % 12 == 7), 2).otherwise(0)
+    shown = boxes.select("doc_id", (F.col("page_no") * 10 + F.col("table_id")).alias("table_id"), F.col("page_no").alias("start_page"), (F.col("page_no") + on).alias("end_page"), "x0", "y0", "x1", "y1", F.when(F.col("table_id") == 1, "<table></table>").alias("html"))
+    parts = shown.filter("start_page < end_page").select("doc_id", "table_id", F.explode(F.sequence(F.col("start_page") + 1, F.col("end_page"))).alias("page_no"), F.lit(40.0).alias("x0"), F.lit(600.0).alias("y0"), F.lit(555.0).alias("x1"), F.lit(700.0).alias("y1"))
     seen = pages.filter("page_no % 4 = 0").select("doc_id", "page_no", F.lit(1).alias("img_no"), F.lit(300.0).alias("y0"), F.concat(F.lit("seen on "), F.col("page_no").cast("string")).alias("text"))
-    return assemble.assembled(pages, layout.layout_lines(s, d), shown, boxes, seen)
+    return assemble.assembled(pages, lines, shown, parts, seen, text.common_texts(lines))
 
 
 @query(

@@ -66,11 +66,11 @@ def test_cell_text_has_lines_by_anchor(spark):
     assert {r["col_index"]: r["text"] for r in tables.cell_text(placed).collect()} == {1: "ab<br>c<br>de", 2: "x"}
 
 
-def test_cell_text_whole_has_every_character(spark):
+def test_cell_text_has_every_character(spark):
     from quire.sources import layout
 
     want = {(r["doc_id"], r["row_index"], r["col_index"]): r["text"] for r in layout.cells(spark, SF).collect()}
-    got = {(r["doc_id"], r["row_index"], r["col_index"]): r["text"].replace("<br>", "") for r in registry.queries()["cell_text_whole"](spark, SF).collect()}
+    got = {(r["doc_id"], r["row_index"], r["col_index"]): r["text"].replace("<br>", "") for r in registry.queries()["cell_text"](spark, SF).collect()}
     assert got == want and max(map(len, want.values())) > 1
 
 
@@ -125,14 +125,47 @@ def test_html_grid_with_spans(spark):
     assert markup.html_tables(df.limit(0)).collect() == []
 
 
+def assembled(spark, pages, lines, tables=(), parts=(), seen=(), repeated=None):
+    box = "x0 double, y0 double, x1 double, y1 double"
+    df = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    known = None if repeated is None else df([("d", r) for r in repeated], "doc_id string, text string")
+    lines = [("d", page, no, text, 50.0, float(y), 60.0, float(y) + 8) for no, (page, y, text) in enumerate(lines)]
+    return assemble.assembled(
+        df([("d", *p) for p in pages], "doc_id string, page_no int, text string"), df(lines, f"doc_id string, page_no int, line_no int, text string, {box}"),
+        df([("d", *r) for r in tables], f"doc_id string, table_id int, start_page int, end_page int, {box}, html string"), df([("d", *r) for r in parts], f"doc_id string, table_id int, page_no int, {box}"),
+        df([("d", *r) for r in seen], "doc_id string, page_no int, img_no int, y0 double, text string"), known,
+    ).first()["text"]
+
+
 def test_covered_pages_without_text_are_left_out(spark):
-    pages = spark.createDataFrame([("d", 1, "x"), ("d", 2, "cell"), ("d", 3, "y\n3")], "doc_id string, page_no int, text string")
-    lines = spark.createDataFrame([("d", 1, 1, "x", 50.0, 20.0, 60.0, 30.0), ("d", 2, 1, "cell", 50.0, 20.0, 60.0, 30.0), ("d", 3, 1, "y", 50.0, 20.0, 60.0, 30.0)], "doc_id string, page_no int, line_no int, text string, x0 double, y0 double, x1 double, y1 double")
-    t = spark.createDataFrame([("d", 1, 1, 2, 500.0, 800.0, "<table></table>")], "doc_id string, table_id int, start_page int, end_page int, y0 double, y1 double, html string")
-    parts = spark.createDataFrame([("d", 1, 40.0, 500.0, 500.0, 800.0), ("d", 2, 40.0, 10.0, 500.0, 100.0)], "doc_id string, page_no int, x0 double, y0 double, x1 double, y1 double")
-    seen = spark.createDataFrame([("d", 3, 1, 10.0, "seen")], "doc_id string, page_no int, img_no int, y0 double, text string")
-    got = assemble.assembled(pages, lines, t, parts, seen).first()["text"]
-    assert got == "第 1 页\n\nx\n\n表格（第1-2页）\n\n<table></table>\n\n第 3 页\n\nseen\n\ny\n"
+    tables = [(1, 1, 2, 40.0, 500.0, 500.0, 800.0, "<table></table>")]
+    got = assembled(spark, [(1, "x"), (2, "cell"), (3, "y\n3")], [(1, 20, "x"), (2, 20, "cell"), (3, 20, "y")], tables, [(1, 2, 40.0, 10.0, 500.0, 100.0)], [(3, 1, 10.0, "seen")])
+    assert got == "第 1 页\n\nx\n\n表格（第1-2页）\n\n<table></table>\n\n\n第 3 页\n\nseen\n\ny\n\n"
+
+
+def test_text_around_a_table_is_one_element(spark):
+    table = (1, 1, 1, 40.0, 100.0, 500.0, 200.0, None)
+    lines = [(1, 10, "Head"), (1, 30, "a"), (1, 50, "b"), (1, 150, "cell"), (1, 300, "c"), (1, 320, "12"), (1, 340, "d")]
+    got = assembled(spark, [(1, "all"), (2, "Head\np\n2")], lines, [table], repeated=["Head"])
+    assert got == "第 1 页\n\na\nb\n\n表格（第1页）\n\n(未能识别)\n\nc\nd\n\n\n第 2 页\n\np\n\n"
+
+
+def test_text_between_two_tables_stands_between_them(spark):
+    tables = [(2, 1, 1, 40.0, 300.0, 500.0, 400.0, "<t2>"), (1, 1, 1, 40.0, 100.0, 500.0, 200.0, "<t1>")]
+    lines = [(1, 30, "a"), (1, 210, "b"), (1, 250, "c"), (1, 398, "beside"), (1, 500, "d"), (1, 150, "in")]
+    got = assembled(spark, [(1, None)], lines, tables, seen=[(1, 1, 1.0, "seen"), (1, 2, 0.5, " "), (1, 3, 0.5, "first")])
+    assert got == "第 1 页\n\na\n\n表格（第1页）\n\n<t1>\n\nb\nc\n\n表格（第1页）\n\n<t2>\n\nd\n\nfirst\n\nseen\n\n"
+
+
+def test_a_covered_page_shows_what_is_its_own(spark):
+    # page 2: the run's part above, a table of its own below, text between; page 3: an image only
+    tables = [(1, 1, 3, 40.0, 500.0, 500.0, 800.0, "<run>"), (2, 2, 2, 40.0, 400.0, 500.0, 500.0, "<own>")]
+    parts = [(1, 2, 40.0, 10.0, 500.0, 100.0), (1, 3, 40.0, 10.0, 500.0, 100.0)]
+    lines = [(1, 20, "x"), (2, 20, "cell"), (2, 200, "mid"), (2, 600, "end"), (3, 30, "cell")]
+    got = assembled(spark, [(1, "x"), (2, "p"), (3, "q")], lines, tables, parts, [(3, 1, None, "seen")])
+    assert got == "第 1 页\n\nx\n\n表格（第1-3页）\n\n<run>\n\n\n第 2 页\n\nmid\n\n表格（第2页）\n\n<own>\n\nend\n\n\n第 3 页\n\nseen\n\n"
+    # without text outside tables the page goes, its own table too
+    assert "<own>" not in assembled(spark, [(1, "x"), (2, "p")], lines[:2], tables, parts)
 
 
 def test_single_page_drops_every_image(spark):
