@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as txt
-from ..operators import assemble, lattice, markup, merge, rows, tables, text
+from ..operators import assemble, lattice, markup, merge, row_merge, rows, tables, text
 from ..operators import images as img
 from ..sinks import text as files
 from ..sources import layout
@@ -419,6 +419,35 @@ def cross_page_row_merge(s, d):
     return rows.merged_tables(parts.select(F.col("island").alias("doc_id"), "island", "part_no", "html", F.lit(4).alias("col_count")))
 
 
+CUT = f"""{D4}, ls AS (SELECT doc_id, max(row_index) AS n FROM z GROUP BY 1), ti AS (SELECT doc_id // 2 AS island, list(text ORDER BY col_index) AS t FROM z JOIN ls USING (doc_id) WHERE doc_id % 2 = 0 AND row_index = n GROUP BY ALL),
+hi AS (SELECT doc_id // 2 AS island, list(text || ' on' ORDER BY col_index) AS h FROM z WHERE doc_id % 2 = 1 AND row_index = 0 GROUP BY ALL), cu AS (SELECT *, island % 7 AS v FROM ti JOIN hi USING (island))"""
+_ONE, _TAIL = "'<td rowspan=\"1\">' || {0} || '</td>'", "'<td>' || array_to_string(t[{0}:], '</td><td>') || '</td>'"
+
+
+@query(
+    "cut_rows",
+    f"""WITH {CUT} SELECT island, v > 0 AND v < 6 AS merged, ['another key', 'blank cells', 'blank cells, then a value again', 'single cells', 'blank cells in front', 'goes on below its key', 'a value again'][v + 1] AS rule,
+ '<tr>' || CASE v WHEN 1 THEN {_ONE.format('t[1]')} || {_ONE.format("t[2] || '<br/>' || h[2]")} || {_ONE.format("t[3] || '<br/>' || h[3]")} || {_ONE.format("t[4] || '<br/>' || h[4]")}
+  WHEN 2 THEN {_ONE.format('t[1]')} || {_TAIL.format(2)} WHEN 3 THEN '<td>' || t[1] || '<br/>' || h[1] || '</td>' WHEN 4 THEN {_ONE.format('t[1]')} || {_TAIL.format(2)}
+  WHEN 5 THEN '<td colspan="2">' || t[1] || '</td><td>' || t[2] || h[2] || '</td><td>' || t[3] || '</td><td>' || t[4] || '</td>' ELSE {_TAIL.format(1)} END || '</tr>' AS row,
+ CASE v WHEN 2 THEN '<tr><td>' || h[2] || '</td><td>' || h[3] || '</td><td>' || t[4] || '</td></tr>' WHEN 4 THEN '<tr><td>' || h[2] || '</td><td>' || h[3] || '</td></tr>' END AS next_row FROM cu""",
+)
+def cut_rows(s, d):
+    """An order's last row and the next order's first row, changed in one of seven ways."""
+    c = layout.cells(s, d).select("doc_id", "row_index", "col_index", "text", F.max("row_index").over(W.partitionBy("doc_id")).alias("last"))
+    at = lambda part, when: c.filter(when & (F.col("doc_id") % 2 == part)).groupBy(F.expr("doc_id div 2").alias("island")).agg(F.transform(F.sort_array(F.collect_list(F.struct("col_index", "text"))), lambda v: v["text"]).alias(f"c{part}"))
+    both = at(0, F.col("row_index") == F.col("last")).join(at(1, F.col("row_index") == 0), "island").withColumn("v", F.col("island") % 7)
+    t, h = [F.get("c0", k) for k in range(4)], [F.concat(F.get("c1", k), F.lit(" on")) for k in range(4)]
+    td = lambda x, attrs="": F.concat(F.lit(f"<td{attrs}>"), x, F.lit("</td>"))
+    row = lambda *cells: F.concat(F.lit("<tr>"), *[td(x) for x in cells], F.lit("</tr>"))
+    blank, v = F.lit(" "), F.col("v")
+    tail = F.when(v == 3, row(t[0])).otherwise(row(*t))
+    wide = F.concat(F.lit("<tr>"), td(blank, ' colspan="2"'), td(h[1]), td(blank), td(blank), F.lit("</tr>"))
+    head = F.when(v == 0, row(*h)).when(v == 1, row(blank, *h[1:])).when(v == 2, row(blank, h[1], h[2], t[3])).when(v == 3, row(h[0])).when(v == 4, row(blank, h[1], h[2])).when(v == 5, wide).otherwise(row(t[0], *h[1:]))
+    pairs = both.select("island", tail.alias("tail"), head.alias("head"), F.lit(None).cast("boolean").alias("key"), F.lit(False).alias("next_row_whole"))
+    return row_merge.merged_rows(pairs).select("island", "merged", "rule", "row", "next_row")
+
+
 @query("cell_of_lines", f"WITH {D1} SELECT doc_id, page_no AS box_id, string_agg(sep || text, '' ORDER BY y0, line_no) AS text FROM (SELECT *, CASE WHEN lag(y0) OVER w IS NULL THEN '' WHEN y0 - lag(y0) OVER w > 2 THEN '<br>' ELSE ' ' END AS sep FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, line_no)) GROUP BY ALL")
 def cell_of_lines(s, d):
     return tables.cell_of_lines(layout.layout_lines(s, d).withColumnRenamed("page_no", "box_id"))
