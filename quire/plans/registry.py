@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as txt
-from ..operators import assemble, lattice, markup, merge, row_merge, rows, tables, text
+from ..operators import assemble, lattice, markup, merge, row_merge, rows, spans, tables, text
 from ..operators import images as img
 from ..sinks import text as files
 from ..sources import layout
@@ -448,6 +448,43 @@ def cut_rows(s, d):
     return row_merge.merged_rows(pairs).select("island", "merged", "rule", "row", "next_row")
 
 
+def _span_tables(s, d, first, html="html"):
+    """A table in markup for each order, its rows in order: what `first` makes of a row stands before its other cells."""
+    c = layout.cells(s, d).filter("col_index > 0")
+    r = c.groupBy("doc_id", "row_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_index", "text"))), lambda v: F.concat(F.lit("<td>"), v["text"], F.lit("</td>"))), "").alias("tds"))
+    r = r.withColumn("last", F.max("row_index").over(W.partitionBy("doc_id")))
+    r = r.withColumn("tr", F.concat(F.lit("<tr>"), first, "tds", F.lit("</tr>")))
+    return r.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", "tr"))), lambda v: v["tr"]), "").alias(html), F.max("row_index").alias("row_no"))
+
+
+_EVEN = F.col("row_index") % 2 == 0
+SPAN_ROWS = f"{D4}, sq AS (SELECT doc_id, row_index, string_agg('<td>' || text || '</td>', '' ORDER BY col_index) AS tds FROM z WHERE col_index > 0 GROUP BY ALL), sr AS (SELECT *, max(row_index) OVER (PARTITION BY doc_id) AS last FROM sq)"
+_TABLE = "'<table>' || chr(10) || string_agg('<tr>' || {0} || tds || '</tr>', chr(10) ORDER BY row_index) || chr(10) || '</table>'"
+
+
+@query("covered_cells_dropped", f"WITH {SPAN_ROWS} SELECT doc_id, {_TABLE.format(chr(39).join(['CASE WHEN row_index % 2 = 0 THEN ', '<td rowspan=\"2\">k</td>', ' ELSE ', '', ' END']))} AS html FROM sr GROUP BY 1")
+def covered_cells_dropped(s, d):
+    """Every other row has a cell more, under the span of the row before."""
+    t = _span_tables(s, d, F.when(_EVEN, '<td rowspan="2">k</td>').otherwise("<td>over</td>"))
+    return spans.rewritten(t, spans.without_covered)
+
+
+@query("blank_spans_absorbed", f"WITH {SPAN_ROWS} SELECT doc_id, {_TABLE.format(chr(39).join(['CASE WHEN row_index = 0 THEN ', '<td rowspan=\"', ' || CAST(2 * (last // 2 + 1) AS VARCHAR) || ', '\">k</td>', ' ELSE ', '', ' END']))} AS html FROM sr GROUP BY doc_id")
+def blank_spans_absorbed(s, d):
+    """Every other row begins with a cell over two rows; those after the first are blank."""
+    t = _span_tables(s, d, F.when(F.col("row_index") == 0, '<td rowspan="2">k</td>').when(_EVEN, '<td rowspan="2"> </td>').otherwise(""))
+    return spans.rewritten(t, spans.absorbed)
+
+
+@query(
+    "row_columns",
+    f"WITH {D4}, la AS (SELECT doc_id, max(row_index) AS n FROM z GROUP BY 1) SELECT doc_id, CAST(col_index AS INT) AS col, CASE WHEN col_index = 0 THEN 'k' ELSE text END AS text, CASE WHEN col_index = 0 AND n % 2 = 1 THEN CAST(n - 1 AS INT) END AS start_row, CAST(CASE WHEN col_index = 0 AND n % 2 = 1 THEN 2 ELSE 1 END AS INT) AS high FROM z JOIN la USING (doc_id) WHERE row_index = n",
+)
+def row_columns(s, d):
+    """The columns of each table's last row; every other row begins with a cell over two."""
+    return spans.row_columns(_span_tables(s, d, F.when(_EVEN, '<td rowspan="2">k</td>').otherwise("")))
+
+
 @query("cell_of_lines", f"WITH {D1} SELECT doc_id, page_no AS box_id, string_agg(sep || text, '' ORDER BY y0, line_no) AS text FROM (SELECT *, CASE WHEN lag(y0) OVER w IS NULL THEN '' WHEN y0 - lag(y0) OVER w > 2 THEN '<br>' ELSE ' ' END AS sep FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, line_no)) GROUP BY ALL")
 def cell_of_lines(s, d):
     return tables.cell_of_lines(layout.layout_lines(s, d).withColumnRenamed("page_no", "box_id"))
