@@ -13,7 +13,7 @@ from ..functions import text as txt
 from ..operators import assemble, lattice, markup, merge, row_merge, rows, spans, tables, text
 from ..operators import images as img
 from ..sinks import text as files
-from ..sources import layout
+from ..sources import layout, xlsx
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -741,6 +741,46 @@ def image_result_files(s, d):
     return files.image_results(layout.ocr_pages(s, d)[1])
 
 
+BOOKS = """bo AS (SELECT p_brand || '.xlsx' AS path, p_size, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) - 1 AS INT) AS sheet_no, CAST(row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS INT) AS n, p_partkey, p_name, p_type FROM part)"""
+
+
+@query(
+    "workbook_rows",
+    f"WITH {BOOKS} SELECT path, sheet_no, 'size ' || p_size AS sheet_name, CAST(n + 1 AS INT) AS row_no, p_partkey || '|' || p_name || '|' || p_type AS cells FROM bo UNION ALL SELECT DISTINCT path, sheet_no, 'size ' || p_size, 1, 'key|name|type' FROM bo UNION ALL SELECT path, CAST(max(sheet_no) + 1 AS INT), 'none', 1, 'key' FROM bo GROUP BY 1",
+)
+def workbook_rows(s, d):
+    return xlsx.read_sheets(layout.workbooks(s, d)).filter("row_no > 0").select("path", "sheet_no", "sheet_name", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query(
+    "workbook_sheet_rows",
+    f"WITH {BOOKS} SELECT path, CAST(n + 1 AS INT) AS row_no, p_name AS name FROM bo WHERE p_size = 7",
+)
+def workbook_sheet_rows(s, d):
+    """One sheet of each workbook; the others are not parsed."""
+    return xlsx.read_sheets(layout.workbooks(s, d), ["size 7"]).filter("row_no > 1").select("path", "row_no", F.get("cells", F.lit(1)).alias("name"))
+
+
+@query(
+    "workbook_info",
+    f"WITH {BOOKS} SELECT path, sheet_no, 'size ' || p_size AS sheet_name, CAST(count(*) AS INT) AS n_rows, 3 AS n_columns, 'key,name,type' AS column_names, false AS is_empty FROM bo GROUP BY ALL UNION ALL SELECT path, CAST(max(sheet_no) + 1 AS INT), 'none', 0, 1, 'key', true FROM bo GROUP BY 1",
+)
+def workbook_info(s, d):
+    info = xlsx.sheet_info(xlsx.read_sheets(layout.workbooks(s, d)))
+    return info.withColumn("column_names", F.array_join("column_names", ","))
+
+
+@query(
+    "workbook_text",
+    f"""WITH {BOOKS}, wi AS (SELECT path, sheet_no, p_size, CAST(greatest(3, max(length(CAST(p_partkey AS VARCHAR))) + 1) AS INT) AS a, CAST(greatest(4, max(length(p_name)) + 1) AS INT) AS b, CAST(greatest(4, max(length(p_type)) + 1) AS INT) AS c, CAST(length(CAST(count(*) - 1 AS VARCHAR)) AS INT) AS i FROM bo GROUP BY ALL),
+sh AS (SELECT bo.path, bo.sheet_no, '=== 工作表: size ' || bo.p_size || ' ===' || chr(10) || repeat(' ', i) || ' ' || lpad('key', a, ' ') || ' ' || lpad('name', b, ' ') || ' ' || lpad('type', c, ' ') || chr(10)
+ || string_agg(rpad(CAST(n - 1 AS VARCHAR), i, ' ') || ' ' || lpad(CAST(p_partkey AS VARCHAR), a, ' ') || ' ' || lpad(p_name, b, ' ') || ' ' || lpad(p_type, c, ' '), chr(10) ORDER BY n) || chr(10) AS text FROM bo JOIN wi ON wi.path = bo.path AND wi.sheet_no = bo.sheet_no GROUP BY bo.path, bo.sheet_no, bo.p_size, i, a, b, c)
+SELECT path, string_agg(text, chr(10) ORDER BY sheet_no) || chr(10) || '=== 工作表: none ===' || chr(10) || '(空工作表)' || chr(10) AS text FROM sh GROUP BY 1""",
+)
+def workbook_text(s, d):
+    return xlsx.workbook_text(xlsx.read_sheets(layout.workbooks(s, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

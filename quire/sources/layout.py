@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.python import ready
+from . import xlsx
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -94,3 +98,18 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = "if(k % 6 = 0, concat(transform(sequence(0, 2), i -> named_struct('no', 1000 + i, 'op', 'l', 'x0', 40D, 'y0', 600D + 30 * i, 'x1', 160D, 'y1', 600D + 30 * i)), transform(sequence(0, 2), j -> named_struct('no', 1010 + j, 'op', 'l', 'x0', 40D + 60 * j, 'y0', 600D, 'x1', 40D + 60 * j, 'y1', 660D))), array())"
     e = o.select("doc_id", "page_no", F.expr(f"inline(concat({flat}, if(k % 2 = 0, {whole}, {pieces}), {twice}, {frame}, {second}))"))
     return e.selectExpr("doc_id", "page_no", "cast(no as bigint) drawing_no", "'s' type", "x0", "y0", "x1", "y1", "array(named_struct('op', op, 'x0', x0, 'y0', y0, 'x1', x1, 'y1', y1)) items")
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): a workbook for each brand of part, with a sheet for each size that its parts have, of their keys,
+    names and types, and one without rows."""
+    rows = F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_type")))
+    sheets = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(rows.alias("rows")).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_size", "rows"))).alias("sheets"))
+    ready(spark)
+
+    def write(batches):
+        for b in batches:
+            made = [xlsx.workbook([*((f"size {s['p_size']}", [["key", "name", "type"], *(list(r.values()) for r in s["rows"])]) for s in sheets), ("none", [["key"]])]) for sheets in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return sheets.select(F.concat("p_brand", F.lit(".xlsx")).alias("path"), "sheets").mapInArrow(write, "path string, content binary")
