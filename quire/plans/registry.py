@@ -781,6 +781,57 @@ def workbook_text(s, d):
     return xlsx.workbook_text(xlsx.read_sheets(layout.workbooks(s, d)))
 
 
+def _report_tables(s, d):
+    """The runs of tables of each document, with the ids of their parts; one of three has no markup."""
+    chained = tables.chains(layout.layout_tables(s, d))
+    ids = chained.groupBy("doc_id", "island").agg(F.sort_array(F.collect_list("table_id")).alias("merged_from"))
+    runs = tables.chain_summary(chained).join(ids, ["doc_id", "island"])
+    html = F.when(F.col("table_id") % 3 > 0, F.concat(F.lit("<t"), F.col("table_id").cast("string"), F.lit(">"))).otherwise("")
+    return runs.withColumn("html", html).withColumn("image", F.when(F.col("table_id") % 2 == 0, F.concat(F.lit("t"), F.col("table_id").cast("string"), F.lit(".png"))))
+
+
+_W, _T = "repeat('=', 100) || chr(10)", "repeat('-', 100) || chr(10)"
+
+
+@query(
+    "table_report",
+    f"""WITH {D2S}, me AS (SELECT doc_id, island, '[' || string_agg(CAST(table_id AS VARCHAR), ', ' ORDER BY table_id) || ']' AS ids FROM k GROUP BY ALL)
+SELECT doc_id, {_W} || 'PDF表格识别结果' || chr(10) || {_W} || chr(10) || string_agg('【表格 ' || table_id || '】' || chr(10) || '页码: ' || start_page || CASE WHEN page_count > 1 THEN '-' || end_page ELSE '' END || chr(10)
+ || CASE WHEN page_count > 1 THEN '类型: 跨页表格 (跨' || page_count || '页)' || chr(10) || '合并自: 表格' || ids ELSE '类型: 单页表格' END || chr(10) || '列数: ' || col_count || chr(10) || '行数: ' || row_count || chr(10)
+ || '图片: ' || CASE WHEN table_id % 2 = 0 THEN 't' || table_id || '.png' ELSE '无' END || chr(10) || chr(10) || '识别内容:' || chr(10) || {_T} || CASE WHEN table_id % 3 > 0 THEN '<t' || table_id || '>' ELSE '(识别失败)' END || chr(10) || {_T} || chr(10), '' ORDER BY table_id) AS text FROM s JOIN me USING (doc_id, island) GROUP BY 1""",
+)
+def table_report(s, d):
+    return files.table_reports(_report_tables(s, d))
+
+
+_RULE = "repeat('=', 80) || chr(10) || chr(10)"
+
+
+@query(
+    "table_result_files",
+    f"""WITH {D2S}, pt AS (SELECT k.doc_id, s.table_id, k.page_no, row_number() OVER (PARTITION BY k.doc_id, k.island ORDER BY k.table_id) AS part, page_count, s.col_count, s.row_count FROM k JOIN s USING (doc_id, island))
+SELECT doc_id, 'table_' || table_id || '_part' || part || '_page_' || page_no || '.txt' AS name, '跨页表格ID: ' || table_id || ' (第' || part || '/' || page_count || '部分)' || chr(10) || '页码: 第' || page_no || '页' || chr(10) || '原始图片: p' || part || '.png' || chr(10) || {_RULE} || '<p' || part || '>' AS text FROM pt WHERE page_count > 1
+UNION ALL SELECT doc_id, 'table_' || table_id || '_page_' || page_no || '.txt', '表格ID: ' || table_id || chr(10) || '页码: 第' || page_no || '页' || chr(10) || '类型: 单页表格' || chr(10) || '列数: ' || col_count || chr(10) || '行数: ' || row_count || chr(10) || {_RULE} || '<t' || table_id || '>' FROM pt WHERE page_count = 1 AND table_id % 3 > 0""",
+)
+def table_result_files(s, d):
+    """A file for each table of one page and for each part of a table over pages."""
+    runs = _report_tables(s, d)
+    parts = runs.filter("page_count > 1").select("doc_id", "island", "table_id", F.posexplode("merged_from").alias("k", "part")).withColumn("part_no", F.col("k") + 1)
+    where = layout.layout_tables(s, d).select("doc_id", F.col("table_id").alias("part"), "page_no")
+    no = F.col("part_no").cast("string")
+    parts = parts.join(where, ["doc_id", "part"]).withColumn("image", F.concat(F.lit("p"), no, F.lit(".png"))).withColumn("html", F.concat(F.lit("<p"), no, F.lit(">")))
+    alone = runs.filter("page_count = 1").withColumn("page_no", F.col("start_page"))
+    return files.part_results(parts).unionByName(files.table_results(alone))
+
+
+@query("sheet_csv", f"""WITH {BOOKS} SELECT path, 'size ' || p_size AS sheet_name, chr(65279) || 'key,name,type' || chr(10) || string_agg(p_partkey || ',"' || p_name || '"",""x",' || p_type || chr(10), '' ORDER BY n) AS text FROM bo WHERE p_size > 0 GROUP BY path, p_size UNION ALL SELECT DISTINCT path, 'none', chr(65279) || 'key' || chr(10) FROM bo""")
+def sheet_csv(s, d):
+    """Names get a quote and a comma, to be quoted."""
+    rows = xlsx.read_sheets(layout.workbooks(s, d))
+    odd = F.transform("cells", lambda v, k: F.when((F.col("row_no") > 1) & (k == 1), F.concat(v, F.lit('","x'))).otherwise(v))
+    return files.sheet_csv(rows.withColumn("cells", odd))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
