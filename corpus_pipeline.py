@@ -28,8 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays, that of the least doc_id. Rows that repeat a doc_id are told apart by
-    all they hold; of rows alike in all, one stays. Rows with a null doc_id stay."""
-    keyed = docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", "lang", "source")))
+    all they hold, nulls included; of rows alike in all, one stays. Rows with a null doc_id stay."""
+    keyed = docs.withColumn("row_key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])))
     near = cut(minhash.near_duplicates(keyed, "row_key").filter("component_id is not null").select("row_key", "component_id").distinct())
     group = near.join(near.filter("row_key <> component_id").select("component_id").distinct(), "component_id")
     group = cut(group.join(keyed.select("row_key", "doc_id"), "row_key").distinct())
