@@ -451,3 +451,9 @@ def test_op10_rules(spark):
     assert len(got) == 12 and got[0] == (0, "a.example.com", "/en/x", "example.com/en/", "block") and got[1][3:] == ("www.example.com/en/", "allow")
     assert got[2] == (2, "x.com", "", None, "allow") and got[3] == got[4] and [r[3] for r in got if r[0] in (7, 8, 9)] == ["net/fr/", "net/es/", "com/"]
     assert url_filter.judge(df.limit(0), url_filter.rules_frame(spark, [])).count() == 0
+
+
+def test_pipeline_near_dedup_tells_rows_with_nulls_apart(spark):
+    rows = [(1, None, "x y", "s", 0), (1, "x y", None, "s", 0), (1, "x y", None, "s", 0), (2, None, None, None, None), (2, None, None, None, None), (2, None, None, None, 0)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, set(rows)))
