@@ -457,7 +457,10 @@ def _span_tables(s, d, first, html="html"):
     return r.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_index", "tr"))), lambda v: v["tr"]), "").alias(html), F.max("row_index").alias("row_no"))
 
 
-_EVEN = F.col("row_index") % 2 == 0
+def _even():
+    return F.col("row_index") % 2 == 0
+
+
 SPAN_ROWS = f"{D4}, sq AS (SELECT doc_id, row_index, string_agg('<td>' || text || '</td>', '' ORDER BY col_index) AS tds FROM z WHERE col_index > 0 GROUP BY ALL), sr AS (SELECT *, max(row_index) OVER (PARTITION BY doc_id) AS last FROM sq)"
 _TABLE = "'<table>' || chr(10) || string_agg('<tr>' || {0} || tds || '</tr>', chr(10) ORDER BY row_index) || chr(10) || '</table>'"
 
@@ -465,14 +468,14 @@ _TABLE = "'<table>' || chr(10) || string_agg('<tr>' || {0} || tds || '</tr>', ch
 @query("covered_cells_dropped", f"WITH {SPAN_ROWS} SELECT doc_id, {_TABLE.format(chr(39).join(['CASE WHEN row_index % 2 = 0 THEN ', '<td rowspan=\"2\">k</td>', ' ELSE ', '', ' END']))} AS html FROM sr GROUP BY 1")
 def covered_cells_dropped(s, d):
     """Every other row has a cell more, under the span of the row before."""
-    t = _span_tables(s, d, F.when(_EVEN, '<td rowspan="2">k</td>').otherwise("<td>over</td>"))
+    t = _span_tables(s, d, F.when(_even(), '<td rowspan="2">k</td>').otherwise("<td>over</td>"))
     return spans.rewritten(t, spans.without_covered)
 
 
 @query("blank_spans_absorbed", f"WITH {SPAN_ROWS} SELECT doc_id, {_TABLE.format(chr(39).join(['CASE WHEN row_index = 0 THEN ', '<td rowspan=\"', ' || CAST(2 * (last // 2 + 1) AS VARCHAR) || ', '\">k</td>', ' ELSE ', '', ' END']))} AS html FROM sr GROUP BY doc_id")
 def blank_spans_absorbed(s, d):
     """Every other row begins with a cell over two rows; those after the first are blank."""
-    t = _span_tables(s, d, F.when(F.col("row_index") == 0, '<td rowspan="2">k</td>').when(_EVEN, '<td rowspan="2"> </td>').otherwise(""))
+    t = _span_tables(s, d, F.when(F.col("row_index") == 0, '<td rowspan="2">k</td>').when(_even(), '<td rowspan="2"> </td>').otherwise(""))
     return spans.rewritten(t, spans.absorbed)
 
 
@@ -482,7 +485,7 @@ def blank_spans_absorbed(s, d):
 )
 def row_columns(s, d):
     """The columns of each table's last row; every other row begins with a cell over two."""
-    return spans.row_columns(_span_tables(s, d, F.when(_EVEN, '<td rowspan="2">k</td>').otherwise("")))
+    return spans.row_columns(_span_tables(s, d, F.when(_even(), '<td rowspan="2">k</td>').otherwise("")))
 
 
 @query("cell_of_lines", f"WITH {D1} SELECT doc_id, page_no AS box_id, string_agg(sep || text, '' ORDER BY y0, line_no) AS text FROM (SELECT *, CASE WHEN lag(y0) OVER w IS NULL THEN '' WHEN y0 - lag(y0) OVER w > 2 THEN '<br>' ELSE ' ' END AS sep FROM l WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY y0, line_no)) GROUP BY ALL")
