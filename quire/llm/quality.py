@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, few, table
 
 #: Rules by document: least words, and the largest share (percent) of words in repeated windows of WINDOW words.
 LEAST_WORDS, MOST_REPEATED, WINDOW = 50, 50, 3
@@ -20,6 +20,8 @@ RULES = ("short", "repeated", "symbols", "dup_lines", "word_chars")
 HOST_LIMIT = 0.5
 #: Bounds of the prior's strength, in documents; the upper one also stands where hosts differ by chance only.
 STRENGTH = (2.0, 1000.0)
+#: Longs that a rejected host and its rules are taken for where it is asked whether they are few.
+HOST_LONGS = 40
 
 _GAP, _WORD, _SYMBOL = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]", r"[#*$%&|<>]"
 
@@ -88,8 +90,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: C
     base_failed: too few words, or too many in repeated windows. host_rules: the rules that reject the row's host, comma
     separated, else null. kept: neither. A row without host is judged by itself alone. The measures, a few numbers a
     row, are written once; failures are summed by host and rule before they are shuffled, so a host with a third of all
-    rows is a row a task there, and the join back is with rejected hosts only, which adaptive execution broadcasts if
-    small and splits where rows of one host are many. Empty tables give no rows; repeated rows count each.
+    rows is a row a task there, and the join back is with rejected hosts only: while these are few (common.FEW_BYTES) they are
+    broadcast and no row moves, beyond that adaptive execution splits a host's rows. Empty tables give no rows; repeated rows count each.
     """
     seen = cut(measures(df, id_col, text_col, F.col("source") if host is None else host))
     fails = failures()
@@ -97,6 +99,7 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: C
     by_host = told.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(r) for r in RULES])
     counts = by_host.select("host", "n", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("k")) for r in RULES])).alias("c")).select("host", "n", "c.rule", "c.k")
     bad = host_verdicts(cut(counts), limit).filter("rejected").groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("host_rules"))
+    _, bad = few(bad, HOST_LONGS)
     base = reduce(lambda a, b: a | b, (fails[r] for r in ("short", "repeated")))
     out = seen.join(bad, "host", "left").withColumn("base_failed", base)
     return out.select(id_col, "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rules", (~F.col("base_failed") & F.col("host_rules").isNull()).alias("kept"))
