@@ -37,7 +37,8 @@ class Codec:
 
     A byte-level pre-tokenizer never joins what a single space, or a line end between two words, separates. So texts
     are cut there, the distinct pieces of a batch are encoded once and remembered, and ids are gathered by index. Texts
-    with other runs of white space are cut by _PIECES, as the pre-tokenizer would.
+    with other runs of white space are cut at added tokens, and between them by _PIECES, as the pre-tokenizer would.
+    Added tokens hold no white space and take none from beside them.
     """
 
     def __init__(self, path: str):
@@ -45,6 +46,8 @@ class Codec:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line = self._raw("\n")
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.ends: dict[str, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of words after a space, and without
         self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # those known before known was full
@@ -63,6 +66,14 @@ class Codec:
         assert len(out) == len(pieces)
         return out
 
+    def _pieces(self, text: str) -> list[str]:
+        """A text, first parted at added tokens, as the tokenizer does: what stands before one ends as a text does."""
+        out, at = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            out += [*_PIECES.findall(text[at : m.start()]), m[0]]
+            at = m.end()
+        return out + _PIECES.findall(text[at:])
+
     def _ids(self, words: list[str], bare: int) -> list[bytes]:
         """Of words that stand after a space, or without one (bare)."""
         known, before = self.known[bare], self.before[bare]
@@ -132,7 +143,7 @@ class Codec:
             return out, bounds
         docs = [out[a:b] for a, b in pairwise(bounds)]
         for k in np.flatnonzero(bad):
-            own = _PIECES.findall(texts[int(k)].as_py())
+            own = self._pieces(texts[int(k)].as_py())
             docs[k] = np.array([i for e in self.tokenizer.encode_batch_fast(own, add_special_tokens=False) for i in e.ids], dtype=np.uint32)
         return np.concatenate(docs), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +351,16 @@ def test_op7_round_trip(spark, docs, odd):
     assert packing.pack(odd.limit(0), packing.tokenizer_path()).count() == 0
 
 
+def test_op7_ids_around_added_tokens():
+    from tokenizers import Tokenizer
+
+    code, t, rng = packing.codec(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path()), random.Random(7)
+    parts = ["<|endoftext|>", "<|endoftext|>", " ", "  ", "\n", "\n\n", "\t", "\u3000", "a", "word", "it's", "9", ".", "<|end", "é"]
+    texts = ["a\n\n<|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(6000))]
+    ids, bounds = code.encode(pa.array(texts))
+    assert [i.tolist() for i in np.split(ids, bounds[1:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op8_equals_brute_force(spark):
     random.seed(8)
     base = ["".join(random.choice("abcdefgh ") for _ in range(50)).strip() + "x" * 3 for _ in range(12)]
