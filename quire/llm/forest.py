@@ -88,11 +88,18 @@ def fit(sample: np.ndarray, rows: int, trees: int = TREES, leaf: int = LEAF, spi
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    x = np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of doubles, each of length 1. They are first brought near 1 by powers of two, which is exact, so that the
+    squares of very large or small components neither overflow nor vanish."""
+    _, power = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    x = np.ldexp(x, -power)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return _unit(np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1))
+
+
 def _codes(forest: list[Tree]):
     """(id, size, v) -> the same with the sorted codes (tree, leaf) that a row is in."""
 
@@ -165,9 +172,8 @@ def _linked(classes: DataFrame, threshold: float, trees: int, leaf: int, spill:
     """classes (id, size, v of one length) -> (id, other, n) of _compare."""
     spark = classes.sparkSession
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], dtype=np.float64)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    forest = fit(sample, classes.count(), trees, leaf, spill, threshold)
-    rows = cut(classes.mapInArrow(_codes(forest), "id long, size long, v array<float>, codes array<long>"))
+    forest = fit(_unit(sample), classes.count(), trees, leaf, spill, threshold)
+    rows = cut(classes.mapInArrow(_codes(forest), f"id long, size long, v {classes.schema['v'].dataType.simpleString()}, codes array<long>"))
     large = rows.select(F.explode("codes").alias("code")).groupBy("code").count().filter(F.col("count") > BLOCK).select("code", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
     large = cut(large)
     copies = rows.select("id", "size", "v", "codes", F.explode("codes").alias("code"))
@@ -191,11 +197,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Null, empty or zero vectors, and those with null or non-finite components, link with nothing; vectors of different
     lengths neither. A null id: no links, component_id null, kept false. Rows that repeat an id are each other's
-    neighbours as other rows are. Other columns are not read.
+    neighbours as other rows are. Components stay floats where the column holds floats, and are doubles otherwise.
+    Other columns are not read.
     """
     spark = df.sparkSession
     python_ready(spark)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     sound = F.col("id").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     good = rows.filter(F.coalesce(sound, F.lit(False)))
     classes = cut(good.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size")).select(F.col("rep").alias("id"), "size", "v"))

@@ -313,6 +313,12 @@ def test_op6_equals_brute_force(spark):
     assert forest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_op6_doubles_of_any_size_and_length(spark):
+    rows = [(0, [1e60, 0.0]), (1, [1e60, 0.0]), (2, [1e-60, 0.0]), (3, [1e-320, 0.0]), (4, [0.0, 1e300]), (5, [1e308, 1e307]), (6, [1.0, 0.0, 0.0]), (7, [2.0, 0.0, 0.0]), (8, [1.0]), (9, []), (10, [float("inf"), 0.0]), (11, [None, 1.0]), (12, [0.0, -1e-300])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in forest.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {**{k: (4, 0) for k in (0, 1, 2, 3, 5)}, 6: (1, 6), 7: (1, 6), **{k: (0, k) for k in (4, 8, 9, 10, 11, 12)}}
+
+
 def test_op6_large_leaf_in_blocks(spark):
     rng = np.random.default_rng(6)
     x = (np.ones(8) + 0.02 * rng.standard_normal((2500, 8))).astype(np.float32)
