@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import python_ready, table, working_for
 from .shingles import blocks
 
-#: The text model is fitted on at most so many labelled rows, those with the least hashes of their ids.
-SAMPLE = 2_000
+#: The text model is fitted on so many labelled rows of each language at most, those with the least hashes of their ids.
+SAMPLE = 500
+#: Most different labels; each has a table of PLACES in the model, which every task holds.
+MOST_LANGUAGES = 500
 #: Places of the table of hashed byte trigrams, and what is added to each count.
 PLACES, ADDED = 1 << 15, 0.05
 #: Trigrams after which a text's evidence no longer grows.
@@ -33,14 +36,40 @@ def _places(data: np.ndarray) -> np.ndarray:
     return ((x[:-2] * 0x9E3779B1 + x[1:-1] * 0x85EBCA77 + x[2:] * 0xC2B2AE3D) & 0xFFFFFFFF) >> 17
 
 
-def fit(texts: list[str], labels: list[str]) -> tuple[list[str], np.ndarray]:
-    """(languages in order, log probability of each table place in each language)."""
-    names = sorted(set(labels))
+def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(label, text) -> (label, place, n): trigrams of a task's texts by table place."""
+    working_for("language")
+    counts: dict[str, np.ndarray] = {}
+    for batch in batches:
+        for label, text in zip(batch["label"], batch["text"], strict=True):
+            data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+            own = counts.setdefault(label, np.zeros(PLACES, dtype=np.int64))
+            if len(data) > 2:
+                own += np.bincount(_places(data), minlength=PLACES)
+    for label, own in counts.items():
+        place = np.flatnonzero(own)
+        yield pd.DataFrame({"label": label, "place": place, "n": own[place]})
+
+
+def fit(df: DataFrame, id_: Column, text: Column, label: Column) -> tuple[list[str], np.ndarray]:
+    """(languages in order, log probability of each table place in each language).
+
+    The languages are all labels of all rows. Each is fitted on its SAMPLE rows with a text whose hashes of ids are
+    least, and on rows that repeat their ids, read whole; a label without a text has an even spread. Only counts reach
+    the driver: PLACES for each language at most. More than MOST_LANGUAGES labels are an error.
+    """
+    labelled = df.select(id_.cast("string").alias("k"), text.alias("text"), label.cast("string").alias("label")).filter("label is not null")
+    names = sorted(r[0] for r in labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels are no languages")
+    hashed = labelled.filter("text is not null").withColumn("h", F.xxhash64("k"))
+    first = hashed.select("label", "h").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("n") <= SAMPLE)  # each task keeps SAMPLE rows of a label before the shuffle
+    bound = first.groupBy("label").agg(F.max("h").alias("most"))
+    rows = hashed.join(F.broadcast(bound), "label").filter("h <= most").select("label", "text")
+    got = rows.mapInPandas(_counts, "label string, place int, n long").groupBy("label", "place").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(names), PLACES), ADDED)
-    for text, label in zip(texts, labels, strict=True):
-        data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if len(data) > 2:
-            counts[names.index(label)] += np.bincount(_places(data), minlength=PLACES)
+    row = {name: k for k, name in enumerate(names)}
+    counts[np.array([row[x] for x in got["label"].to_pylist()], dtype=np.int64), np.asarray(got["place"])] += np.asarray(got["n"])
     return names, np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
@@ -72,17 +101,6 @@ def scorer(model: np.ndarray):
     return score
 
 
-def sampled(df: DataFrame, id_: Column, text: Column, label: Column) -> tuple[list[str], list[str]]:
-    """Texts and labels of the SAMPLE labelled rows with the least hashes: ids first, then their whole texts."""
-    labelled = df.select(id_.cast("string").alias("k"), text.alias("t"), label.alias("l")).filter("t is not null and l is not null")
-    least = labelled.select(F.xxhash64("k").alias("h")).orderBy("h").limit(SAMPLE)
-    bound = least.agg(F.max("h")).first()[0]
-    if bound is None:
-        return [], []
-    rows = labelled.filter(F.xxhash64("k") <= F.lit(bound)).orderBy(F.xxhash64("k"), "t").limit(SAMPLE).collect()
-    return [r["t"] for r in rows], [r["l"] for r in rows]
-
-
 def smoothed(rows: DataFrame, names: list[str], key: str, parent: str | None) -> DataFrame:
     """(key, <key>_own, <key>_up): numbers of declared languages by key, and the distribution that they are drawn towards,
     the parent's, itself drawn towards the whole table's, and that towards an even one. All by grouped aggregation of all
@@ -110,8 +128,8 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     The posterior of a language is, up to a factor, the product of: the likelihood of the text's byte trigrams, taken
     as ENOUGH trigrams at most; the chance of the declared language, which is right DECLARED_RIGHT of the time; and the
     prior of the host, a smoothed distribution of the declared languages of all its other rows, drawn towards that of
-    its suffix, and that towards the whole table's; so a row's own declared language counts once, as evidence. The model is fitted on SAMPLE rows with a label (declared, if none is
-    given); counts cover all rows.
+    its suffix, and that towards the whole table's; so a row's own declared language counts once, as evidence. The languages are all labels
+    (declared, if none are given) of all rows, the model is fitted on SAMPLE rows of each; counts cover all rows.
 
     accepted: the text has a trigram, the posterior is CONFIDENT or more, and the text is likelier in the language than
     under an even spread of trigrams (so it is no noise). Null, empty or very short text: judged by the other evidence,
@@ -124,8 +142,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     nothing = F.lit(None).cast("string")
     columns = keep or [id_col]
     label = declared if label is None else label
-    texts, labels = sampled(df, F.col(id_col), F.col(text_col), label) if label is not None else ([], [])
-    names, model = fit(texts, labels)
+    names, model = fit(df, F.col(id_col), F.col(text_col), label) if label is not None else ([], None)
     rows = df.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"), (nothing if declared is None else declared).alias("declared"), (nothing if host is None else host).alias("host"), (nothing if suffix is None else suffix).alias("suffix"))
     if not names:
         return rows.select("row.*", nothing.alias("language"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("accepted"))

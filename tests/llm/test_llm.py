@@ -442,7 +442,12 @@ def test_op9_posterior_equals_brute_force(spark):
     rows = [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "a"), (3, "the cat and der hund", "de", "a"), (4, "the dog", None, "b"), (5, "", "en", "b"), (6, "die katze", "xx", None), (7, "und", "de", "a"), (8, "the cat", "en", "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in language.identify(df, "doc_id", "text", F.col("lang"), F.col("source")).collect()}
-    names, model = language.fit([r[1] for r in rows if r[2]], [r[2] for r in rows if r[2]])
+    names = sorted({r[2] for r in rows if r[2]})
+    counts = np.full((len(names), language.PLACES), language.ADDED)
+    for _, text, lang, _ in rows:
+        if lang and len(text) > 2:
+            np.add.at(counts[names.index(lang)], language._places(np.frombuffer(text.encode(), dtype=np.uint8)), 1)
+    model = np.log(counts / counts.sum(axis=1, keepdims=True))
     draw = lambda own, up: [(c + language.PARENT_ROWS * p) / (sum(own) + language.PARENT_ROWS) for c, p in zip(own, up, strict=True)]
     whole = draw([sum(r[2] == n for r in rows) for n in names], [1 / len(names)] * len(names))
     for i, text, lang, source in rows:
@@ -456,6 +461,16 @@ def test_op9_posterior_equals_brute_force(spark):
         assert got[i]["language"] == names[int(p.argmax())] and abs(got[i]["confidence"] - p.max() / p.sum()) < 1e-5
 
 
+def test_op9_keeps_languages_that_are_rare(spark):
+    rows = [(k, f"the cat sat on the mat and saw the dog {k}", "en", "s") for k in range(3000)]
+    rows += [(5001, "der hund und die katze sehen das haus", "de", "s"), (5002, "das haus der katze und der hund", "de", "s"), (5003, None, "it", "s")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r for r in language.identify(docs, "doc_id", "text", F.col("lang"), F.col("source")).collect()}
+    assert all(got[k]["language"] == "en" and got[k]["accepted"] for k in range(3000))
+    assert all(got[k]["language"] == "de" and got[k]["accepted"] for k in (5001, 5002)) and not got[5003]["accepted"]
+    assert {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, docs, "").filter("doc_id > 5000").collect()} == {5001: "de", 5002: "de"}
+
+
 def test_op9_pages(spark):
     got = Counter(r["language"] == r["declared"] for r in language.op9_language_id_pages(spark, SF).collect())
     assert got[True] >= 0.8 * sum(got.values())
