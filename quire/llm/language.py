@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_ready, table, working_for
+from .common import cut, python_ready, table, working_for
 from .shingles import blocks
 
-#: The text model is fitted on so many labelled rows of each language at most, those with the least hashes of their ids.
+#: The text model is fitted on about so many labelled rows of each language, by the hashes of their ids.
 SAMPLE = 500
 #: Most different labels; each has a table of PLACES in the model, which every task holds.
 MOST_LANGUAGES = 500
@@ -54,18 +54,19 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(df: DataFrame, id_: Column, text: Column, label: Column) -> tuple[list[str], np.ndarray]:
     """(languages in order, log probability of each table place in each language).
 
-    The languages are all labels of all rows. Each is fitted on its SAMPLE rows with a text whose hashes of ids are
-    least, and on rows that repeat their ids, read whole; a label without a text has an even spread. Only counts reach
-    the driver: PLACES for each language at most. More than MOST_LANGUAGES labels are an error.
+    The languages are all labels of all rows. Each is fitted on about SAMPLE of its rows, all if it has no more: those
+    whose hashes of ids are in the share of all hashes that SAMPLE is of its rows, and those of the least hash. Their
+    whole texts are read; a label whose sampled rows have no text has an even spread. Only counts reach the driver:
+    PLACES for each language at most. More than MOST_LANGUAGES labels are an error.
     """
-    labelled = df.select(id_.cast("string").alias("k"), text.alias("text"), label.cast("string").alias("label")).filter("label is not null")
-    names = sorted(r[0] for r in labelled.select("label").distinct().limit(MOST_LANGUAGES + 1).collect())
+    labelled = df.select(F.xxhash64(id_.cast("string")).alias("h"), text.alias("text"), label.cast("string").alias("label")).filter("label is not null")
+    share = F.lit(float(SAMPLE)) / F.count(F.lit(1))
+    bound = labelled.groupBy("label").agg(F.min("h").alias("least"), F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise((1 << 63) - 1).alias("most"))
+    bound = cut(bound.select("label", F.greatest("least", "most").alias("most")))
+    names = sorted(r[0] for r in bound.select("label").limit(MOST_LANGUAGES + 1).collect())
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} different labels are no languages")
-    hashed = labelled.filter("text is not null").withColumn("h", F.xxhash64("k"))
-    first = hashed.select("label", "h").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("n") <= SAMPLE)  # each task keeps SAMPLE rows of a label before the shuffle
-    bound = first.groupBy("label").agg(F.max("h").alias("most"))
-    rows = hashed.join(F.broadcast(bound), "label").filter("h <= most").select("label", "text")
+    rows = labelled.join(F.broadcast(bound), "label").filter("h <= most and text is not null").select("label", "text")
     got = rows.mapInPandas(_counts, "label string, place int, n long").groupBy("label", "place").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full((len(names), PLACES), ADDED)
     row = {name: k for k, name in enumerate(names)}
@@ -129,7 +130,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, declared: Column | None
     as ENOUGH trigrams at most; the chance of the declared language, which is right DECLARED_RIGHT of the time; and the
     prior of the host, a smoothed distribution of the declared languages of all its other rows, drawn towards that of
     its suffix, and that towards the whole table's; so a row's own declared language counts once, as evidence. The languages are all labels
-    (declared, if none are given) of all rows, the model is fitted on SAMPLE rows of each; counts cover all rows.
+    (declared, if none are given) of all rows, the model is fitted on about SAMPLE rows of each; counts cover all rows.
 
     accepted: the text has a trigram, the posterior is CONFIDENT or more, and the text is likelier in the language than
     under an even spread of trigrams (so it is no noise). Null, empty or very short text: judged by the other evidence,
