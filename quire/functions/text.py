@@ -84,3 +84,13 @@ def cells_of(row_html: Column) -> Column:
     attrs, content = F.regexp_extract_all(row_html, cell, F.lit(1)), F.regexp_extract_all(row_html, cell, F.lit(2))
     span = lambda a, name: F.coalesce(F.nullif(F.regexp_extract(a, rf'(?i){name}\s*=\s*["\']?(\d+)', 1), F.lit("")).cast("int"), F.lit(1))
     return F.zip_with(attrs, content, lambda a, c: F.struct(a.alias("attrs"), c.alias("content"), span(a, "colspan").alias("colspan"), span(a, "rowspan").alias("rowspan")))
+
+
+def first_page(label: Column) -> Column:
+    """The page on which '13' or '13-26' starts; null where no whole number stands there."""
+    return trim_py(F.split(label, "-", 2)[0]).try_cast("int")
+
+
+def has_key_cell(row_html: Column) -> Column:
+    """Whether the first cell of a row in markup holds more than white space; false where there is none, and for null."""
+    return F.coalesce(trim_py(F.regexp_extract(row_html, r"(?is)<td[^>]*>(.*?)</td>", 1)) != "", F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as txt
-from ..operators import assemble, lattice, markup, merge, row_merge, rows, spans, tables, text
+from ..operators import assemble, lattice, markup, merge, row_merge, rows, spans, stamps, tables, text
 from ..operators import images as img
 from ..sinks import text as files
 from ..sources import layout, xlsx
@@ -841,3 +841,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+@query("first_pages", "SELECT l_orderkey, CAST(l_linenumber AS INT) AS line, CAST(l_suppkey AS INT) AS page_no FROM lineitem")
+def first_pages(s, d):
+    to = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("-"), F.col("l_suppkey") + F.col("l_linenumber"))).otherwise("")
+    return layout.table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("line"), txt.first_page(F.concat("l_suppkey", to)).alias("page_no"))
+
+
+@query("key_cells", "SELECT o_orderkey, o_orderkey % 3 <> 0 AS has_key FROM orders")
+def key_cells(s, d):
+    cell = F.when(F.col("o_orderkey") % 3 == 0, " \n").otherwise(F.col("o_orderpriority"))
+    return layout.table(s, d, "orders").select("o_orderkey", txt.has_key_cell(F.concat(F.lit("<tr><td rowspan='2'>"), cell, F.lit("</td><td>"), "o_orderstatus", F.lit("</td></tr>"))).alias("has_key"))
+
+
+def stamp_vectors(s, d):
+    """Vectors of pixels, told by their number of places, sum and greatest place; resampling is no SQL (tests/test_stamps.py)."""
+    v = stamps.stamp_vectors(layout.stamp_pixels(s, d))
+    return v.select("doc_id", "img_no", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 3).alias("total"), F.round(F.array_max("v"), 4).alias("top"))
+
+
+_QUERIES["stamp_vectors"] = stamp_vectors

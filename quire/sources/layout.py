@@ -113,3 +113,10 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
     return sheets.select(F.concat("p_brand", F.lit(".xlsx")).alias("path"), "sheets").mapInArrow(write, "path string, content binary")
+
+
+def stamp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, img_no, width, height, rgb) of part: an image for each part, in stripes that its type gives."""
+    size = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("img_no"), (F.lit(30) + F.col("p_size")).cast("int").alias("width"), (F.lit(40) + F.col("p_partkey") % 37).cast("int").alias("height"), "p_type")
+    stripe = lambda y: F.substring(F.repeat(F.sha2(F.concat(F.col("p_type"), F.floor(y / 8).cast("string")), 256), 8), F.lit(1), F.col("width") * 6)
+    return size.select("doc_id", "img_no", "width", "height", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("height") - 1), stripe), "")).alias("rgb"))
