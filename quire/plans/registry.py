@@ -669,7 +669,7 @@ def stamp_similarity_pairs(s, d):
 
 @query("stamp_groups", f"WITH RECURSIVE {GROUPS} SELECT * FROM gr")
 def stamp_groups(s, d):
-    return img.stamp_groups(_vectors(s, d), img.similar_pairs(_vectors(s, d), 0.35))
+    return img.stamp_groups(_vectors(s, d), img.similar_links(_vectors(s, d), 0.35))
 
 
 @query("stamp_representatives", f"WITH RECURSIVE {GROUPS} SELECT doc_id, grp AS representative, count(*) - 1 AS duplicates FROM gr GROUP BY ALL")

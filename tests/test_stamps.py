@@ -63,3 +63,22 @@ def test_page_labels_and_key_cells(spark):
     cells = {"<tr><td>1</td><td></td></tr>": True, "<tr><td a='b'> \n　</td><td>x</td></tr>": False, "<TD\nrowspan=2>\na</TD>": True, "<td></td>": False, "<tr></tr>": False, "<td>open": False, "": False, None: False}
     got = spark.createDataFrame([(k,) for k in cells], "x string").select("x", txt.has_key_cell(F.col("x")).alias("p")).collect()
     assert {r["x"]: r["p"] for r in got} == cells
+
+
+def test_blocks_of_vectors_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(images, "BLOCK", 8 * 40)  # 40 vectors a block
+    rng = random.Random(2)
+    rows = [(d, k, [rng.gauss(0, 1) for _ in range(8)]) for d in "ab" for k in range(150)]
+    rows += [("a", 150 + k, list(rows[7][2])) for k in range(30)] + [("c", 0, [1.0] * 8), ("b", 200, None), ("b", 201, [1.0] * 7), ("b", 202, [1.0] * 7)]
+    v = spark.createDataFrame(rows, "doc_id string, ord int, v array<double>")
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True))
+    known = [r for r in rows if r[2] is not None]
+    expected = {(d, m, n): dot(x, y) / math.sqrt(dot(x, x) * dot(y, y)) for d, m, x in known for e, n, y in known if d == e and m < n and len(x) == len(y)}
+    expected = {k: round(c, 4) for k, c in expected.items() if c >= 0.8}
+    got = images.similar_pairs(v, 0.8).collect()
+    assert {tuple(r)[:3]: r["similarity"] for r in got} == expected and len(got) == len(expected)
+    # pairs of copies are many, links are not, and connect the same stamps
+    links = images.similar_links(v, 0.8)
+    assert links.join(images.similar_pairs(v, 0.8), ["doc_id", "a", "b"], "left_anti").count() < links.count() < len(expected) / 2
+    groups = [sorted(map(tuple, images.stamp_groups(v, p).collect())) for p in (links, images.similar_pairs(v, 0.8))]
+    assert groups[0] == groups[1] and len(groups[0]) == len(known)
