@@ -25,14 +25,21 @@ def _corners(strokes: DataFrame, near: float) -> DataFrame:
     that are nearer than `near` in both directions, with the flat stroke. Ends are dealt to squares four times as wide;
     those of uprights to all squares that they may reach into, mostly one."""
     wide = 4 * near
-    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - near) / wide), F.floor((F.col(c) + near) / wide)))
-    ends = F.array(F.struct(F.lit(True).alias("upper"), F.col("low").alias("y")), F.struct(F.lit(False).alias("upper"), F.col("high").alias("y")))
-    u = strokes.filter("not flat").select(*PAGE, F.col("no").alias("upright"), F.col("at").alias("x"), F.inline(ends)).withColumn("bx", reach("x")).withColumn("by", reach("y"))
-    sides = F.array(F.struct(F.lit("left").alias("side"), F.col("low").alias("fx")), F.struct(F.lit("right").alias("side"), F.col("high").alias("fx")))
-    own = F.struct("no", F.col("at").alias("y"), F.col("low").alias("x0"), F.col("high").alias("x1")).alias("flat")
-    f = strokes.filter("flat").select(*PAGE, own, F.inline(sides)).withColumn("bx", F.floor(F.col("fx") / wide)).withColumn("by", F.floor(F.col("flat.y") / wide))
-    met = u.join(f, [*PAGE, "bx", "by"]).filter((F.abs(F.col("x") - F.col("fx")) < near) & (F.abs(F.col("y") - F.col("flat.y")) < near))
-    return met.select(*PAGE, "upright", "side", "upper", "flat")
+    square = lambda x, y: F.struct(F.floor(x / wide).alias("bx"), F.floor(y / wide).alias("by"))
+    reach = lambda c: F.sequence(F.floor((c - near) / wide), F.floor((c + near) / wide))
+    squares = lambda x, y: F.flatten(F.transform(reach(x), lambda i: F.transform(reach(y), lambda j: F.struct(i.alias("bx"), j.alias("by")))))
+    no, at, low, high = (F.col(c) for c in ("no", "at", "low", "high"))
+    none = F.lit(None)
+    up = lambda upper, y: F.struct(no.alias("no"), F.lit(upper).alias("first"), at.alias("x"), y.alias("y"), none.cast("double").alias("x0"), none.cast("double").alias("x1"), squares(at, y).alias("squares"))
+    side = lambda left, x: F.struct(no.alias("no"), F.lit(left).alias("first"), x.alias("x"), at.alias("y"), low.alias("x0"), high.alias("x1"), F.array(square(x, at)).alias("squares"))
+    ends = strokes.dropna(subset=PAGE).select(*PAGE, "flat", F.inline(F.when(F.col("flat"), F.array(side(True, low), side(False, high))).otherwise(F.array(up(True, low), up(False, high)))))
+    ends = ends.select(*PAGE, "flat", F.struct("no", "first", "x", "y", "x0", "x1").alias("e"), F.inline("squares"))
+    met = ends.groupBy(*PAGE, "bx", "by").agg(F.collect_list(F.when(~F.col("flat"), F.col("e"))).alias("us"), F.collect_list(F.when(F.col("flat"), F.col("e"))).alias("fs"))
+    apart = lambda u, f: (F.abs(u["x"] - f["x"]) < near) & (F.abs(u["y"] - f["y"]) < near)
+    stroke = lambda f: F.struct(f["no"].alias("no"), f["y"].alias("y"), f["x0"].alias("x0"), f["x1"].alias("x1"))
+    corner = lambda u, f: F.struct(u["no"].alias("upright"), F.when(f["first"], "left").otherwise("right").alias("side"), u["first"].alias("upper"), stroke(f).alias("flat"))
+    found = F.flatten(F.transform("us", lambda u: F.transform(F.filter("fs", lambda f: apart(u, f)), lambda f: corner(u, f))))
+    return met.select(*PAGE, F.inline(found))
 
 
 def stroke_boxes(drawings: DataFrame, near: float = 5.0, least_width: float = 50.0, least_height: float = 20.0) -> DataFrame:
@@ -112,11 +119,14 @@ def snapped(lines: DataFrame, snap: float = 5.0, join: float = 5.0, least: float
 def crossings(lines: DataFrame, near: float = 3.0, band: float = 50.0) -> DataFrame:
     """Snapped lines -> (doc_id, page_no, upright, flat, x, y): where an upright and a flat line meet, or nearly so. They
     are dealt to bands of y, so an upright meets the flat lines along it and not its whole page."""
-    of = lambda low, high: F.explode(F.sequence(F.floor(low / band), F.floor(high / band))).alias("band")
-    u = lines.filter("not flat").select(*PAGE, F.col("line").alias("upright"), F.col("at").alias("x"), F.col("low").alias("u0"), F.col("high").alias("u1"), of(F.col("low") - near, F.col("high") + near))
-    f = lines.filter("flat").select(*PAGE, F.col("line").alias("flat"), F.col("at").alias("y"), F.col("low").alias("f0"), F.col("high").alias("f1"), F.floor(F.col("at") / band).alias("band"))
-    met = u.join(f, [*PAGE, "band"]).filter(F.col("y").between(F.col("u0") - near, F.col("u1") + near) & F.col("x").between(F.col("f0") - near, F.col("f1") + near))
-    return met.select(*PAGE, "upright", "flat", "x", "y")
+    at, low, high = (F.col(c) for c in ("at", "low", "high"))
+    bands = F.when(F.col("flat"), F.array(F.floor(at / band))).otherwise(F.sequence(F.floor((low - near) / band), F.floor((high + near) / band)))
+    own = F.struct("line", "at", "low", "high")
+    dealt = lines.dropna(subset=PAGE).select(*PAGE, "flat", own.alias("own"), F.explode(bands).alias("band"))
+    both = dealt.groupBy(*PAGE, "band").agg(F.collect_list(F.when(~F.col("flat"), F.col("own"))).alias("us"), F.collect_list(F.when(F.col("flat"), F.col("own"))).alias("fs"))
+    meet = lambda u, f: f["at"].between(u["low"] - near, u["high"] + near) & u["at"].between(f["low"] - near, f["high"] + near)
+    point = lambda u, f: F.struct(u["line"].alias("upright"), f["line"].alias("flat"), u["at"].alias("x"), f["at"].alias("y"))
+    return both.select(*PAGE, F.inline(F.flatten(F.transform("us", lambda u: F.transform(F.filter("fs", lambda f: meet(u, f)), lambda f: point(u, f))))))
 
 
 def smallest_cells(points: DataFrame) -> DataFrame:
@@ -127,9 +137,9 @@ def smallest_cells(points: DataFrame) -> DataFrame:
     found by ordering the common uprights of two flat lines. corners are numbers of the four crossings in their page.
     """
     points = points.withColumn("corner", F.row_number().over(W.partitionBy(*PAGE).orderBy("y", "x", "flat", "upright")))
-    upper = points.select(*PAGE, "upright", "x", F.col("flat").alias("top"), F.col("y").alias("y0"), F.col("corner").alias("c0"))
-    lower = points.select(*PAGE, "upright", F.col("flat").alias("bottom"), F.col("y").alias("y1"), F.col("corner").alias("c1"))
-    sides = upper.join(lower, [*PAGE, "upright"]).filter("y0 < y1")
+    along = points.groupBy(*PAGE, "upright").agg(F.collect_list(F.struct("x", "y", "flat", "corner")).alias("ps"))
+    side = lambda p, q: F.struct(p["x"].alias("x"), p["flat"].alias("top"), p["y"].alias("y0"), p["corner"].alias("c0"), q["flat"].alias("bottom"), q["y"].alias("y1"), q["corner"].alias("c1"))
+    sides = along.select(*PAGE, "upright", F.inline(F.flatten(F.transform("ps", lambda p: F.transform(F.filter("ps", lambda q: p["y"] < q["y"]), lambda q: side(p, q))))))
     by = W.partitionBy(*PAGE, "top", "bottom").orderBy("x", "upright")
     right = F.lead(F.struct("x", "c0", "c1")).over(by)
     found = sides.withColumn("right", right).filter("right is not null and x < right.x")
@@ -164,4 +174,5 @@ def lattice_cells(drawings: DataFrame, least_cells: int = 2, snap: float = 5.0,
 def lattice_tables(cells: DataFrame) -> DataFrame:
     """Cells of lattices -> (doc_id, page_no, table_no, x0, y0, x1, y1, row_count, col_count, n_cells)."""
     far = lambda f, c: f(c).alias(c)
-    return cells.groupBy(*PAGE, "table_no").agg(far(F.min, "x0"), far(F.min, "y0"), far(F.max, "x1"), far(F.max, "y1"), F.countDistinct("y0").alias("row_count"), F.countDistinct("x0").alias("col_count"), F.count(F.lit(1)).alias("n_cells"))
+    kinds = lambda c: F.size(F.collect_set(F.col(c) + 0.0)).cast("long")  # noqa: E731 - a page bounds them, and they take no shuffle of their own
+    return cells.groupBy(*PAGE, "table_no").agg(far(F.min, "x0"), far(F.min, "y0"), far(F.max, "x1"), far(F.max, "y1"), kinds("y0").alias("row_count"), kinds("x0").alias("col_count"), F.count(F.lit(1)).alias("n_cells"))

@@ -11,10 +11,21 @@ from ..functions.python import ready
 from . import xlsx
 
 
+#: Lines, orders and parts that a task makes cells, drawings and pixels of.
+LINES, ORDERS, PARTS = 100_000, 30_000, 20_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """A table's rows by their keys in parts of about `rows` rows, one a core at least. Rows that a task turns into many
+    more are so bounded in number however large the table is; sizes of shuffles, which Spark deals by, don't tell."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *keys)
+
+
 def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_no, text): a source is a document, a row a page. Only ids are numbered; texts are joined by id."""
     by = W.partitionBy("source").orderBy("doc_id")
@@ -50,7 +61,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, row_index, col_index, x_start, x_end, y_start, y_end, text): an order is a table, its lines rows."""
     by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = table(spark, sf_dir, "lineitem").withColumn("row_index", F.row_number().over(by) - 1)
+    rows = dealt(table(spark, sf_dir, "lineitem"), LINES, "l_orderkey").withColumn("row_index", F.row_number().over(by) - 1)
     texts = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag"))
     e = rows.select(F.col("l_orderkey").alias("doc_id"), "row_index", (F.col("l_suppkey") % 3).alias("j"), F.posexplode(texts).alias("col_index", "text"))
     start = lambda c: F.when(c > 0, 100.0 * c + 0.5 * F.col("j")).otherwise(0.0)
@@ -86,7 +97,7 @@ def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns, drawn line by line. Every other flat line slopes a little. By the order's number, uprights are whole or a
     piece a row; the first two cells of the first row are one; the top is drawn twice, one line first or last; a frame is
     drawn around it; a table of two rows and columns stands below."""
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn"))
+    o = dealt(table(spark, sf_dir, "orders"), ORDERS, "o_custkey").select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("rn"))
     o = o.selectExpr("o_custkey doc_id", "cast(rn as int) page_no", "o_orderkey k", "cast(1 + o_orderkey % 4 as int) r", "cast(1 + o_orderkey % 5 as int) c", "cast(100 + o_orderkey % 7 as double) y")
     o = o.withColumn("joint", F.expr("k % 3 = 0 and r > 1 and c > 1"))
     flat = "transform(sequence(0, r), i -> named_struct('no', 10 + i, 'op', 'l', 'x0', 40D, 'y0', y + 30 * i, 'x1', 40D + 60 * c, 'y1', y + 30 * i + 0.4D * (i % 2)))"
@@ -117,6 +128,8 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stamp_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, img_no, width, height, rgb) of part: an image for each part, in stripes that its type gives."""
-    size = table(spark, sf_dir, "part").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("img_no"), (F.lit(30) + F.col("p_size")).cast("int").alias("width"), (F.lit(40) + F.col("p_partkey") % 37).cast("int").alias("height"), "p_type")
-    stripe = lambda y: F.substring(F.repeat(F.sha2(F.concat(F.col("p_type"), F.floor(y / 8).cast("string")), 256), 8), F.lit(1), F.col("width") * 6)
-    return size.select("doc_id", "img_no", "width", "height", F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.col("height") - 1), stripe), "")).alias("rgb"))
+    size = dealt(table(spark, sf_dir, "part"), PARTS, "p_partkey").select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("img_no"), (F.lit(30) + F.col("p_size")).cast("int").alias("width"), (F.lit(40) + F.col("p_partkey") % 37).cast("int").alias("height"), "p_type")
+    # a stripe is hashed once for its eight rows
+    row = lambda k: F.substring(F.repeat(F.sha2(F.concat(F.col("p_type"), k.cast("string")), 256), 8), F.lit(1), F.col("width") * 6)
+    stripes = F.transform(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / 8).cast("int")), lambda k: F.repeat(row(k), F.least(F.lit(8), F.col("height") - 8 * k)))
+    return size.select("doc_id", "img_no", "width", "height", F.unhex(F.array_join(stripes, "")).alias("rgb"))

@@ -5,6 +5,7 @@ import io
 
 from quire.operators import lattice
 from quire.plans import registry
+from quire.sources import layout
 
 SCHEMA = "doc_id string, page_no int, drawing_no long, type string, x0 double, y0 double, x1 double, y1 double, items array<struct<op:string,x0:double,y0:double,x1:double,y1:double>>"
 
@@ -67,3 +68,14 @@ def test_no_plan_pairs_all_with_all(spark):
         with contextlib.redirect_stdout(told):
             registry.queries()[name](spark, "/root/testdata/sf0.001").explain()
         assert "NestedLoop" not in told.getvalue() and "Cartesian" not in told.getvalue()
+
+
+def test_drawings_stay_in_tasks_of_bounded_size(spark, monkeypatch):
+    # strokes are many more than the orders by which Spark tells sizes, so none may be broadcast, and orders are dealt by number
+    monkeypatch.setattr(layout, "ORDERS", 100)
+    assert layout.drawings(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 15
+    for name in ("rectangles_from_strokes", "border_lines", "lattice_cells", "lattice_tables"):
+        told = io.StringIO()
+        with contextlib.redirect_stdout(told):
+            registry.queries()[name](spark, "/root/testdata/sf0.001").explain()
+        assert "Broadcast" not in told.getvalue() and told.getvalue().count("Exchange") == 1
