@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as txt
 from quire.operators import images, stamps
+from quire.sources import layout
 
 
 def line(values, side):
@@ -82,3 +83,19 @@ def test_blocks_of_vectors_equal_all_pairs(spark, monkeypatch):
     assert links.join(images.similar_pairs(v, 0.8), ["doc_id", "a", "b"], "left_anti").count() < links.count() < len(expected) / 2
     groups = [sorted(map(tuple, images.stamp_groups(v, p).collect())) for p in (links, images.similar_pairs(v, 0.8))]
     assert groups[0] == groups[1] and len(groups[0]) == len(known)
+
+
+def test_vectors_at_once_equal_one_by_one():
+    rng = random.Random(3)
+    sizes = [(30 + k % 9, 40 + k % 7) for k in range(40)] + [(None, 4), (0, 0), (4, -4)]
+    given = [(rng.randbytes(3 * (w or 0) * max(h, 0)), w, h) for w, h in sizes] + [(None, 3, 3), (b"short", 3, 3), (b"\0" * 27, 3, 3)]
+    got = stamps.vectors(given, 16).to_pylist()
+    for v, image in zip(got, given, strict=True):
+        one = stamps.vector(*image, 16)
+        assert v is None if one is None else v == one.tolist()
+    assert stamps.vectors([], 16).to_pylist() == [] and stamps.vectors([(None, 1, 1)], 16).to_pylist() == [None]
+
+
+def test_pixels_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(layout, "PARTS", 20)
+    assert layout.stamp_pixels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 10
