@@ -71,17 +71,30 @@ def char_to_cell(chars: DataFrame, cells: DataFrame, band: float = 50.0) -> Data
     """(doc_id, char_no, c, x0.., row_index, col_index): each character's first cell, in row order, that its box
     overlaps, or else that holds its centre.
 
-    Characters and cells are dealt to the bands of y that they reach and joined on (doc_id, band), so a character meets
-    the cells around it and not its whole table."""
-    reach = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / band), F.greatest(F.floor(F.col(hi) / band), F.floor(F.col(lo) / band)))).alias("band")
-    k = cells.select("doc_id", "row_index", "col_index", "x_start", "x_end", "y_start", "y_end", reach("y_start", "y_end"))
+    A table's cells are dealt to the bands of y that they reach, as one value, which its characters are joined with by
+    table; a character looks into the bands that it reaches, so it meets the cells around it and not its whole table, and
+    is shuffled by table only. A page bounds a table's cells. Characters that repeat are placed each."""
+    at = lambda c: F.floor(c / band)
+    reach = lambda lo, hi: F.sequence(at(F.col(lo)), F.greatest(at(F.col(hi)), at(F.col(lo))))
+    k = cells.select("doc_id", F.struct("row_index", "col_index", "x_start", "x_end", "y_start", "y_end").alias("cell"), F.explode(reach("y_start", "y_end")).alias("band"))
+    k = k.groupBy("doc_id", "band").agg(F.collect_list("cell").alias("cells")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("band", "cells"))).alias("bands"))
+    k = k.withColumn("low", F.get("bands", F.lit(0))["band"]).withColumn("whole", F.element_at("bands", -1)["band"] - F.col("low") + 1 == F.size("bands"))
     a = box()
-    over = (a[0] < F.col("x_end")) & (a[2] > F.col("x_start")) & (a[1] < F.col("y_end")) & (a[3] > F.col("y_start"))
+    over = lambda c: (a[0] < c["x_end"]) & (a[2] > c["x_start"]) & (a[1] < c["y_end"]) & (a[3] > c["y_start"])
     mx, my = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
-    centre = (mx >= F.col("x_start")) & (mx <= F.col("x_end")) & (my >= F.col("y_start")) & (my <= F.col("y_end"))
-    near = chars.select("*", reach("y0", "y1")).join(k, ["doc_id", "band"]).filter(over | centre)
-    best = F.min(F.struct(F.when(over, 0).otherwise(1).alias("prio"), "row_index", "col_index")).alias("m")
-    return near.groupBy("doc_id", "char_no", "c", *["x0", "y0", "x1", "y1"]).agg(best).select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
+    centre = lambda c: (mx >= c["x_start"]) & (mx <= c["x_end"]) & (my >= c["y_start"]) & (my <= c["y_end"])
+    # the place of a band is known where none is missing between the first and the last
+    of = lambda n: F.when(F.col("whole"), F.get("bands", (n - F.col("low")).cast("int"))["cells"]).otherwise(F.flatten(F.transform(F.filter("bands", lambda x: x["band"] == n), lambda x: x["cells"])))
+    none = F.slice(F.get("bands", F.lit(0))["cells"], 1, 0)
+    around = F.when(at(a[3]) <= at(a[1]), of(at(a[1]))).otherwise(F.flatten(F.transform(reach("y0", "y1"), lambda n: F.coalesce(of(n), none))))
+    # what can neither overlap nor hold the centre goes by few comparisons, mostly the first
+    touches = lambda c: (c["y_end"] >= F.col("top")) & (c["y_start"] <= F.col("bottom")) & (c["x_end"] >= F.col("left")) & (c["x_start"] <= F.col("right"))
+    near = F.filter(F.filter(around, touches), lambda c: over(c) | centre(c))
+    chars = chars.withColumns({"left": F.least(a[0], a[2]), "right": F.greatest(a[0], a[2]), "top": F.least(a[1], a[3]), "bottom": F.greatest(a[1], a[3])})
+    best = F.array_min(F.transform(near, lambda c: F.struct(F.when(over(c), 0).otherwise(1).alias("prio"), c["row_index"].alias("row_index"), c["col_index"].alias("col_index"))))
+    # neither side is sent whole: cells and characters are more than the size of what they are read from tells
+    placed = chars.join(k.hint("merge"), "doc_id").select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", best.alias("m")).filter("m is not null")
+    return placed.select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
 
 
 def cell_text(placed: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -190,7 +203,7 @@ def chars_in_tables(chars: DataFrame, cells: DataFrame) -> DataFrame:
     t = cells.groupBy("doc_id").agg(F.min("x_start").alias("t_x0"), F.min("y_start").alias("t_y0"), F.max("x_end").alias("t_x1"), F.max("y_end").alias("t_y1"), F.least(F.lit(2.0), F.greatest(F.lit(0.5), 0.1 * F.min(F.col("y_end") - F.col("y_start")))).alias("m"))
     a, m = box(), F.col("m")
     inside = (a[0] >= F.col("t_x0") - m) & (a[1] >= F.col("t_y0") - m) & (a[2] <= F.col("t_x1") + m) & (a[3] <= F.col("t_y1") + m)
-    return chars.join(t, "doc_id").filter(inside).select(chars.columns)
+    return chars.join(t.hint("merge"), "doc_id").filter(inside).select(chars.columns)
 
 
 def cell_of_lines(lines: DataFrame, gap: float = 2.0) -> DataFrame:
@@ -204,10 +217,11 @@ def cell_of_lines(lines: DataFrame, gap: float = 2.0) -> DataFrame:
 def row_groups(cells: DataFrame, near: float = 2.0) -> DataFrame:
     """(doc_id, x0, y0, ...) -> the same with row_index and col_index: rows are the distinct y0, rounded to a tenth; a cell
     is in each row that is nearer than `near`, its columns numbered by x0."""
-    y = F.bround("y0", 1)
-    rows = cells.select("doc_id", y.alias("row_y")).distinct().withColumn("row_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("row_y")) - 1).cast("int"))
-    # rows nearer than two bands can only be in a cell's own band and those around it
-    band = lambda c: F.floor(F.col(c) / near)
-    spread = cells.withColumn("band", F.explode(F.array(*[band("y0") + k for k in (-1, 0, 1)])))
-    placed = spread.join(rows.withColumn("band", band("row_y")), ["doc_id", "band"]).filter(F.abs(F.col("y0") - F.col("row_y")) < near)
-    return placed.withColumn("col_index", (F.row_number().over(W.partitionBy("doc_id", "row_index").orderBy("x0", "y0")) - 1).cast("int")).drop("band", "row_y")
+    by = W.partitionBy("doc_id").orderBy("row_y")
+    placed = cells.withColumn("row_y", F.bround("y0", 1)).withColumn("row_no", (F.dense_rank().over(by) - 1).cast("int"))
+    # rows of a cell are those around its own; rounding moves both places by half a tenth at most
+    wide = near + 0.2
+    placed = placed.withColumn("around", F.expr(f"collect_set(struct(row_y, row_no)) over (partition by doc_id order by row_y range between {wide}D preceding and {wide}D following)"))
+    own = F.filter("around", lambda r: F.abs(F.col("y0") - r["row_y"]) < near)
+    placed = placed.select(*cells.columns, F.explode(F.transform(own, lambda r: r["row_no"])).alias("row_index"))
+    return placed.withColumn("col_index", (F.row_number().over(W.partitionBy("doc_id", "row_index").orderBy("x0", "y0")) - 1).cast("int"))
