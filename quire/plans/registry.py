@@ -294,7 +294,9 @@ def doc_statistics(s, d):
 
 @query("row_col_counts", f"WITH {D4} SELECT doc_id, count(DISTINCT row_index) AS n_rows, count(DISTINCT col_index) AS n_cols, max(x_end) AS x_end, max(y_end) AS y_end FROM z GROUP BY 1")
 def row_col_counts(s, d):
-    return layout.cells(s, d).groupBy("doc_id").agg(F.countDistinct("row_index").alias("n_rows"), F.countDistinct("col_index").alias("n_cols"), F.max("x_end").alias("x_end"), F.max("y_end").alias("y_end"))
+    # a table bounds its rows and columns; sets of them take no shuffle, and no three rows for each cell
+    kinds = lambda c: F.size(F.collect_set(c)).cast("long")
+    return layout.cells(s, d).groupBy("doc_id").agg(kinds("row_index").alias("n_rows"), kinds("col_index").alias("n_cols"), F.max("x_end").alias("x_end"), F.max("y_end").alias("y_end"))
 
 
 @query("cell_grid", f"WITH {D4} SELECT doc_id, row_index, max(y_end) AS y_end, max(y_end) - min(y_start) AS height, count(*) AS col_count, string_agg(text, '|' ORDER BY col_index) AS texts FROM z GROUP BY ALL")
@@ -380,10 +382,9 @@ def effective_columns(s, d):
 def _spanned_cells(s, d):
     """layout.cells with cells over two rows in column 0, over two columns in column 1, gaps in column 2, and texts with
     what is escaped."""
-    c = layout.cells(s, d)
-    last = c.groupBy("doc_id").agg(F.max("row_index").alias("last"))
+    c = layout.cells(s, d).withColumn("last", F.max("row_index").over(W.partitionBy("doc_id")))
     wide = (F.col("row_index") > 0) & ((F.col("doc_id") + F.col("row_index")) % 4 == 3)
-    c = c.join(last, "doc_id").filter(~((F.col("col_index") == 0) & (F.col("row_index") % 2 == 1)) & ~((F.col("col_index") == 2) & (wide | (F.col("row_index") % 3 == 1))))
+    c = c.filter(~((F.col("col_index") == 0) & (F.col("row_index") % 2 == 1)) & ~((F.col("col_index") == 2) & (wide | (F.col("row_index") % 3 == 1))))
     high = (F.col("col_index") == 0) & (F.col("row_index") < F.col("last"))
     text = F.concat("text", F.when(F.col("row_index") % 2 == 0, F.lit('<br>&"<')).otherwise(""))
     return c.select("doc_id", "row_index", "col_index", "x_start", F.when(wide & (F.col("col_index") == 1), F.col("x_end") + 100).otherwise(F.col("x_end")).alias("x_end"), "y_start", F.when(high, F.col("y_end") + 20).otherwise(F.col("y_end")).alias("y_end"), text.alias("text"))
@@ -413,7 +414,7 @@ def cross_page_row_merge(s, d):
     c = layout.cells(s, d)
     island, head = F.expr("doc_id div 2"), (F.col("doc_id") % 2 == 1) & (F.col("row_index") == 0)
     tail = (F.col("doc_id") % 2 == 0) & (F.col("row_index") == F.col("last"))
-    c = c.join(c.groupBy("doc_id").agg(F.max("row_index").alias("last")), "doc_id")
+    c = c.withColumn("last", F.max("row_index").over(W.partitionBy("doc_id")))
     text = F.when(head & (F.col("col_index") == 0), "").when((island % 3 == 0) & (F.col("col_index") == 3) & (head | tail), "same").when(head, F.concat("text", F.lit(" on"))).otherwise(F.col("text"))
     parts = markup.html_tables(c.withColumn("text", text)).select(island.alias("island"), (F.col("doc_id") % 2).alias("part_no"), F.regexp_replace("html", r">\s+<", "><").alias("html"))
     return rows.merged_tables(parts.select(F.col("island").alias("doc_id"), "island", "part_no", "html", F.lit(4).alias("col_count")))
@@ -435,8 +436,10 @@ _ONE, _TAIL = "'<td rowspan=\"1\">' || {0} || '</td>'", "'<td>' || array_to_stri
 def cut_rows(s, d):
     """An order's last row and the next order's first row, changed in one of seven ways."""
     c = layout.cells(s, d).select("doc_id", "row_index", "col_index", "text", F.max("row_index").over(W.partitionBy("doc_id")).alias("last"))
-    at = lambda part, when: c.filter(when & (F.col("doc_id") % 2 == part)).groupBy(F.expr("doc_id div 2").alias("island")).agg(F.transform(F.sort_array(F.collect_list(F.struct("col_index", "text"))), lambda v: v["text"]).alias(f"c{part}"))
-    both = at(0, F.col("row_index") == F.col("last")).join(at(1, F.col("row_index") == 0), "island").withColumn("v", F.col("island") % 7)
+    first = F.col("doc_id") % 2 == 0
+    cut = c.filter((first & (F.col("row_index") == F.col("last"))) | (~first & (F.col("row_index") == 0)))
+    texts = lambda when, name: F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("col_index", "text")))), lambda v: v["text"]).alias(name)
+    both = cut.groupBy(F.expr("doc_id div 2").alias("island")).agg(texts(first, "c0"), texts(~first, "c1")).filter("size(c0) > 0 and size(c1) > 0").withColumn("v", F.col("island") % 7)
     t, h = [F.get("c0", k) for k in range(4)], [F.concat(F.get("c1", k), F.lit(" on")) for k in range(4)]
     td = lambda x, attrs="": F.concat(F.lit(f"<td{attrs}>"), x, F.lit("</td>"))
     row = lambda *cells: F.concat(F.lit("<tr>"), *[td(x) for x in cells], F.lit("</tr>"))
