@@ -72,10 +72,11 @@ BREAK = "<br>"
 
 def escape_html(x: Column) -> Column:
     """& < > and double quotes are escaped between the line breaks <br>; null is empty."""
-    out = lambda v: F.replace(v, F.lit(ESCAPES[0][0]), F.lit(ESCAPES[0][1]))
-    for raw, safe in ESCAPES[1:]:
-        out = lambda v, before=out, raw=raw, safe=safe: F.replace(before(v), F.lit(raw), F.lit(safe))
-    return F.array_join(F.transform(F.split(F.coalesce(x, F.lit("")), BREAK), lambda v: out(v)), BREAK)
+    out, mark = F.coalesce(x, F.lit("")), BREAK
+    for raw, safe in ESCAPES:
+        out, mark = F.replace(out, F.lit(raw), F.lit(safe)), mark.replace(raw, safe)
+    # only a break reads as an escaped one here: an & of the text is escaped itself
+    return F.replace(out, F.lit(mark), F.lit(BREAK))
 
 
 def cells_of(row_html: Column) -> Column:

@@ -57,11 +57,11 @@ def html_tables(cells: DataFrame, shared: DataFrame | None = None) -> DataFrame:
     Grid lines are the cells' own edges, or shared (doc_id, xs), those of the run of tables that a table belongs to, if
     there are no fewer. A cell spans one column more than there are vertical lines inside it, and rows likewise. Cells
     that start at no line are left out; a place that neither a cell nor a span from above covers is an empty cell. Null
-    text is empty. A page bounds the lines of a table, and so all arrays here; tables are shuffled once.
+    text is empty. A page bounds the lines of a table, and so all arrays here. Cells that are dealt by doc_id are not
+    shuffled again; others are by rows, then by tables.
     """
     names = ["row_index", "col_index", "x_start", "y_start", "x_end", "y_end", "text"]
-    dealt = cells.select("doc_id", *names).repartition("doc_id")
-    rows = dealt.groupBy("doc_id", "row_index").agg(F.sort_array(F.collect_list(F.struct("x_start", "col_index", "y_start", "x_end", "y_end", "text"))).alias("cells"))
+    rows = cells.select("doc_id", *names).groupBy("doc_id", "row_index").agg(F.sort_array(F.collect_list(F.struct("x_start", "col_index", "y_start", "x_end", "y_end", "text"))).alias("cells"))
     t = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("row_index", "cells"))).alias("rows"))
     edges = lambda *ends: F.flatten(F.flatten(F.transform("rows", lambda r: F.transform(r["cells"], lambda c: F.array(*[c[e] for e in ends])))))
     t = t.withColumn("xs", grid_lines(edges("x_start", "x_end"))).withColumn("ys", grid_lines(edges("y_start", "y_end")))
