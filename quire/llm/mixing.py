@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, few, table
 
 #: A dimension's target shares are its token counts to this power, scaled to 1: below 1 evens out, 1 keeps.
 TEMPER = {"source": 0.5, "lang": 0.8, "topic": 1.0}
@@ -16,6 +16,8 @@ KEEP, ROUNDS, SEED = 0.7, 6, "mix-1"
 #: Scales that are tried at once in the search of the one that keeps KEEP of the tokens; it is searched twice, and on
 #: while the expected part of all tokens is below KEEP by more than TOLERANCE.
 GRID, TOLERANCE = 64, 0.001
+#: Longs that one dimension of a cell takes, its value, target and weight, when few cells are told.
+LONGS = 8
 #: Rows of the table of cells that is broadcast at most; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 50_000
 _WORD = "[^\\x20\\x09-\\x0D]+"
@@ -39,20 +41,33 @@ def rake(cells: DataFrame, dims: list[str], tempers: Mapping[str, float], rounds
     """cells (dims..., base) -> (dims..., base, w): w has, in every dimension, the target shares of the total of base.
 
     Iterative proportional fitting: each step scales the weights of a value's cells by target over present sum. Sums
-    are grouped aggregations; nothing but the number of cells grows with the input. No dimension is null.
+    are grouped aggregations; nothing but the number of cells grows with the input. Few cells (common.FEW_BYTES) stand
+    in one partition, where a sum is a window, so a round is one task without joins, exchanges or broadcasts; more keep
+    partitions of their own, are joined with their sums, and checkpointed step by step, as a step's plan holds the one
+    before twice. No dimension is null.
     """
-    cells = cells.withColumn("w", F.col("base"))
-    targets = {}
+    rows, held = few(cells, LONGS * len(dims))
+    one = held is not rows
+    cells = rows.withColumn("w", F.col("base"))
     for d in dims:
         t = cells.groupBy(d).agg(F.sum("base").alias("b")).withColumn("power", F.pow("b", F.lit(tempers[d])))
-        targets[d] = cut(t.crossJoin(F.broadcast(t.agg(F.sum("power").alias("powers"), F.sum("b").alias("total")))).select(F.col(d).alias("value"), (F.col("total") * F.col("power") / F.col("powers")).alias("target")))
+        powers, total = t.agg(F.sum("power"), F.sum("b")).first()
+        target = F.lit(total) * F.pow("sum", F.lit(tempers[d])) / F.lit(powers)
+        cells = _with_sum(cells, d, "base", one).withColumn(f"target_{d}", target).drop("sum")
+        cells = cells if one else cut(cells)
     for _ in range(rounds):
         for d in dims:
-            now = cells.groupBy(F.col(d).alias("value")).agg(F.sum("w").alias("now"))
-            factor = now.join(targets[d], "value").select(F.col("value").alias(d), (F.col("target") / F.col("now")).alias("factor"))
-            cells = cells.join(factor, d).select(*dims, "base", (F.col("w") * F.col("factor")).alias("w"))
-        cells = cut(cells)
-    return cells
+            cells = _with_sum(cells, d, "w", one).withColumn("w", F.col("w") * (F.col(f"target_{d}") / F.col("sum"))).drop("sum")
+            cells = cells if one else cut(cells)
+        cells = cut(cells).coalesce(1) if one else cells
+    return cells.select(*dims, "base", "w")
+
+
+def _with_sum(cells: DataFrame, d: str, of: str, one: bool) -> DataFrame:
+    """cells with the sum of a column over all of the same value of d; one: they stand in one partition."""
+    if one:
+        return cells.withColumn("sum", F.sum(of).over(Window.partitionBy(d)))
+    return cells.join(cells.groupBy(d).agg(F.sum(of).alias("sum")), d)
 
 
 def calibrated(cells: DataFrame, dims: list[str], keep: float = KEEP) -> DataFrame:
@@ -93,7 +108,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: Map
     names = list(dims)
     rows = df.select(F.struct(*(columns or [id_col])).alias("row"), F.col(id_col).alias("id"), *[F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")).alias(f"dim_{d}") for d, c in dims.items()], tokens(F.col(text_col)).alias("tokens"))
     own = [f"dim_{d}" for d in names]
-    cells = cut(rows.filter("tokens > 0").groupBy(*own).agg(F.sum("tokens").cast("double").alias("base")))
+    cells = rows.filter("tokens > 0").groupBy(*own).agg(F.sum("tokens").cast("double").alias("base"))
     p = calibrated(rake(cells, own, {f"dim_{d}": tempers[d] for d in names}), own, keep)
     p = cut(p)
     out = rows.join(F.broadcast(p) if p.count() <= BROADCAST_ROWS else p, own, "left")

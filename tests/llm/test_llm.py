@@ -284,6 +284,23 @@ def test_op5_scale_under_extreme_skew(spark):
     assert abs(sum(p.values()) / 3 - 0.5) <= mixing.TOLERANCE and p["a"] == p["b"] and abs(p["hot"] / p["a"] - 1e-4) < 1e-9
 
 
+def test_op5_steps_of_few_cells_are_small_plans(spark, monkeypatch):
+    cells = spark.createDataFrame([(f"={a % 7}", f"={a % 3}", float(1 + a)) for a in range(21)], "dim_a string, dim_b string, base double")
+    tempers, plans = {"dim_a": 0.5, "dim_b": 0.8}, []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.cut(df)
+
+    weights = lambda: {r["dim_a"] + r["dim_b"]: r["w"] for r in mixing.rake(cells, list(tempers), tempers, 2).collect()}
+    monkeypatch.setattr(mixing, "cut", seen)
+    few = weights()
+    assert len(plans) == 2 and not any("Exchange" in p or "Join" in p for p in plans)
+    monkeypatch.setattr(common, "FEW_BYTES", 0)
+    many = weights()
+    assert few.keys() == many.keys() and len(few) == 21 and all(abs(w - many[k]) < 1e-9 * w for k, w in few.items())
+
+
 def test_pipeline_repeated_ids(spark):
     text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
     rows = [(5, text), (5, text), (7, text + " end"), (3, "alone"), (3, "alone"), (7, other), (9, None), (9, None), (None, text), (None, text)]
