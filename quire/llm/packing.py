@@ -27,8 +27,10 @@ _PIECES = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]"
 _CLASS = "[\\t\\n\\x0b\\x0c\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _ODD = f"^$|^{_CLASS}|{_CLASS}$"
 _ENDS = ".,;:!?"
+#: A word of Latin letters only; in UTF-8 each has one byte or two.
+_LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{24f}]+$"
 #: Pieces that are encoded in one call.
-_AT_ONCE = 2_000
+_AT_ONCE = 200
 _codecs: dict[str, Codec] = {}
 
 
@@ -43,11 +45,15 @@ class Codec:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.line = self._raw("\n")
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        sign = lambda c: level.pre_tokenize_str(c)[0][0]  # noqa: E731 - of each of a character's bytes
+        self.space, self.signs = sign(" "), {b: s for c in map(chr, range(0x80, 0x250)) for b, s in zip(c.encode(), sign(c), strict=True)}
         self.ends: dict[str, bytes] = {}
         self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # of words after a space, and without
         self.before: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # those known before known was full
@@ -66,6 +72,16 @@ class Codec:
         assert len(out) == len(pieces)
         return out
 
+    def _encode_letters(self, words: list[str], bare: int) -> list[bytes]:
+        """Words of Latin letters only (_LETTERS). Each is one piece to the pre-tokenizer, with the space before it, so
+        its bytes' signs go to the tokenizer's model at once."""
+        model, space, flat, ends = self.tokenizer.model, "" if bare else self.space, [], [0]
+        for w in words:
+            flat += [t.id for t in model.tokenize(space + (w if w.isascii() else w.encode().decode("latin-1").translate(self.signs)))]
+            ends.append(4 * len(flat))
+        raw = np.array(flat, dtype="<u4").tobytes()
+        return [raw[a:b] for a, b in pairwise(ends)]
+
     def _pieces(self, text: str) -> list[str]:
         """A text, first parted at added tokens, as the tokenizer does: what stands before one ends as a text does."""
         out, at = [], 0
@@ -74,35 +90,30 @@ class Codec:
             at = m.end()
         return out + _PIECES.findall(text[at:])
 
-    def _ids(self, words: list[str], bare: int) -> list[bytes]:
-        """Of words that stand after a space, or without one (bare)."""
+    def _ids(self, words: list[str], letters: list[bool], bare: int) -> list[bytes]:
+        """Of distinct words that stand after a space, or without one (bare). letters: which are of Latin letters only."""
         known, before = self.known[bare], self.before[bare]
         if len(known) > REMEMBERED:
             before.clear()
             before.update(known)
             known.clear()
         got = list(map(known.get, words))
-        fresh = [w for w, g in zip(words, got, strict=True) if g is None]
-        for w in fresh:
-            if (again := before.get(w)) is not None:
-                known[w] = again
-        fresh = [w for w in fresh if w not in known]
-        split, new = [], set()
-        for w in fresh:
-            stem = w.rstrip(_ENDS)
-            if stem != w and stem.isalpha():  # a boundary of the pre-tokenizer
-                split.append((w, stem, w[len(stem) :]))
-                if stem not in known:
-                    new.add(stem)
-            else:
-                new.add(w)
-        stems = sorted(new)
-        known.update(zip(stems, self._encode_all(stems if bare else [" " + w for w in stems]), strict=True))
-        for w, stem, end in split:
-            if end not in self.ends:
-                self.ends[end] = self._raw(end)
-            known[w] = known[stem] + self.ends[end]
-        return [known[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        missing = [k for k, g in enumerate(got) if g is None]
+        for k in missing:
+            got[k] = before.get(words[k])
+        plain = [k for k in missing if got[k] is None and letters[k]]
+        other = [k for k in missing if got[k] is None and not letters[k]]
+        for k, x in zip(plain, self._encode_letters([words[k] for k in plain], bare), strict=True):
+            got[k] = x
+        for k, x in zip(other, self._encode_all([words[k] if bare else " " + words[k] for k in other]), strict=True):
+            got[k] = x
+        known.update((words[k], got[k]) for k in missing)
+        return got
+
+    def _end(self, end: str) -> bytes:
+        if end not in self.ends:
+            self.ends[end] = self._raw(end) if end else b""
+        return self.ends[end]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): text k has ids[bounds[k]:bounds[k + 1]]."""
@@ -127,12 +138,23 @@ class Codec:
         bad = ~some
         bad[some] = np.add.reduceat(strange, offsets[:-1][some]) > 0
         used, where = np.unique(codes * 2 + bare, return_inverse=True)
-        words = coded.dictionary.to_pylist()
+        # a word of letters with an end after it is two pieces: its stem, which is looked up alone, and that end
+        stem = pc.utf8_rtrim(coded.dictionary, characters=_ENDS)
+        parted = np.asarray(pc.match_substring_regex(stem, "^\\pL+$")) & np.asarray(pc.not_equal(stem, coded.dictionary))
+        ends = {}
+        if parted.any():
+            mask = pa.array(parted)
+            ends = {k: self._end(w[len(x) :]) for k, w, x in zip(np.flatnonzero(parted).tolist(), coded.dictionary.filter(mask).to_pylist(), stem.filter(mask).to_pylist(), strict=True)}
+        stem = pc.if_else(pa.array(parted), stem, coded.dictionary).dictionary_encode()
+        stems, letters = stem.dictionary.to_pylist(), np.asarray(pc.match_substring_regex(stem.dictionary, _LETTERS))
+        of = np.asarray(stem.indices).astype(np.int64)[used >> 1]
         raw: list[bytes] = [b""] * len(used)
         for k in (0, 1):
             own = np.flatnonzero((used & 1 == k) & ~odd[used >> 1] & ~line[used >> 1])
-            for i, x in zip(own.tolist(), self._ids([words[w] for w in (used[own] >> 1).tolist()], k), strict=True):
-                raw[i] = x
+            distinct, at = np.unique(of[own], return_inverse=True)
+            ids = self._ids([stems[x] for x in distinct.tolist()], letters[distinct].tolist(), k)
+            for i, j, w in zip(own.tolist(), at.tolist(), (used[own] >> 1).tolist(), strict=True):
+                raw[i] = ids[j] + ends[w] if w in ends else ids[j]
         for i in np.flatnonzero(line[used >> 1]).tolist():
             raw[i] = self.line
         length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4

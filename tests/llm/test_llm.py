@@ -384,6 +384,23 @@ def test_op7_ids_around_added_tokens():
     assert [i.tolist() for i in np.split(ids, bounds[1:-1])] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_op7_latin_words_go_to_the_model(monkeypatch):
+    import pyarrow as pa
+
+    code, sent = packing.Codec(packing.tokenizer_path()), []
+    whole = code._encode_all
+    monkeypatch.setattr(code, "_encode_all", lambda pieces: (sent.extend(pieces), whole(pieces))[1])
+    words = "plain Plain, \u00e9t\u00e9! \u0180\u024f\u01c5?! na\u00efve. don't a1b \u00d7 \u00f7, x\u00d7y \u03b1\u03b2\u03b3, \u0436\u0443\u043a. \u4e2d\u6587; \u0250a \U0001f600! ,. a,b \u00aa\u00ba e\u0301t plain! caf\u00e9".split()
+    texts = [" ".join(words), *words, "\n".join(words), " ".join(reversed(words)), None, ""]
+    for _ in range(2):  # new, then remembered
+        ids, bounds = code.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[bounds[k] : bounds[k + 1]].tolist() == code.tokenizer.encode(text or "", add_special_tokens=False).ids
+    stems = {"plain", "Plain", "\u00e9t\u00e9", "\u0180\u024f\u01c5", "na\u00efve", "caf\u00e9"}
+    assert sent and not {x.strip().rstrip(".,;:!?") for x in sent} & stems
+    assert {w for known in code.known for w in known} >= stems and "Plain," not in code.known[0]
+
+
 def test_op8_equals_brute_force(spark):
     random.seed(8)
     base = ["".join(random.choice("abcdefgh ") for _ in range(50)).strip() + "x" * 3 for _ in range(12)]
