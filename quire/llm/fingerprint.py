@@ -61,14 +61,33 @@ class Prefixes:
         return (high << _U(31)) | low
 
 
+#: A power of the inverse of a base is a product of two: one below 1 << LOW, and one of its multiples.
+LOW = 12
+_down: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _inverses(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse powers of base k: base ** -i for i < 1 << LOW, and base ** -(j << LOW) for all j that a place can have,
+    each 32 KB and 4 MB, made once in a Python worker."""
+    if not _down:
+        for base in BASES:
+            step = pow(base, PRIME - 2, PRIME)
+            both = []
+            for first, size in ((step, 1 << LOW), (pow(step, 1 << LOW, PRIME), (PRIME >> LOW) + 1)):
+                out, have = np.ones(size, dtype=np.uint64), 1
+                while have < size:
+                    more = min(have, size - have)
+                    out[have : have + more] = out[:more] * _U(pow(first, have, PRIME)) % _U(PRIME)
+                    have += more
+                both.append(out)
+            _down.append((both[0], both[1]))
+    return _down[k]
+
+
 def inverse(n: np.ndarray, k: int) -> np.ndarray:
-    """base ** -n modulo PRIME: the power PRIME - 1 - n, by squaring."""
-    e = (PRIME - 1 - n.astype(np.int64)).astype(np.uint64)
-    out, square = np.ones(e.shape, dtype=np.uint64), BASES[k]
-    for bit in range(31):
-        out = np.where((e >> _U(bit)) & _U(1), out * _U(square) % _U(PRIME), out)
-        square = square * square % PRIME
-    return out
+    """base ** -n modulo PRIME, for 0 <= n <= PRIME."""
+    low, high = _inverses(k)
+    return low[n & ((1 << LOW) - 1)] * high[n >> LOW] % _U(PRIME)
 
 
 def extension(a: Prefixes, b: Prefixes, i: int = 0, j: int = 0) -> int:

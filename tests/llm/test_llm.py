@@ -231,6 +231,24 @@ def test_op2_likeness_sees_between_scattered_edits():
     assert len(same.spans) < 100 and fingerprint.likeness(same, other) > 0.9
 
 
+def test_op2_inverse_takes_a_few_passes():
+    passes = 0
+
+    class Counted(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **kw):
+            nonlocal passes
+            passes += 1
+            plain = [x.view(np.ndarray) if isinstance(x, Counted) else x for x in inputs]
+            out = getattr(ufunc, method)(*plain, **kw)
+            return out.view(Counted) if isinstance(out, np.ndarray) else out
+
+    n = [0, 1, 2, 4095, 4096, 4097, 123_456_789, fingerprint.PRIME - 1]
+    for k, base in enumerate(fingerprint.BASES):
+        got = fingerprint.inverse(np.array(n).view(Counted), k)
+        assert got.tolist() == [pow(base, -i, fingerprint.PRIME) for i in n]
+    assert passes <= 8  # for both bases; by squaring it was hundreds
+
+
 def test_op3_store(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=200_000)
     for k in range(6):
