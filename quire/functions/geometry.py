@@ -42,16 +42,3 @@ def merge_coords(values: Column, gap: float) -> Column:
         empty,
         lambda a, x: F.when((F.size(a) == 0) | F.coalesce(x - F.try_element_at(a, F.lit(-1)) >= gap, F.lit(True)), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array((F.try_element_at(a, F.lit(-1)) + x) / 2))),
     )
-
-
-def anchor_groups(items: Column, position: str, gap: float, kind: str) -> Column:
-    """Numbers sorted structs (element type kind) by groups: an item at gap or more from its group's first starts a
-    new one. -> array<struct<item, grp>>."""
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("grp"), F.array().cast(f"array<struct<item:{kind},grp:int>>").alias("out"))
-
-    def step(s: Column, e: Column) -> Column:
-        new = s["anchor"].isNull() | (F.abs(e[position] - s["anchor"]) >= gap)
-        grp = F.when(new, s["grp"] + 1).otherwise(s["grp"])
-        return F.struct(F.when(new, e[position]).otherwise(s["anchor"]).alias("anchor"), grp.alias("grp"), F.concat(s["out"], F.array(F.struct(e.alias("item"), grp.alias("grp")))).alias("out"))
-
-    return F.aggregate(items, start, step, lambda s: s["out"])

@@ -5,9 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.geometry import anchor_groups, box, overlap_ratio, valid_table
+from ..functions.geometry import box, overlap_ratio, valid_table
+from ..functions.python import ready
 from ..functions.text import trim_py
+from . import placing
+
+#: What is told of a character.
+CHAR = ("doc_id", "char_no", "c", "x0", "y0", "x1", "y1")
 
 
 def box_antijoin(boxes: DataFrame, tables: DataFrame, most: float = 0.3) -> DataFrame:
@@ -67,6 +73,21 @@ def column_vote(counts: DataFrame) -> DataFrame:
     return a.select("doc_id", pick.alias("cols"))
 
 
+def _beside(chars: DataFrame, cells: DataFrame, most: int = 512) -> DataFrame:
+    """(doc_id, chars, cells): characters of a table, in parts of about `most` by their numbers, and its cells, as lists;
+    parts of a table stand together. A page bounds a table's cells; characters are shuffled by table only.
+
+    Neither side is sent whole: cells and characters are more than the size of what they are read from tells."""
+    sides = ("x_start", "y_start", "x_end", "y_end")
+    k = cells.filter(" and ".join(f"{c} is not null" for c in sides)).groupBy("doc_id").agg(F.collect_list(F.struct("row_index", "col_index", *[F.col(c).cast("double").alias(c) for c in sides])).alias("cells"))
+    parts = chars.groupBy("doc_id", F.floor(F.col("char_no") / most).alias("part")).agg(F.collect_list(F.struct(*CHAR[1:])).alias("chars"))
+    return parts.join(k.hint("merge"), "doc_id").select("doc_id", "chars", "cells")
+
+
+def _kinds(df: DataFrame, *names: str) -> list[StructField]:
+    return [StructField(c, df.schema[c].dataType) for c in names]
+
+
 def char_to_cell(chars: DataFrame, cells: DataFrame, band: float = 50.0) -> DataFrame:
     """(doc_id, char_no, c, x0.., row_index, col_index): each character's first cell, in row order, that its box
     overlaps, or else that holds its centre.
@@ -97,18 +118,23 @@ def char_to_cell(chars: DataFrame, cells: DataFrame, band: float = 50.0) -> Data
     return placed.select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
 
 
+def _text_kind(chars: DataFrame, cells: DataFrame) -> StructType:
+    return StructType([*_kinds(chars, "doc_id"), *_kinds(cells, "row_index", "col_index"), StructField("text", StringType())])
+
+
 def cell_text(placed: DataFrame, gap: float = 2.0) -> DataFrame:
     """Characters in cells, as char_to_cell gives them -> (doc_id, row_index, col_index, text): a cell's text lines
     joined by <br>, stripped. By y0 and x centre, a character at gap or more from its line's first starts a new line;
     a line's characters stand by x centre."""
-    item = F.struct(F.col("y0").cast("double").alias("y0"), ((F.col("x0") + F.col("x1")) / 2).cast("double").alias("xc"), F.col("char_no").cast("long").alias("n"), "c")
-    g = placed.groupBy("doc_id", "row_index", "col_index").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    grouped = anchor_groups(F.col("items"), "y0", gap, "struct<y0:double,xc:double,n:bigint,c:string>")
-    of = lambda i: i["item"]
-    ordered = F.array_sort(F.transform(grouped, lambda i: F.struct(i["grp"].alias("grp"), of(i)["xc"].alias("xc"), of(i)["y0"].alias("y0"), of(i)["n"].alias("n"), of(i)["c"].alias("c"))))
-    g = g.withColumn("items", ordered)
-    text = F.array_join(F.transform("items", lambda i, k: F.concat(F.when((k > 0) & (i["grp"] != F.get("items", k - 1)["grp"]), "<br>").otherwise(""), i["c"])), "")
-    return g.select("doc_id", "row_index", "col_index", trim_py(text).alias("text"))
+    ready(placed.sparkSession)
+    by = placed.select(*CHAR, "row_index", "col_index").repartition("doc_id").sortWithinPartitions("doc_id")
+    return by.mapInArrow(lambda batches: placing.texts(batches, gap), _text_kind(placed, placed))
+
+
+def text_in_cells(chars: DataFrame, cells: DataFrame, band: float = 50.0, gap: float = 2.0) -> DataFrame:
+    """cell_text of char_to_cell: characters in cells are not shuffled again, as those of a table stand together."""
+    ready(chars.sparkSession)
+    return _beside(chars, cells).mapInArrow(lambda batches: placing.texts(placing.placed(batches, band), gap), _text_kind(chars, cells))
 
 
 def spans(cells: DataFrame, xs: Column, ys: Column, tol: float = 2.0) -> DataFrame:
@@ -203,7 +229,8 @@ def chars_in_tables(chars: DataFrame, cells: DataFrame) -> DataFrame:
     t = cells.groupBy("doc_id").agg(F.min("x_start").alias("t_x0"), F.min("y_start").alias("t_y0"), F.max("x_end").alias("t_x1"), F.max("y_end").alias("t_y1"), F.least(F.lit(2.0), F.greatest(F.lit(0.5), 0.1 * F.min(F.col("y_end") - F.col("y_start")))).alias("m"))
     a, m = box(), F.col("m")
     inside = (a[0] >= F.col("t_x0") - m) & (a[1] >= F.col("t_y0") - m) & (a[2] <= F.col("t_x1") + m) & (a[3] <= F.col("t_y1") + m)
-    return chars.join(t.hint("merge"), "doc_id").filter(inside).select(chars.columns)
+    # a row for each table is little to look up, and characters are not sorted for it
+    return chars.join(t.hint("shuffle_hash"), "doc_id").filter(inside).select(chars.columns)
 
 
 def cell_of_lines(lines: DataFrame, gap: float = 2.0) -> DataFrame:

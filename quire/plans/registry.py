@@ -322,12 +322,15 @@ def column_vote(s, d):
 
 def _all_chars(s, d):
     """Every character of every cell with its own box, on two lines whose tops are up to 1.5 apart."""
-    c = layout.cells(s, d).select("doc_id", "row_index", "col_index", "x_start", "y_start", F.ceil(F.length("text") / 2).alias("wide"), F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("k", "c"))
-    by = W.partitionBy("doc_id").orderBy("row_index", "col_index", "k")
+    by = W.partitionBy("doc_id").orderBy("row_index", "col_index").rowsBetween(W.unboundedPreceding, -1)
+    # cells are numbered, not characters
+    c = layout.cells(s, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(by), F.lit(0)))
+    # split parts by code points, but makes one of an empty text
+    c = c.select("doc_id", "x_start", "y_start", "before", F.ceil(F.length("text") / 2).alias("wide"), F.posexplode(F.when(F.col("text") != "", F.split("text", ""))).alias("k", "c"))
     at = F.col("k") % F.col("wide")
     x0 = F.col("x_start") + 5 + 80.0 * at / F.col("wide")
     y0 = F.col("y_start") + 3 + F.when(F.col("k") >= F.col("wide"), 8.0).otherwise(0.0) + 0.75 * (at % 3)
-    return c.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("char_no"), "c", x0.alias("x0"), y0.alias("y0"), (x0 + 60.0 / F.col("wide")).alias("x1"), (y0 + 5).alias("y1"))
+    return c.select("doc_id", (F.col("before") + F.col("k")).cast("long").alias("char_no"), "c", x0.alias("x0"), y0.alias("y0"), (x0 + 60.0 / F.col("wide")).alias("x1"), (y0 + 5).alias("y1"))
 
 
 @query("char_to_cell", f"WITH {D4}, w AS (SELECT doc_id, row_index, col_index, text, unnest(range(1, length(text) + 1)) AS k FROM z) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY row_index, col_index, k) - 1 AS char_no, text[k:k] AS c, row_index, col_index FROM w")
@@ -337,7 +340,7 @@ def char_to_cell(s, d):
 
 @query("cell_text", f"WITH {D4} SELECT doc_id, row_index, col_index, CASE WHEN length(text) = 1 THEN text ELSE text[:(length(text) + 1) // 2] || '<br>' || text[(length(text) + 1) // 2 + 1:] END AS text FROM z WHERE text <> ''")
 def cell_text(s, d):
-    return tables.cell_text(tables.char_to_cell(tables.chars_in_tables(_all_chars(s, d), layout.cells(s, d)), layout.cells(s, d)))
+    return tables.text_in_cells(tables.chars_in_tables(_all_chars(s, d), layout.cells(s, d)), layout.cells(s, d))
 
 
 @query("colspan_rowspan", f"WITH {D4}, xs AS (SELECT doc_id, list(DISTINCT x_start) AS xs, list(DISTINCT y_start) AS ys FROM z GROUP BY 1), w AS (SELECT doc_id, row_index, col_index, x_start, CASE WHEN col_index = 1 THEN x_end + 100 ELSE x_end END AS x_end, y_start, y_end + 20 * (row_index % 2) AS y_end FROM z) SELECT doc_id, row_index, col_index, CAST(1 + len(list_filter(list_distinct([round(x / 100) * 100 for x in xs]), lambda v: v > x_start + 2 AND v < x_end - 2)) AS INT) AS colspan, CAST(1 + len(list_filter(ys, lambda v: v > y_start + 2 AND v < y_end - 2)) AS INT) AS rowspan FROM w JOIN xs USING (doc_id)")
