@@ -90,32 +90,11 @@ def _kinds(df: DataFrame, *names: str) -> list[StructField]:
 
 def char_to_cell(chars: DataFrame, cells: DataFrame, band: float = 50.0) -> DataFrame:
     """(doc_id, char_no, c, x0.., row_index, col_index): each character's first cell, in row order, that its box
-    overlaps, or else that holds its centre.
-
-    A table's cells are dealt to the bands of y that they reach, as one value, which its characters are joined with by
-    table; a character looks into the bands that it reaches, so it meets the cells around it and not its whole table, and
-    is shuffled by table only. A page bounds a table's cells. Characters that repeat are placed each."""
-    at = lambda c: F.floor(c / band)
-    reach = lambda lo, hi: F.sequence(at(F.col(lo)), F.greatest(at(F.col(hi)), at(F.col(lo))))
-    k = cells.select("doc_id", F.struct("row_index", "col_index", "x_start", "x_end", "y_start", "y_end").alias("cell"), F.explode(reach("y_start", "y_end")).alias("band"))
-    k = k.groupBy("doc_id", "band").agg(F.collect_list("cell").alias("cells")).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("band", "cells"))).alias("bands"))
-    k = k.withColumn("low", F.get("bands", F.lit(0))["band"]).withColumn("whole", F.element_at("bands", -1)["band"] - F.col("low") + 1 == F.size("bands"))
-    a = box()
-    over = lambda c: (a[0] < c["x_end"]) & (a[2] > c["x_start"]) & (a[1] < c["y_end"]) & (a[3] > c["y_start"])
-    mx, my = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
-    centre = lambda c: (mx >= c["x_start"]) & (mx <= c["x_end"]) & (my >= c["y_start"]) & (my <= c["y_end"])
-    # the place of a band is known where none is missing between the first and the last
-    of = lambda n: F.when(F.col("whole"), F.get("bands", (n - F.col("low")).cast("int"))["cells"]).otherwise(F.flatten(F.transform(F.filter("bands", lambda x: x["band"] == n), lambda x: x["cells"])))
-    none = F.slice(F.get("bands", F.lit(0))["cells"], 1, 0)
-    around = F.when(at(a[3]) <= at(a[1]), of(at(a[1]))).otherwise(F.flatten(F.transform(reach("y0", "y1"), lambda n: F.coalesce(of(n), none))))
-    # what can neither overlap nor hold the centre goes by few comparisons, mostly the first
-    touches = lambda c: (c["y_end"] >= F.col("top")) & (c["y_start"] <= F.col("bottom")) & (c["x_end"] >= F.col("left")) & (c["x_start"] <= F.col("right"))
-    near = F.filter(F.filter(around, touches), lambda c: over(c) | centre(c))
-    chars = chars.withColumns({"left": F.least(a[0], a[2]), "right": F.greatest(a[0], a[2]), "top": F.least(a[1], a[3]), "bottom": F.greatest(a[1], a[3])})
-    best = F.array_min(F.transform(near, lambda c: F.struct(F.when(over(c), 0).otherwise(1).alias("prio"), c["row_index"].alias("row_index"), c["col_index"].alias("col_index"))))
-    # neither side is sent whole: cells and characters are more than the size of what they are read from tells
-    placed = chars.join(k.hint("merge"), "doc_id").select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", best.alias("m")).filter("m is not null")
-    return placed.select("doc_id", "char_no", "c", "x0", "y0", "x1", "y1", "m.row_index", "m.col_index")
+    overlaps, or else that holds its centre. A character looks into the bands of y that it reaches, so it meets the cells
+    around it and not its whole table. Characters that repeat are placed each."""
+    ready(chars.sparkSession)
+    kind = StructType([*_kinds(chars, *CHAR), *_kinds(cells, "row_index", "col_index")])
+    return _beside(chars, cells).mapInArrow(lambda batches: placing.placed(batches, band), kind)
 
 
 def _text_kind(chars: DataFrame, cells: DataFrame) -> StructType:

@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.operators import placing
+from quire.operators import placing, tables
 from quire.plans import registry
 
 D = "/root/testdata/sf0.001"
+CELLS = "doc_id string, row_index int, col_index int, x_start double, x_end double, y_start double, y_end double"
+CHARS = "doc_id string, char_no long, c string, x0 double, y0 double, x1 double, y1 double"
 
 
-@pytest.mark.parametrize("name", ["cell_text"])
+@pytest.mark.parametrize("name", ["char_to_cell", "cell_text"])
 def test_no_expression_is_evaluated_cell_by_cell(spark, name):
     told = io.StringIO()
     with contextlib.redirect_stdout(told):
@@ -22,6 +24,12 @@ def test_no_expression_is_evaluated_cell_by_cell(spark, name):
     assert "lambdafunction(" not in told.getvalue() and "MapInArrow" in told.getvalue()
 
 
+def test_a_box_from_below_meets_all_bands(spark):
+    cells = spark.createDataFrame([("d", 0, 0, 0.0, 10.0, 60.0, 70.0), ("d", 1, 0, 0.0, 10.0, 115.0, 119.0)], CELLS)
+    chars = spark.createDataFrame([("d", 0, "x", 1.0, 120.0, 2.0, 10.0), ("e", 1, "y", 1.0, 61.0, 2.0, 62.0), ("d", 2, "z", None, 61.0, 2.0, 62.0), (None, 3, "z", 1.0, 61.0, 2.0, 62.0)], CHARS)
+    assert [(r["char_no"], r["row_index"]) for r in tables.char_to_cell(chars, cells).collect()] == [(0, 0)]
+
+
 def brute(table, chars, of, cells):
     out = []
     for t, x0, y0, x1, y1 in zip(table, *chars, strict=True):
