@@ -79,8 +79,10 @@ def _beside(chars: DataFrame, cells: DataFrame, most: int = 512) -> DataFrame:
 
     Neither side is sent whole: cells and characters are more than the size of what they are read from tells."""
     sides = ("x_start", "y_start", "x_end", "y_end")
-    k = cells.filter(" and ".join(f"{c} is not null" for c in sides)).groupBy("doc_id").agg(F.collect_list(F.struct("row_index", "col_index", *[F.col(c).cast("double").alias(c) for c in sides])).alias("cells"))
-    parts = chars.groupBy("doc_id", F.floor(F.col("char_no") / most).alias("part")).agg(F.collect_list(F.struct(*CHAR[1:])).alias("chars"))
+    # structs are made before they are collected, so that they are copied whole and not field by field
+    cell = F.struct("row_index", "col_index", *[F.col(c).cast("double").alias(c) for c in sides])
+    k = cells.filter(" and ".join(f"{c} is not null" for c in sides)).select("doc_id", cell.alias("cell")).groupBy("doc_id").agg(F.collect_list("cell").alias("cells"))
+    parts = chars.select("doc_id", F.floor(F.col("char_no") / most).alias("part"), F.struct(*CHAR[1:]).alias("char")).groupBy("doc_id", "part").agg(F.collect_list("char").alias("chars"))
     return parts.join(k.hint("merge"), "doc_id").select("doc_id", "chars", "cells")
 
 

@@ -322,11 +322,8 @@ def column_vote(s, d):
 
 def _all_chars(s, d):
     """Every character of every cell with its own box, on two lines whose tops are up to 1.5 apart."""
-    by = W.partitionBy("doc_id").orderBy("row_index", "col_index").rowsBetween(W.unboundedPreceding, -1)
-    # cells are numbered, not characters
-    c = layout.cells(s, d).withColumn("before", F.coalesce(F.sum(F.length("text")).over(by), F.lit(0)))
     # split parts by code points, but makes one of an empty text
-    c = c.select("doc_id", "x_start", "y_start", "before", F.ceil(F.length("text") / 2).alias("wide"), F.posexplode(F.when(F.col("text") != "", F.split("text", ""))).alias("k", "c"))
+    c = layout.numbered_cells(s, d).select("doc_id", "x_start", "y_start", "before", F.ceil(F.length("text") / 2).alias("wide"), F.posexplode(F.when(F.col("text") != "", F.split("text", ""))).alias("k", "c"))
     at = F.col("k") % F.col("wide")
     x0 = F.col("x_start") + 5 + 80.0 * at / F.col("wide")
     y0 = F.col("y_start") + 3 + F.when(F.col("k") >= F.col("wide"), 8.0).otherwise(0.0) + 0.75 * (at % 3)

@@ -58,6 +58,20 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_brand doc_id", "p_partkey img_no", "cast(4 + p_size * 25 as int) width", "cast(10 + (p_partkey % 40) * 25 as int) height", "(p_partkey % 100) / 100.0D red_ratio", "cast(1 + p_partkey % 12 as int) page_no")
 
 
+def numbered_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cells with `before`, how many characters a table's cells before have; lines are sorted for it, not cells."""
+    by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    texts = [F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("long").cast("string"), F.col("l_returnflag")]
+    wide = [F.coalesce(F.length(t), F.lit(0)) for t in texts]
+    above = F.coalesce(F.sum(sum(wide[1:], wide[0])).over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = dealt(table(spark, sf_dir, "lineitem"), LINES, "l_orderkey").withColumns({"row_index": F.row_number().over(by) - 1, "above": above})
+    own = F.array(*[F.struct(sum(wide[:k], F.lit(0)).alias("left"), t.alias("text")) for k, t in enumerate(texts)])
+    e = rows.select(F.col("l_orderkey").alias("doc_id"), "row_index", "above", (F.col("l_suppkey") % 3).alias("j"), F.posexplode(own).alias("col_index", "own"))
+    start = lambda c: F.when(c > 0, 100.0 * c + 0.5 * F.col("j")).otherwise(0.0)
+    c = F.col("col_index")
+    return e.select("doc_id", "row_index", "col_index", start(c).alias("x_start"), F.when(c < 3, start(c + 1)).otherwise(400.0).alias("x_end"), (20.0 * F.col("row_index")).alias("y_start"), (20.0 * F.col("row_index") + 20).alias("y_end"), "own.text", (F.col("above") + F.col("own.left")).alias("before"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, row_index, col_index, x_start, x_end, y_start, y_end, text): an order is a table, its lines rows."""
     by = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
